@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from alphaloom.operators.calendar import as_of_calendar, shift_dates
 from alphaloom.operators.cross_section import min_max_unit, zscore
 from alphaloom.operators.order_stats import OrderStat, grouped_order_stats
+from alphaloom.operators.staging import stage
 from alphaloom.operators.training import (
     LABEL,
     TrainingPlan,
@@ -63,6 +64,7 @@ def calibration_split(rows: DataFrame, key: Column, ratio: float = 0.3, windows:
     cut = grouped_order_stats(
         keyed, windows, {"_cut": OrderStat(F.col("_key"), ratio, lambda n: F.ceil(n * F.lit(ratio)))}, calendar_keyed=True
     ).select(*windows, "_cut")
+    cut = stage(cut)
     return keyed.join(F.broadcast(cut), list(windows)).withColumn("is_calibration", F.col("_key") <= F.col("_cut")).drop("_key", "_cut")
 
 
@@ -72,7 +74,7 @@ def conformal_quantiles(
     """Finite-sample quantile of calibration scores per key, one column ``q<i>`` per alpha, and ``n_calib``."""
     stats = {f"q{i}": OrderStat(F.col(score), 1.0 - a, conformal_rank(a, textbook)) for i, a in enumerate(alphas)}
     out = grouped_order_stats(scores, keys, stats, calendar_keyed=calendar_keyed)
-    return out.select(*keys, *stats, F.col("q0_n").alias("n_calib"))
+    return stage(out.select(*keys, *stats, F.col("q0_n").alias("n_calib")))
 
 
 def group_quantiles(scores: DataFrame, score: str, group: str, alphas: Sequence[float], min_group: int = 5) -> DataFrame:
@@ -96,16 +98,17 @@ def calibrate(panel: DataFrame, plan: TrainingPlan, features: Sequence[str], lab
     per_date = panel.where(F.col(label).isNotNull()).groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
     enough = plan.windows.join(F.broadcast(per_date), "trade_date").groupBy("window_id").agg(F.sum("n").alias("n"))
     enough = enough.where(F.col("n") >= max(4, min_train_rows)).select("window_id")
+    enough = stage(enough)
     usable = TrainingPlan(plan.windows.join(F.broadcast(enough), "window_id"), plan.targets, plan.bounds)
     rows = calibration_split(training_rows(panel, usable, label), split_key, ratio)
     proper = rows.where("NOT is_calibration")
-    coef = fit_rows(proper, x, F.col(label))
+    coef = stage(fit_rows(proper, x, F.col(label)))
     calib = rows.where("is_calibration").join(F.broadcast(coef), "window_id")
     residual = F.abs(F.col(label) - linear(x))
     sigma = None
     if locally_adaptive:
         log_res = F.log(residual + F.lit(EPS))
-        sigma = fit_rows(proper.join(F.broadcast(coef), "window_id"), x, log_res).select("window_id", F.col("coef").alias("sigma_coef"))
+        sigma = stage(fit_rows(proper.join(F.broadcast(coef), "window_id"), x, log_res).select("window_id", F.col("coef").alias("sigma_coef")))
         calib = calib.join(F.broadcast(sigma), "window_id").withColumn("score", residual / (F.exp(linear(x, "sigma_coef")) + EPS))
     else:
         calib = calib.withColumn("score", residual)
@@ -221,7 +224,7 @@ def coverage_by_alpha(pred: DataFrame, label: str = LABEL) -> DataFrame:
 def confidence_buckets(pred: DataFrame, label: str = LABEL, low: float = 0.3, high: float = 0.7) -> DataFrame:
     """n, mean label, mean score, annualised IR and hit rate of the low, middle and high confidence buckets."""
     rows = pred.where(F.col(label).isNotNull() & F.col("confidence").isNotNull())
-    cuts = grouped_order_stats(rows, [], {"_lo": OrderStat(F.col("confidence"), low), "_hi": OrderStat(F.col("confidence"), high)})
+    cuts = stage(grouped_order_stats(rows, [], {"_lo": OrderStat(F.col("confidence"), low), "_hi": OrderStat(F.col("confidence"), high)}))
     lo, hi = cuts.select("_lo").scalar(), cuts.select("_hi").scalar()
     c = F.col("confidence")
     bucket = F.when(c <= lo, "bottom_30").when(c >= hi, "top_30").otherwise("mid_40")

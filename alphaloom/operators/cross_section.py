@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions.columns import clip, row_mean
 from alphaloom.operators.order_stats import grouped_order_stats, median
+from alphaloom.operators.staging import stage
 
 
 def group_transform(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], calendar_keyed: bool = False) -> DataFrame:
@@ -41,19 +42,23 @@ def winsorize_mad(df: DataFrame, columns: Sequence[str], date: str = "trade_date
     """Clip each column per date to ``median ± n_mad·MAD``.
 
     With ``strict_nulls`` a (date, column) group holding any NULL is left as it is, which is
-    the reference behaviour; otherwise NULLs are skipped.
+    the reference behaviour; otherwise NULLs are skipped. ``df`` is read several times: stage it.
     """
     span = range(len(columns))
-    med = grouped_order_stats(df, [date], {f"_m{i}": median(F.col(c)) for i, c in enumerate(columns)}, calendar_keyed=True)
-    med = med.select(date, *[f"_m{i}" for i in span])
+    rows = stage(df.where(F.col(date).isNotNull()).groupBy(date).agg(F.count(F.lit(1)).alias("_rows")))
+    largest = int(rows.agg(F.max("_rows")).first()[0] or 0)
+    med = grouped_order_stats(df, [date], {f"_m{i}": median(F.col(c)) for i, c in enumerate(columns)}, calendar_keyed=True, largest=largest)
+    med = stage(med.select(date, *[f"_m{i}" for i in span]))
     centred = df.select(date, *columns).join(F.broadcast(med), date)
     mad = grouped_order_stats(
-        centred, [date], {f"_a{i}": median(F.abs(F.col(c) - F.col(f"_m{i}"))) for i, c in enumerate(columns)}, calendar_keyed=True
+        centred,
+        [date],
+        {f"_a{i}": median(F.abs(F.col(c) - F.col(f"_m{i}"))) for i, c in enumerate(columns)},
+        calendar_keyed=True,
+        largest=largest,
     )
-    bounds = med.join(F.broadcast(mad.select(date, *[f"_a{i}" for i in span], *[f"_a{i}_n" for i in span])), date)
-    if strict_nulls:
-        rows = df.where(F.col(date).isNotNull()).groupBy(date).agg(F.count(F.lit(1)).alias("_rows"))
-        bounds = bounds.join(F.broadcast(rows), date)
+    bounds = stage(mad.select(date, *[f"_a{i}" for i in span], *[f"_a{i}_n" for i in span]))
+    bounds = med.join(F.broadcast(bounds), date).join(F.broadcast(rows), date)
     limits = []
     for i in span:
         usable = (F.col(f"_a{i}_n") == F.col("_rows")) if strict_nulls else F.lit(True)

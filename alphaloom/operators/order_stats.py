@@ -1,15 +1,16 @@
-"""Exact grouped order statistics that never gather a group in one task.
+"""Exact grouped order statistics that never gather an unbounded group in one task.
 
 ``percentile`` and ``median`` hold every distinct value of a group in one reducer, which a
-date or a training window with billions of rows does not survive. Here each statistic is
-found in two passes with map-side combining:
+date or a training window with billions of rows does not survive. The size of the largest
+group is measured first. Up to ``SMALL_GROUP`` rows, values are sorted within their group.
+Beyond it each statistic is found in two passes with map-side combining:
 
 1. per group, the row count and an approximate percentile *bracket* that surely holds the
    wanted rank (the sketch's rank error is at most ``n / ACCURACY``);
 2. rows below the bracket collapse to one counter, rows above it are dropped, and rows
    inside it collapse to (value, count) pairs, whose running count gives the exact rank.
 
-Groups of at most ``SMALL_GROUP`` rows use the whole value range as bracket.
+There, groups of at most ``SMALL_GROUP`` rows use the whole value range as bracket.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alphaloom.operators.staging import largest_group, stage
+
 ACCURACY = 10_000
 MARGIN = 5.0 / ACCURACY
 GRID = 200
@@ -50,16 +53,24 @@ def median(value: Column) -> OrderStat:
     return OrderStat(value, 0.5)
 
 
+def _ranks(stat: OrderStat, i: int, n: Column) -> tuple[Column, Column]:
+    """The two 1-based ranks a statistic needs (equal unless it interpolates)."""
+    if stat.rank_column is not None:
+        return F.col(f"_k{i}"), F.col(f"_k{i}")
+    if stat.rank is not None:
+        return stat.rank(n), stat.rank(n)
+    pos = (n - 1) * F.lit(stat.at)
+    return F.floor(pos) + 1, F.ceil(pos) + 1
+
+
+def _interpolates(stat: OrderStat) -> bool:
+    return stat.rank is None and stat.rank_column is None
+
+
 def _bracket(stat: OrderStat, i: int, small: int) -> list[Column]:
     """Count, the two ranks and the value bracket of statistic ``i``, from the aggregated row."""
     n, b = F.col(f"_n{i}"), F.col(f"_b{i}")
-    if stat.rank_column is not None:
-        first = second = F.col(f"_k{i}")
-    elif stat.rank is not None:
-        first = second = stat.rank(n)
-    else:
-        pos = (n - 1) * F.lit(stat.at)
-        first, second = F.floor(pos) + 1, F.ceil(pos) + 1
+    first, second = _ranks(stat, i, n)
     if stat.at is None:
         step = F.floor(first * F.lit(float(GRID)) / n).cast("int")
         lo = b[F.greatest(step - 1, F.lit(0))]
@@ -80,16 +91,19 @@ def grouped_order_stats(
     keys: Sequence[str],
     stats: Mapping[str, OrderStat],
     calendar_keyed: bool = False,
-    small: int = SMALL_GROUP,
+    small: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """One row per group: ``keys`` and, per statistic, its value and ``<name>_n`` (non-null
     count), ``<name>_less`` (rows strictly below it) and ``<name>_ties`` (rows equal to it).
 
     Groups with a NULL key are left out. ``calendar_keyed`` states that the keys take at most
     one value per calendar date (times a fixed list of scenarios); only then is the bracket
-    table broadcast.
+    table broadcast. ``largest`` is the row count of the biggest group when already known.
+    The input is read up to three times: stage it if it is costly.
     """
     keys, names = list(keys), list(stats)
+    small = SMALL_GROUP if small is None else small
     whole = not keys
     if whole:
         df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
@@ -98,6 +112,8 @@ def grouped_order_stats(
     span = range(len(names))
     extra = [F.col(stats[n].rank_column).alias(f"_k{i}") for i, n in enumerate(names) if stats[n].rank_column]
     rows = df.select(*keys, *[stats[n].value.cast("double").alias(f"_v{i}") for i, n in enumerate(names)], *extra)
+    if (largest_group(rows, [] if whole else keys) if largest is None else largest) <= small:
+        return _sorted_groups(rows, keys, stats, whole)
 
     aggs = []
     for i, n in enumerate(names):
@@ -154,7 +170,7 @@ def grouped_order_stats(
     for i, name in enumerate(names):
         p, n = F.col(f"_p{i}.v"), F.col(f"_p{i}.n")
         value = p
-        if stats[name].rank is None and stats[name].rank_column is None:
+        if _interpolates(stats[name]):
             pos = (n - 1) * F.lit(stats[name].at)
             value = p + (F.col(f"_q{i}") - p) * (pos - F.floor(pos))
         out += [
@@ -166,6 +182,31 @@ def grouped_order_stats(
     return picked.select(*([] if whole else keys), *out)
 
 
+def _sorted_groups(rows: DataFrame, keys: list[str], stats: Mapping[str, OrderStat], whole: bool) -> DataFrame:
+    """Groups known to hold at most ``SMALL_GROUP`` rows: pick from each group's sorted values."""
+    names = list(stats)
+    aggs = [F.sort_array(F.collect_list(f"_v{i}")).alias(f"_a{i}") for i in range(len(names))]
+    aggs += [F.max(f"_k{i}").alias(f"_k{i}") for i, n in enumerate(names) if stats[n].rank_column]
+    packed = rows.groupBy(*keys).agg(*aggs)
+    out = []
+    for i, name in enumerate(names):
+        values = F.col(f"_a{i}")
+        n = F.size(values)
+        first, second = _ranks(stats[name], i, n)
+        low = F.try_element_at(values, F.greatest(first, F.lit(1)).cast("int"))
+        value = low
+        if _interpolates(stats[name]):
+            pos = (n - 1) * F.lit(stats[name].at)
+            value = low + (F.try_element_at(values, F.greatest(second, F.lit(1)).cast("int")) - low) * (pos - F.floor(pos))
+        out += [
+            value.alias(name),
+            n.cast("long").alias(f"{name}_n"),
+            (F.array_position(values, low) - 1).alias(f"{name}_less"),
+            F.size(F.filter(values, lambda v, low=low: v == low)).cast("long").alias(f"{name}_ties"),
+        ]
+    return packed.select(*([] if whole else keys), *out)
+
+
 def keep_top(
     df: DataFrame,
     keys: Sequence[str],
@@ -185,7 +226,7 @@ def keep_top(
     hint = F.broadcast if calendar_keyed else (lambda d: d)
     base = df.withColumn("_x", (-order).cast("double")).withColumn("_t", tie.cast("double"))
     cut = grouped_order_stats(base, keys, {"_cut": OrderStat(F.col("_x"), at, size)}, calendar_keyed=calendar_keyed)
-    cut = cut.select(*keys, "_cut", (size(F.col("_cut_n")).cast("long") - F.col("_cut_less")).alias("_want"), "_cut_ties")
+    cut = stage(cut.select(*keys, "_cut", (size(F.col("_cut_n")).cast("long") - F.col("_cut_less")).alias("_want"), "_cut_ties"))
     split = cut.filter("_want < _cut_ties")
     tied = base.join(hint(split), keys).filter("_x = _cut")
     limit = grouped_order_stats(

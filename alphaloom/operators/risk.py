@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alphaloom.operators.staging import stage
+
 YEAR = 252.0
 UNLIMITED = 10.0
 
@@ -56,7 +58,7 @@ def return_windows(snapshot: DataFrame, panel: DataFrame, window: int = 60) -> D
     latest = W.partitionBy("rebalance_date").orderBy(F.col("trade_date").desc())
     days = days.withColumn("t", F.row_number().over(latest)).where(F.col("t") <= window)
     days = days.withColumn("n_days", F.count(F.lit(1)).over(W.partitionBy("rebalance_date")))
-    return rows.join(F.broadcast(days), ["rebalance_date", "trade_date"])
+    return stage(rows.join(F.broadcast(days), ["rebalance_date", "trade_date"]))
 
 
 def _gram_parts(width: int):
@@ -108,12 +110,14 @@ def shrinkage(windows: DataFrame, snapshot: DataFrame, window: int = 60) -> Data
     beta = F.least((F.col("_d4") / n - norm) / (p * n), delta)
     usable = F.coalesce(n, F.lit(0.0)) >= 2
     shrink = F.when((F.col("p") <= 1) | (beta <= 0) | (delta <= 0), 0.0).otherwise(beta / delta)
-    return out.select(
-        "rebalance_date",
-        F.coalesce("n_days", F.lit(0)).alias("n_days"),
-        "p",
-        F.when(usable, mu).otherwise(0.0).alias("mu"),
-        F.when(usable, shrink).otherwise(0.0).alias("shrink"),
+    return stage(
+        out.select(
+            "rebalance_date",
+            F.coalesce("n_days", F.lit(0)).alias("n_days"),
+            "p",
+            F.when(usable, mu).otherwise(0.0).alias("mu"),
+            F.when(usable, shrink).otherwise(0.0).alias("shrink"),
+        )
     )
 
 

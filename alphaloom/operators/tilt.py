@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alphaloom.operators.staging import stage
 from alphaloom.operators.risk import YEAR, Limits, active_variance
 
 STRENGTHS = (0.25, 0.5, 1.0, 2.0)
@@ -94,9 +95,9 @@ def tilt(
     )
     # rounding keeps float noise from deciding between equal candidates
     best = W.partitionBy(*keys).orderBy(F.round(value, 9).desc(), F.col("candidate"))
-    chosen = per.withColumn("_rn", F.row_number().over(best)).where("_rn <= 1").select(*ckeys, "_theta")
+    chosen = stage(per.withColumn("_rn", F.row_number().over(best)).where("_rn <= 1").select(*ckeys, "_theta"))
     held = rows.join(F.broadcast(chosen), ckeys).withColumn("weight", wb + F.col("_theta") * a)
-    targets = held.select(*df.columns, "candidate", "weight").withColumn("optimization_status", F.lit("tilted"))
+    targets = stage(held.select(*df.columns, "candidate", "weight").withColumn("optimization_status", F.lit("tilted")))
     return _fill_infeasible(df, targets, keys, by)
 
 
@@ -143,7 +144,8 @@ def turnover_path(targets: DataFrame, limits: Limits = Limits(), by: Sequence[st
     laid = targets.withColumns({"_s": label, "_i": number}).groupBy(*by, "_s", "ts_code").agg(
         F.map_from_entries(F.collect_list(F.struct("_i", "weight"))).alias("_m")
     )
-    laid = laid.select(*by, "_s", "ts_code", F.transform(F.sequence(F.lit(0), F.lit(len(dates) - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("_w")).persist()
+    laid = laid.select(*by, "_s", "ts_code", F.transform(F.sequence(F.lit(0), F.lit(len(dates) - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("_w"))
+    laid = stage(laid)
     present = {(x["_s"], x["_i"]) for x in targets.withColumns({"_s": label, "_i": number}).select("_s", "_i").distinct().collect()}
     scenarios = sorted({s for s, _ in present})
     steps: dict[str, list[float]] = {s: [] for s in scenarios}

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.operators.calendar import expand_index_ranges, period_ends, trading_calendar
+from alphaloom.operators.staging import stage
 
 LABEL = "label_excess_return_20d"
 
@@ -45,8 +46,8 @@ def rolling_plan(panel: DataFrame, train_months: int = 12, embargo: int | None =
     forward labels leak; with it on ``train_start <= d <= calendar[idx(predict) - embargo]``,
     and windows whose cut-off is the first date or earlier are skipped.
     """
-    calendar = trading_calendar(panel)
-    ends = period_ends(panel, period).join(F.broadcast(calendar), "trade_date")
+    calendar = stage(trading_calendar(panel))
+    ends = period_ends(calendar, period).join(F.broadcast(calendar), "trade_date")
     order = W.orderBy("idx")
     last = F.col("idx") - (1 if embargo is None else embargo)
     bounds = ends.select(
@@ -57,22 +58,23 @@ def rolling_plan(panel: DataFrame, train_months: int = 12, embargo: int | None =
     ).where("first_idx IS NOT NULL")
     if embargo is not None:
         bounds = bounds.where("last_idx > 1")
+    bounds = stage(bounds)
     days = expand_index_ranges(bounds.select("window_id", "first_idx", "last_idx"), calendar, F.col("first_idx"), F.col("last_idx"))
     targets = bounds.select("window_id", F.col("window_id").alias("trade_date"))
-    return TrainingPlan(days.select("window_id", "trade_date"), targets, bounds)
+    return TrainingPlan(stage(days.select("window_id", "trade_date")), stage(targets), bounds)
 
 
 def frozen_plan(panel: DataFrame, train_end: str, test_start: str, test_end: str | None = None, period: str = "month") -> TrainingPlan:
     """One window of all dates up to ``train_end``, scoring the period ends in [test_start, test_end]."""
     end, start = F.lit(train_end).cast("date"), F.lit(test_start).cast("date")
-    dates = trading_calendar(panel).select("trade_date")
+    dates = stage(trading_calendar(panel)).select("trade_date")
     days = dates.where(F.col("trade_date") <= end).select(end.alias("window_id"), "trade_date")
     test = dates.where(F.col("trade_date") >= start)
     if test_end is not None:
         test = test.where(F.col("trade_date") <= F.lit(test_end).cast("date"))
     targets = period_ends(test, period).select(end.alias("window_id"), "trade_date")
     bounds = days.groupBy("window_id").agg(F.min("trade_date").alias("train_start"))
-    return TrainingPlan(days, targets, bounds)
+    return TrainingPlan(stage(days), stage(targets), bounds)
 
 
 def training_rows(panel: DataFrame, plan: TrainingPlan, label: str = LABEL) -> DataFrame:
@@ -149,7 +151,7 @@ def ols_alpha(panel: DataFrame, plan: TrainingPlan, features: Sequence[str], lab
     daily = panel.where(F.col(label).isNotNull()).groupBy("trade_date").agg(*_moments(x, F.col(label)))
     names = _moment_names(len(features))
     sums = daily.join(F.broadcast(plan.windows), "trade_date").groupBy("window_id").agg(*[F.sum(c).alias(c) for c in names])
-    coef = coefficients(sums, len(features), ["window_id"]).where(F.col("n_train") >= min_train_rows)
+    coef = stage(coefficients(sums, len(features), ["window_id"]).where(F.col("n_train") >= min_train_rows))
     rows = target_rows(panel, plan).join(F.broadcast(coef), "window_id")
     predictions = rows.select("trade_date", "ts_code", label, linear(x).alias("ml_score"))
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.col("coef")[i + 1]).alias("importance")) for i, f in enumerate(features)])

@@ -1,8 +1,8 @@
 """Stock-panel views derived from the driver tables.
 
 A supplier is a stock, a region an industry. Money is summed as whole cents so that every
-engine gets the same doubles. ``Data`` builds each view lazily as a DataFrame; frames many
-queries share can be kept with ``Data(keep=True)``.
+engine gets the same doubles. ``Data`` builds each view once, as a DataFrame; the views that
+several queries read more than once are staged.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from alphaloom.operators.factors import compute_factors, excess_return_label
 from alphaloom.operators.joins import asof_join, asof_series
 from alphaloom.operators.nav import daily_nav
 from alphaloom.operators.order_stats import keep_top
+from alphaloom.operators.staging import stage
 from alphaloom.operators.positions import equal_weight_book, prepare_snapshot, snapshots
 
 FEATURES = ("ret_20", "volatility_20", "turnover_20", "roe", "ep_ttm")
@@ -38,25 +39,25 @@ def rounded(df: DataFrame, columns, digits: int = 6) -> DataFrame:
 
 
 def view(build):
-    """Build a view once per ``Data``; with ``keep`` its rows stay cached as well."""
+    """Build a view once per ``Data``; the ones in STAGED are written and read back."""
 
     @wraps(build)
     def once(self):
         name = build.__name__
         if name not in self._views:
             df = build(self)
-            self._views[name] = df.persist() if self.keep and name in KEPT else df
+            self._views[name] = stage(df) if name in STAGED else df
         return self._views[name]
 
     return once
 
 
-KEPT = {"bars", "labeled", "model", "conformal"}
+STAGED = {"daily", "labeled", "model", "book", "nav", "conformal", "prepared", "membership"}
 
 
 class Data:
-    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = True):
-        self.spark, self.dir, self.keep = spark, sf_dir, keep
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
         self._views: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -194,7 +195,6 @@ def data(spark: SparkSession, sf_dir: str) -> Data:
     return _kept[key]
 
 
-def reset(spark: SparkSession) -> None:
-    """Forget shared views and their cached rows."""
+def reset() -> None:
+    """Forget shared views."""
     _kept.clear()
-    spark.catalog.clearCache()

@@ -9,6 +9,7 @@ from alphaloom.operators.factors import compute_factors, excess_return_label
 from alphaloom.operators.metrics import METRICS, performance_metrics
 from alphaloom.operators.nav import daily_nav
 from alphaloom.operators.positions import equal_weight_book
+from alphaloom.operators.staging import stage
 from checks import views as v
 from checks.fixtures import FEATURES, r, rounded
 from checks.registry import query
@@ -24,13 +25,16 @@ v.V["v_momdiag"] = "SELECT *, CAST(NULL AS DOUBLE) AS te, CAST(NULL AS DOUBLE) A
 v.V["v_mommet"] = v.metrics("v_momnav", "v_momdiag")
 
 
+COLUMNS = ("ts_code", "trade_date", "industry_name", "daily_return", "ret_20", "benchmark_daily_return")
+
+
 @query("flagship_momentum_metrics", f"SELECT {v.rnd(*v.METRICS)} FROM v_mommet")
 def flagship(d):
     """Momentum, winsorize, industry z-score, month-end top 20, costs, NAV, metrics."""
     bars = d.bars().join(d.industry().select("ts_code", "industry_name"), "ts_code", "left")
-    labeled = excess_return_label(compute_factors(bars), d.benchmark())
+    labeled = stage(excess_return_label(compute_factors(bars), d.benchmark()).select(*COLUMNS))
     scored = model_panel(labeled, ["ret_20"]).withColumn("score", F.round("ret_20", 8))
-    book = equal_weight_book(scored, 20)
+    book = stage(equal_weight_book(stage(scored), 20))
     return rounded(performance_metrics(daily_nav(labeled, book), book), METRICS)
 
 
