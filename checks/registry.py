@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = build
         if sql is not None:
-            ORACLE[name] = views.sql(sql)
+            ORACLE[name] = sql
         return build
 
     return add
@@ -28,3 +28,7 @@ def query(name: str, sql: str | None = None):
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: (lambda spark, sf_dir, b=b: b(fixtures.data(spark, sf_dir))) for n, b in QUERIES.items()}
+
+
+def oracle() -> dict[str, str]:
+    return {n: views.sql(text) for n, text in ORACLE.items()}
