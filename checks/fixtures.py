@@ -154,7 +154,7 @@ class Data:
     @view
     def scored(self):
         """Composite score, rounded so that equal z-scores tie in every engine."""
-        return self.model().withColumn("score", F.round(composite_score(FEATURES), 8))
+        return self.model().withColumn("score", r(composite_score(FEATURES), 8))
 
     @view
     def book(self):

@@ -130,7 +130,7 @@ def mean_of(cols, neg=("volatility_20",)) -> str:
     return f"({total}) / NULLIF({count}, 0)"
 
 
-V["v_scored"] = f"SELECT *, ROUND({mean_of(FEATURES)}, 8) AS score FROM v_model"
+V["v_scored"] = f"SELECT *, ROUND({mean_of(FEATURES)}, 8) + 0.0 AS score FROM v_model"
 V["v_cal"] = "SELECT trade_date, ROW_NUMBER() OVER (ORDER BY trade_date) AS idx FROM (SELECT DISTINCT trade_date FROM v_bars)"
 V["v_ends"] = """
 SELECT trade_date, idx, ROW_NUMBER() OVER (ORDER BY trade_date) AS seq FROM v_cal
