@@ -169,9 +169,10 @@ def prt06b(d):
     )
 
 
-@query("prt07_turnover_limited_path")
+@query("prt07_turnover_limited_path", "SELECT rebalance_date, ts_code, ROUND(weight, 5) AS weight FROM v_path WHERE weight > 1e-6")
 def prt07(d):
-    return tilt.turnover_path(base_tilt(d).select("rebalance_date", "ts_code", "weight"), LIMITS)
+    path = tilt.turnover_path(base_tilt(d).select("rebalance_date", "ts_code", "weight"), LIMITS)
+    return rounded(path.where("weight > 1e-6"), ["weight"], 5)
 
 
 @query("prt07_path_diagnostics")
@@ -213,7 +214,7 @@ def unc01(d):
 
 
 @query("unc02_candidate_filter", """SELECT rebalance_date, ts_code, ROUND(confidence, 6) + 0.0 AS confidence FROM v_cready
-QUALIFY ROW_NUMBER() OVER (PARTITION BY rebalance_date ORDER BY ROUND(confidence, 9) DESC, ts_code) <= GREATEST(CEIL(COUNT(*) OVER (PARTITION BY rebalance_date) * 0.7), LEAST(5, COUNT(*) OVER (PARTITION BY rebalance_date)))""")
+QUALIFY ROW_NUMBER() OVER (PARTITION BY rebalance_date ORDER BY ROUND(confidence, 9) DESC, ts_code) <= GREATEST(CEIL(COUNT(*) OVER (PARTITION BY rebalance_date) * CAST(0.7 AS DOUBLE)), LEAST(5, COUNT(*) OVER (PARTITION BY rebalance_date)))""")
 def unc02(d):
     rows = confident(d).withColumn("confidence", F.round("confidence", 9))
     return rounded(uncertainty.candidate_filter(rows, 0.7, 5).select("rebalance_date", "ts_code", "confidence"), ["confidence"])

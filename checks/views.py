@@ -70,7 +70,7 @@ V["v_member"] = """
 SELECT month, ts_code FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY month ORDER BY amt DESC, ts_code) AS rk, COUNT(*) OVER (PARTITION BY month) AS n
   FROM (SELECT CAST(DATE_TRUNC('month', trade_date) AS DATE) AS month, ts_code, SUM(cents) AS amt FROM v_daily GROUP BY 1, 2))
-WHERE rk <= CEIL(n * 0.6)"""
+WHERE rk <= CEIL(n * CAST(0.6 AS DOUBLE))"""
 V["v_find"] = "SELECT * FROM v_fin QUALIFY ROW_NUMBER() OVER (PARTITION BY ts_code, ann_date ORDER BY end_date DESC) = 1"
 V["v_asof"] = """
 SELECT b.*, f.ann_date, f.end_date, f.roe, f.netprofitmargin
