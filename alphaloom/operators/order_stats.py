@@ -56,7 +56,7 @@ def median(value: Column) -> OrderStat:
 def _ranks(stat: OrderStat, i: int, n: Column) -> tuple[Column, Column]:
     """The two 1-based ranks a statistic needs (equal unless it interpolates)."""
     if stat.rank_column is not None:
-        return F.col(f"_k{i}"), F.col(f"_k{i}")
+        return F.col(f"__k{i}"), F.col(f"__k{i}")
     if stat.rank is not None:
         return stat.rank(n), stat.rank(n)
     pos = (n - 1) * F.lit(stat.at)
@@ -69,7 +69,7 @@ def _interpolates(stat: OrderStat) -> bool:
 
 def _bracket(stat: OrderStat, i: int, small: int) -> list[Column]:
     """Count, the two ranks and the value bracket of statistic ``i``, from the aggregated row."""
-    n, b = F.col(f"_n{i}"), F.col(f"_b{i}")
+    n, b = F.col(f"__n{i}"), F.col(f"__b{i}")
     first, second = _ranks(stat, i, n)
     if stat.at is None:
         step = F.floor(first * F.lit(float(GRID)) / n).cast("int")
@@ -78,11 +78,11 @@ def _bracket(stat: OrderStat, i: int, small: int) -> list[Column]:
     else:
         lo, hi = b[0], b[1]
     return [
-        n.alias(f"_n{i}"),
-        first.cast("long").alias(f"_r{i}"),
-        second.cast("long").alias(f"_s{i}"),
-        F.when(n > small, lo).otherwise(F.lit(float("-inf"))).alias(f"_lo{i}"),
-        F.when(n > small, hi).otherwise(F.lit(float("inf"))).alias(f"_hi{i}"),
+        n.alias(f"__n{i}"),
+        first.cast("long").alias(f"__r{i}"),
+        second.cast("long").alias(f"__s{i}"),
+        F.when(n > small, lo).otherwise(F.lit(float("-inf"))).alias(f"__lo{i}"),
+        F.when(n > small, hi).otherwise(F.lit(float("inf"))).alias(f"__hi{i}"),
     ]
 
 
@@ -106,12 +106,12 @@ def grouped_order_stats(
     small = SMALL_GROUP if small is None else small
     whole = not keys
     if whole:
-        df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
+        df, keys = df.withColumn("__all", F.lit(1)), ["__all"]
     for k in keys:
         df = df.filter(F.col(k).isNotNull())
     span = range(len(names))
-    extra = [F.col(stats[n].rank_column).alias(f"_k{i}") for i, n in enumerate(names) if stats[n].rank_column]
-    rows = df.select(*keys, *[stats[n].value.cast("double").alias(f"_v{i}") for i, n in enumerate(names)], *extra)
+    extra = [F.col(stats[n].rank_column).alias(f"__k{i}") for i, n in enumerate(names) if stats[n].rank_column]
+    rows = df.select(*keys, *[stats[n].value.cast("double").alias(f"__v{i}") for i, n in enumerate(names)], *extra)
     if (largest_group(rows, [] if whole else keys) if largest is None else largest) <= small:
         return _sorted_groups(rows, keys, stats, whole)
 
@@ -119,10 +119,10 @@ def grouped_order_stats(
     for i, n in enumerate(names):
         at = stats[n].at
         points = [j / GRID for j in range(GRID + 1)] if at is None else [max(0.0, at - MARGIN), min(1.0, at + MARGIN)]
-        aggs.append(F.count(f"_v{i}").alias(f"_n{i}"))
-        aggs.append(F.percentile_approx(f"_v{i}", points, ACCURACY).alias(f"_b{i}"))
+        aggs.append(F.count(f"__v{i}").alias(f"__n{i}"))
+        aggs.append(F.percentile_approx(f"__v{i}", points, ACCURACY).alias(f"__b{i}"))
         if stats[n].rank_column:
-            aggs.append(F.max(f"_k{i}").alias(f"_k{i}"))
+            aggs.append(F.max(f"__k{i}").alias(f"__k{i}"))
     bracket = rows.groupBy(*keys).agg(*aggs)
     bracket = bracket.select(*keys, *[c for i, n in enumerate(names) for c in _bracket(stats[n], i, small)])
     if whole or calendar_keyed:
@@ -132,11 +132,11 @@ def grouped_order_stats(
         *[
             F.struct(
                 F.lit(i).alias("s"),
-                F.col(f"_n{i}").alias("n"),
-                F.col(f"_r{i}").alias("r1"),
-                F.col(f"_s{i}").alias("r2"),
-                F.when(F.col(f"_v{i}") >= F.col(f"_lo{i}"), F.col(f"_v{i}")).alias("v"),
-                (F.col(f"_v{i}") <= F.col(f"_hi{i}")).alias("inside"),
+                F.col(f"__n{i}").alias("n"),
+                F.col(f"__r{i}").alias("r1"),
+                F.col(f"__s{i}").alias("r2"),
+                F.when(F.col(f"__v{i}") >= F.col(f"__lo{i}"), F.col(f"__v{i}")).alias("v"),
+                (F.col(f"__v{i}") <= F.col(f"__hi{i}")).alias("inside"),
             )
             for i in span
         ]
@@ -160,24 +160,24 @@ def grouped_order_stats(
                 c
                 for i in span
                 for c in (
-                    F.max(F.when((F.col("s") == i) & holds1, F.struct("v", "n", (F.col("upto") - F.col("c")).alias("less"), "c"))).alias(f"_p{i}"),
-                    F.max(F.when((F.col("s") == i) & holds2, F.col("v"))).alias(f"_q{i}"),
+                    F.max(F.when((F.col("s") == i) & holds1, F.struct("v", "n", (F.col("upto") - F.col("c")).alias("less"), "c"))).alias(f"__p{i}"),
+                    F.max(F.when((F.col("s") == i) & holds2, F.col("v"))).alias(f"__q{i}"),
                 )
             ]
         )
     )
     out = []
     for i, name in enumerate(names):
-        p, n = F.col(f"_p{i}.v"), F.col(f"_p{i}.n")
+        p, n = F.col(f"__p{i}.v"), F.col(f"__p{i}.n")
         value = p
         if _interpolates(stats[name]):
             pos = (n - 1) * F.lit(stats[name].at)
-            value = p + (F.col(f"_q{i}") - p) * (pos - F.floor(pos))
+            value = p + (F.col(f"__q{i}") - p) * (pos - F.floor(pos))
         out += [
             value.alias(name),
             F.coalesce(n, F.lit(0)).alias(f"{name}_n"),
-            F.col(f"_p{i}.less").alias(f"{name}_less"),
-            F.col(f"_p{i}.c").alias(f"{name}_ties"),
+            F.col(f"__p{i}.less").alias(f"{name}_less"),
+            F.col(f"__p{i}.c").alias(f"{name}_ties"),
         ]
     return picked.select(*([] if whole else keys), *out)
 
@@ -185,12 +185,12 @@ def grouped_order_stats(
 def _sorted_groups(rows: DataFrame, keys: list[str], stats: Mapping[str, OrderStat], whole: bool) -> DataFrame:
     """Groups known to hold at most ``SMALL_GROUP`` rows: pick from each group's sorted values."""
     names = list(stats)
-    aggs = [F.sort_array(F.collect_list(f"_v{i}")).alias(f"_a{i}") for i in range(len(names))]
-    aggs += [F.max(f"_k{i}").alias(f"_k{i}") for i, n in enumerate(names) if stats[n].rank_column]
+    aggs = [F.sort_array(F.collect_list(f"__v{i}")).alias(f"__a{i}") for i in range(len(names))]
+    aggs += [F.max(f"__k{i}").alias(f"__k{i}") for i, n in enumerate(names) if stats[n].rank_column]
     packed = rows.groupBy(*keys).agg(*aggs)
     out = []
     for i, name in enumerate(names):
-        values = F.col(f"_a{i}")
+        values = F.col(f"__a{i}")
         n = F.size(values)
         first, second = _ranks(stats[name], i, n)
         low = F.try_element_at(values, F.greatest(first, F.lit(1)).cast("int"))
@@ -202,11 +202,15 @@ def _sorted_groups(rows: DataFrame, keys: list[str], stats: Mapping[str, OrderSt
             value.alias(name),
             n.cast("long").alias(f"{name}_n"),
             (F.array_position(values, low) - 1).alias(f"{name}_less"),
-            F.size(F.filter(values, lambda v, low=low: v == low)).cast("long").alias(f"{name}_ties"),
+            _count_equal(values, low).alias(f"{name}_ties"),
         ]
     return packed.select(*([] if whole else keys), *out)
 
 
+def _count_equal(values: Column, x: Column) -> Column:
+    return F.size(F.filter(values, lambda v: v == x)).cast("long")
+
+
 def keep_top(
     df: DataFrame,
     keys: Sequence[str],

@@ -65,8 +65,10 @@ def tilted_positions(
     target = stage(tilt.tilt(prepared, windows, shrink, limits, by, gamma=gamma))
     path = tilt.turnover_path(target.select(*keys, "ts_code", "weight"), limits, by, max_turnover)
     status = target.groupBy(*keys).agg(F.min("optimization_status").alias("optimization_status"))
-    rows = stage(prepared.join(path, [*keys, "ts_code"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))))
-    extra = F.col("extra_variance") if "extra_variance" in rows.columns else None
+    extra = F.col("extra_variance") if "extra_variance" in prepared.columns else None
+    kept = [*keys, "ts_code", "score", "benchmark_weight", "industry_name", *(["extra_variance"] if extra is not None else [])]
+    rows = prepared.select(*kept).join(path, [*keys, "ts_code"], "left")
+    rows = stage(rows.withColumn("weight", F.coalesce("weight", F.lit(0.0))))
     diag = risk.diagnostics(rows, windows, shrink, by, limits.covariance_ridge, extra)
     diag = diag.select(*keys, F.col("snapshot_turnover").alias("turnover"), "ex_ante_tracking_error", "max_industry_deviation")
     out = rows.where(F.col("weight") > MIN_WEIGHT).join(F.broadcast(diag), keys).join(F.broadcast(status), keys)

@@ -69,18 +69,18 @@ def raw_members(d):
     return d.industry().select(raw_code().alias("code"), F.coalesce("industry_name", F.lit("none")).alias("stock_name"), (F.col("pe_ttm") / 10).cast("string").alias("weight_pct"))
 
 
-BARS_SQL = f"SELECT code AS ts_code, trade_date, ROUND(price, 4) AS close, ROUND(LAG(price) OVER (PARTITION BY ts_code ORDER BY trade_date), 4) AS pre_close, vol, amount, {v.rnd('turnover_rate')} FROM v_code"
+BARS_SQL = f"SELECT code AS ts_code, trade_date, price AS close, LAG(price) OVER (PARTITION BY ts_code ORDER BY trade_date) AS pre_close, vol, amount, {v.rnd('turnover_rate')} FROM v_code"
 
 
 def show_bars(df):
-    return rounded(rounded(df.select("ts_code", "trade_date", "close", "pre_close", "vol", "amount", "turnover_rate"), ["close", "pre_close"], 4), ["turnover_rate"])
+    return rounded(df.select("ts_code", "trade_date", "close", "pre_close", "vol", "amount", "turnover_rate"), ["turnover_rate"])
 
 
-@query("src01_csv_round_trip", "SELECT code AS ts_code, trade_date, ROUND(price, 4) AS close, amount FROM v_code")
+@query("src01_csv_round_trip", "SELECT code AS ts_code, trade_date, price AS close, amount FROM v_code")
 def src01(d):
     path = sinks.save_table(raw_bars(d), folder("csv"), fmt="csv")
     back = conform.daily_bars(readers.read_csv(d.spark, path))
-    return back.select("ts_code", "trade_date", F.round("close", 4).alias("close"), "amount")
+    return back.select("ts_code", "trade_date", "close", "amount")
 
 
 @query("src02_pruned_scan", "SELECT l_suppkey AS ts_code, COUNT(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1")
@@ -211,10 +211,10 @@ def src18(d):
 # --- cleaning ------------------------------------------------------------------------------------
 
 
-@query("cln01_numeric_coercion", "SELECT code, trade_date, ROUND(price, 4) AS close FROM v_code")
+@query("cln01_numeric_coercion", "SELECT code, trade_date, price AS close FROM v_code")
 def cln01(d):
     rows = raw_bars(d).select(C.security_code(F.col("code")).alias("code"), C.to_date(F.col("date")).alias("trade_date"), C.to_double(F.col("close")).alias("close"))
-    return rounded(rows, ["close"], 4)
+    return rows
 
 
 @query("cln02_date_parse", "SELECT ts_code, CASE WHEN ts_code % 9 <> 4 THEN trade_date END AS parsed, STRFTIME(trade_date, '%Y%m%d') AS compact, COUNT(*) AS n FROM v_bars GROUP BY ALL")
@@ -291,10 +291,10 @@ def cln11(d):
     return conform.daily_bars(raw_bars(d), lots=True).select("ts_code", "trade_date", "vol")
 
 
-@query("cln12_derived_pre_close", "SELECT ts_code, trade_date, ROUND(CASE WHEN ts_code % 2 = 0 THEN close / 2 ELSE LAG(close) OVER (PARTITION BY ts_code ORDER BY trade_date) END, 4) AS pre_close FROM v_bars")
+@query("cln12_derived_pre_close", "SELECT ts_code, trade_date, CASE WHEN ts_code % 2 = 0 THEN close / 2 ELSE LAG(close) OVER (PARTITION BY ts_code ORDER BY trade_date) END AS pre_close FROM v_bars")
 def cln12(d):
     given = d.bars().withColumn("pre_close", F.when(F.col("ts_code") % 2 == 0, F.col("close") / 2))
-    return rounded(conform.derive_pre_close(given).select("ts_code", "trade_date", "pre_close"), ["pre_close"], 4)
+    return conform.derive_pre_close(given).select("ts_code", "trade_date", "pre_close")
 
 
 @query("cln13_unknown_category", "SELECT COALESCE(industry_name, 'UNKNOWN') AS industry_name, COUNT(*) AS n FROM v_panel GROUP BY 1")
@@ -307,10 +307,10 @@ def cln14(d):
     return d.panel().select("ts_code", r(C.reciprocal(F.col("pe_ttm"))).alias("ep_ttm")).groupBy("ts_code", "ep_ttm").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cln15_positive_finite_ratio", "SELECT ts_code, trade_date, ROUND(CASE WHEN turnover_rate > 0 THEN close * vol / turnover_rate END, 2) AS proxy FROM v_bars")
+@query("cln15_positive_finite_ratio", "SELECT ts_code, trade_date, CASE WHEN turnover_rate > 0 THEN close * vol / turnover_rate END AS proxy FROM v_bars")
 def cln15(d):
     p = C.positive_finite(F.try_divide(F.col("close") * F.col("vol"), F.col("turnover_rate")))
-    return d.bars().select("ts_code", "trade_date", F.round(p, 2).alias("proxy"))
+    return d.bars().select("ts_code", "trade_date", p.alias("proxy"))
 
 
 @query("cln16_clip", "SELECT ts_code, trade_date, CASE WHEN turnover_rate IS NOT NULL THEN ROUND(LEAST(GREATEST(turnover_rate, 0.1), 0.4), 6) END AS flat, CASE WHEN turnover_rate IS NOT NULL THEN ROUND(LEAST(GREATEST(turnover_rate, vol / 1000), vol / 110), 6) END AS rowwise FROM v_bars")
