@@ -57,18 +57,16 @@ def asof_join(
     clash = [c for c in values if c in left.columns]
     if clash:
         raise ValueError(f"as-of join would duplicate columns: {clash}")
+    rest = [c for c in left.columns if c not in (key, left_date)]
     r_type = latest.schema["_r"].dataType
-    l_struct = F.struct(*left.columns)
-    l_type = left.select(l_struct.alias("_l")).schema["_l"].dataType
-    both = left.select(F.col(key), F.col(left_date).alias("_d"), F.lit(1).alias("_side"), l_struct.alias("_l"), F.lit(None).cast(r_type).alias("_r")).unionByName(
-        latest.select(F.col(key), "_d", F.lit(0).alias("_side"), F.lit(None).cast(l_type).alias("_l"), "_r")
+    both = left.select(key, F.col(left_date).alias("_d"), F.lit(1).alias("_side"), *rest, F.lit(None).cast(r_type).alias("_r")).unionByName(
+        latest.select(key, "_d", F.lit(0).alias("_side"), "_r"), allowMissingColumns=True
     )
     w = W.partitionBy(key).orderBy("_d", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        both.withColumn("_r", F.last("_r", ignorenulls=True).over(w))
-        .where("_l IS NOT NULL")
-        .select("_l.*", *[F.col(f"_r.{c}").alias(c) for c in values])
-    )
+    matched = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    # key and date stay plain columns: later windows by (key, date) need no further shuffle or sort
+    mine = [F.col("_d").alias(left_date) if c == left_date else F.col(c) for c in left.columns]
+    return matched.select(*mine, *[F.col(f"_r.{c}").alias(c) for c in values])
 
 
 def asof_series(panel: DataFrame, series: DataFrame, date: str = "trade_date") -> DataFrame:
