@@ -10,7 +10,8 @@ Beyond it each statistic is found in two passes with map-side combining:
 2. rows below the bracket collapse to one counter, rows above it are dropped, and rows
    inside it collapse to (value, count) pairs, whose running count gives the exact rank.
 
-There, groups of at most ``SMALL_GROUP`` rows use the whole value range as bracket.
+There, groups of at most ``SMALL_GROUP`` rows use the whole value range as bracket, which keeps
+their number of (value, count) pairs bounded too.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ ACCURACY = 10_000
 MARGIN = 5.0 / ACCURACY
 GRID = 200
 SMALL_GROUP = 50_000
+# below this the margin would span less than the few ranks by which rank rules differ from ``at``
+BRACKET_FROM = 10_000
 
 
 @dataclass(frozen=True)
@@ -70,6 +73,7 @@ def _interpolates(stat: OrderStat) -> bool:
 def _bracket(stat: OrderStat, i: int, small: int) -> list[Column]:
     """Count, the two ranks and the value bracket of statistic ``i``, from the aggregated row."""
     n, b = F.col(f"__n{i}"), F.col(f"__b{i}")
+    small = max(small, BRACKET_FROM)
     first, second = _ranks(stat, i, n)
     if stat.at is None:
         step = F.floor(first * F.lit(float(GRID)) / n).cast("int")
