@@ -7,18 +7,16 @@ optimizer its true size, so that small ones are broadcast and large ones are not
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alphaloom.session import ensure_checkpoint_dir
+from alphaloom.session import scratch_path
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and return the stored table."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

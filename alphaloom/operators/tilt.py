@@ -9,6 +9,7 @@ optimum.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -125,66 +126,90 @@ def _fill_infeasible(df: DataFrame, targets: DataFrame, keys: list[str], by: lis
 
 
 def turnover_path(targets: DataFrame, limits: Limits = Limits(), by: Sequence[str] = (), max_turnover: dict | None = None) -> DataFrame:
-    """Walk from book to target with one-way turnover at most the limit per rebalance.
+    """Walk from book to target, moving at most the one-way turnover limit per rebalance.
 
-    ``w_t = w_{t-1} + min(1, limit/turnover_t)·(w*_t - w_{t-1})``. The step factor of a date
-    depends on all earlier ones, so the dates are taken in order; per step only one number per
-    scenario reaches the driver. Targets are laid out once as one short array per (scenario,
-    code) — at most one entry per rebalance — and every step is a map plus a sum over them.
-    The first book is taken as it is. ``max_turnover`` gives limits per scenario value.
+    ``targets`` holds every snapshot code of a date, zero weights included; a book lives on its
+    snapshot. The old book is cut to the codes still present and scaled back to sum 1, then
+    ``w = old + min(1, limit/move)·(target - old)`` with ``move = ½Σ|target - old|``. With
+    nothing left of the old book the target is taken as it is.
+
+    The step factor of a date depends on all earlier ones, so dates are taken in order. Targets
+    are laid out once as one short array per (scenario, code), with at most one entry per
+    rebalance; each step is a map and a sum over them that sends four numbers per scenario to
+    the driver. ``max_turnover`` gives limits per scenario value.
     """
     by = list(by) or ["_all"]
     plain = by == ["_all"]
     if plain:
         targets = targets.withColumn("_all", F.lit(0))
-    dates = [x[0] for x in targets.select("rebalance_date").distinct().orderBy("rebalance_date").collect()]
-    at = {d: i for i, d in enumerate(dates)}
-    number = F.element_at(F.create_map(*[v for d, i in at.items() for v in (F.lit(d), F.lit(i))]), F.col("rebalance_date"))
-    label = F.concat_ws("|", *[F.col(c).cast("string") for c in by])
-    laid = targets.withColumns({"_s": label, "_i": number}).groupBy(*by, "_s", "ts_code").agg(
-        F.map_from_entries(F.collect_list(F.struct("_i", "weight"))).alias("_m")
-    )
-    laid = laid.select(*by, "_s", "ts_code", F.transform(F.sequence(F.lit(0), F.lit(len(dates) - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("_w"))
-    laid = stage(laid)
-    present = {(x["_s"], x["_i"]) for x in targets.withColumns({"_s": label, "_i": number}).select("_s", "_i").distinct().collect()}
-    scenarios = sorted({s for s, _ in present})
-    steps: dict[str, list[float]] = {s: [] for s in scenarios}
-    for i in range(len(dates)):
-        book = _book(_steps_map(steps), i)
-        moved = laid.groupBy("_s").agg((F.sum(F.abs(F.element_at("_w", i + 1) - book)) / 2.0).alias("m"), F.sum(book).alias("held"))
-        for row in moved.collect():
-            s = row["_s"]
+    targets = targets.withColumn("_s", F.concat_ws("|", *[F.col(c).cast("string") for c in by]))
+    live = targets.select(*by, "_s", "rebalance_date").distinct().collect()
+    dates = sorted({x["rebalance_date"] for x in live})
+    present = {(x["_s"], x["rebalance_date"]) for x in live}
+    number = F.array_position(F.array(*[F.lit(d) for d in dates]), F.col("rebalance_date"))
+    laid = targets.groupBy(*by, "_s", "ts_code").agg(F.map_from_entries(F.collect_list(F.struct(number.alias("i"), "weight"))).alias("_m"))
+    slots = F.sequence(F.lit(1), F.lit(len(dates)))
+    laid = stage(laid.select(*by, "_s", "ts_code", F.transform(slots, lambda i: F.try_element_at("_m", i.cast("long"))).alias("_w")))
+    cached = laid.persist()
+    steps: dict[str, list[tuple[float, float]]] = {s: [] for s, _ in present}
+    held = dict.fromkeys(steps, 0.0)
+    for i, day in enumerate(dates):
+        state = cached.join(F.broadcast(_progress(laid.sparkSession, steps, held)), "_s")
+        slot = F.col("_st.i")
+        sums = state.select("_s", "_st.held", _book().alias("b"), F.try_element_at("_w", slot + 1).alias("w"), F.try_element_at("_w", slot + 2).alias("next"))
+        old = F.col("b") / F.col("held")
+        stays = F.col("next").isNotNull()
+        rows = sums.groupBy("_s").agg(
+            (F.sum(F.when(F.col("w").isNotNull(), F.abs(F.col("w") - old))) / 2.0).alias("move"),
+            F.sum(F.when(stays & F.col("w").isNotNull(), F.col("b"))).alias("old_stays"),
+            F.sum(F.when(stays, F.col("w"))).alias("target_stays"),
+            F.sum(F.when(stays, F.col("b"))).alias("all_stays"),
+        )
+        for row in rows.collect():
+            s, kept = row["_s"], held[row["_s"]]
             cap = (max_turnover or {}).get(s, limits.max_turnover)
-            if (s, i) not in present:
-                steps[s].append(0.0)
-            elif row["held"] <= 0 or row["m"] <= cap:
-                steps[s].append(1.0)
-            else:
-                steps[s].append(cap / row["m"])
-    path = _path(_steps_map(steps))
-    out = laid.select(*by, "ts_code", F.posexplode(path).alias("_i", "weight"))
-    when = F.element_at(F.array(*[F.lit(d) for d in dates]), F.col("_i") + 1)
-    live = targets.select(*by, "rebalance_date").distinct()
-    out = out.withColumn("rebalance_date", when).join(F.broadcast(live), [*by, "rebalance_date"])
-    return out.where(F.col("weight") > 0).select(*([] if plain else by), "rebalance_date", "ts_code", "weight")
-
-
-def _steps_map(steps: dict[str, list[float]]):
-    """The step factors so far of the row's scenario, as an array column."""
-    pairs = [v for s, f in steps.items() for v in (F.lit(s), F.array(*[F.lit(x) for x in f]).cast("array<double>"))]
-    return F.element_at(F.create_map(*pairs), F.col("_s"))
-
-
-def _book(steps, i: int):
-    """Book before step ``i``: the targets folded with the factors known so far."""
-    if i == 0:
-        return F.lit(0.0)
-    return F.aggregate(F.arrays_zip(F.slice("_w", 1, i).alias("w"), steps.alias("f")), F.lit(0.0), lambda acc, x: acc + x["f"] * (x["w"] - acc))
-
-
-def _path(steps):
-    """All books of a code, in date order."""
-    zipped = F.arrays_zip(F.col("_w").alias("w"), steps.alias("f"))
+            if (s, day) not in present:
+                steps[s].append((-1.0, 0.0))
+                held[s] = row["all_stays"] or 0.0
+                continue
+            step = 1.0 if kept <= 0 or row["move"] <= cap else cap / row["move"]
+            steps[s].append((kept, step))
+            held[s] = ((1.0 - step) * (row["old_stays"] or 0.0) / kept if kept > 0 else 0.0) + step * (row["target_stays"] or 0.0)
+    cached.unpersist()
+    done = laid.join(F.broadcast(_progress(laid.sparkSession, steps, held)), "_s")
+    out = done.select(*by, "ts_code", F.posexplode(_path()).alias("_i", "weight")).where("weight > 0")
+    out = out.withColumn("rebalance_date", F.element_at(F.array(*[F.lit(d) for d in dates]), F.col("_i") + 1))
+    real = laid.sparkSession.createDataFrame([tuple(x[c] for c in (*by, "rebalance_date")) for x in live], targets.select(*by, "rebalance_date").schema)
+    out = out.join(F.broadcast(real), [*by, "rebalance_date"], "left_semi")
+    return out.select(*([] if plain else by), "rebalance_date", "ts_code", "weight")
+
+
+def _progress(spark, steps: dict[str, list[tuple[float, float]]], held: dict[str, float]) -> DataFrame:
+    """One row per scenario with the steps so far, as a column: the plan of every step is then the
+    same text, compiled once."""
+    state = {s: {"i": len(f), "held": held[s] if held[s] > 0 else 1.0, "f": [{"kept": k, "step": x} for k, x in f]} for s, f in steps.items()}
+    schema = "map<string, struct<i: int, held: double, f: array<struct<kept: double, step: double>>>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(state)), schema)).alias("_s", "_st"))
+
+
+def _next_book(book, x):
+    """One code's weight after a step; ``kept`` is -1 on dates the scenario does not trade."""
+    kept, step, target = x["f"]["kept"], x["f"]["step"], x["w"]
+    moved = F.when(kept > 0, book / kept * (1.0 - step)).otherwise(0.0) + step * target
+    return F.when(kept < 0, book).otherwise(F.coalesce(moved, F.lit(0.0)))
+
+
+def _zipped():
+    return F.arrays_zip(F.slice("_w", F.lit(1), F.size("_st.f")).alias("w"), F.col("_st.f").alias("f"))
+
+
+def _book():
+    """A code's weight after the steps so far."""
+    return F.aggregate(_zipped(), F.lit(0.0), _next_book)
+
+
+def _path():
+    """All weights of a code, in date order."""
     seed = F.array().cast("array<double>")
     last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0))
-    return F.aggregate(zipped, seed, lambda acc, x: F.concat(acc, F.array(last(acc) + x["f"] * (x["w"] - last(acc)))))
+    return F.aggregate(_zipped(), seed, lambda acc, x: F.concat(acc, F.array(_next_book(last(acc), x))))

@@ -91,6 +91,21 @@ def mod04b(d):
     return boosted_alpha(d.model(), plan, ["ret_20", "volatility_20", "turnover_20"], min_train_rows=MIN_ROWS, params=params).predictions
 
 
+v.V["v_zrows"] = f"""SELECT DATE '1998-12-31' AS window_id, trade_date, ts_code, industry_name, COALESCE(ret_20, 0) AS x, {v.LABEL} AS y
+FROM v_model WHERE trade_date <= DATE '1998-12-31' AND {v.LABEL} IS NOT NULL"""
+v.V["v_zsplit"] = v.split("v_zrows")
+v.V["v_zcoef"] = v.ols("v_zsplit", where="NOT is_calibration")
+v.V["v_zq"] = v.conf_q("(SELECT s.*, ABS(y - intercept - slope * x) AS score FROM v_zsplit s JOIN v_zcoef USING (window_id) WHERE is_calibration)", 0.1)
+
+
+@query("mod04_frozen_conformal", """SELECT m.trade_date, m.ts_code, ROUND(intercept + slope * COALESCE(ret_20, 0), 6) + 0.0 AS ml_score, ROUND(q, 6) + 0.0 AS ci_half_width FROM v_model m CROSS JOIN v_zcoef CROSS JOIN v_zq
+WHERE trade_date IN (SELECT MAX(trade_date) FROM v_cal WHERE trade_date >= DATE '1999-01-01' GROUP BY DATE_TRUNC('month', trade_date))""")
+def mod04c(d):
+    plan = frozen_plan(d.model(), "1998-12-31", "1999-01-01")
+    res = conformal_predictions(d.model(), X, min_train_rows=MIN_ROWS, locally_adaptive=False, split_key=split_key(), plan=plan)
+    return rounded(res.predictions.select("trade_date", "ts_code", "ml_score", "ci_half_width"), ["ml_score", "ci_half_width"])
+
+
 v.V["v_ocoef"] = v.ols("v_wrows")
 
 

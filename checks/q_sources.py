@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from alphaloom import schemas
@@ -12,16 +10,13 @@ from alphaloom.operators.cross_section import fill_median
 from alphaloom.operators.factors import OPTIONAL_INPUTS, with_missing_columns
 from alphaloom.operators.joins import first_row
 from alphaloom.operators.staging import stage
+from alphaloom.session import scratch_path
 from alphaloom.sources import conform, quality, readers, sinks
 from checks import views as v
 from checks.fixtures import r, rounded
 from checks.registry import query
 
 
-def folder(name):
-    return tempfile.mkdtemp(prefix=f"alphaloom-{name}-") + "/out"
-
-
 def raw_code():
     even = F.concat(F.lit("sh."), (F.col("ts_code") + 600000).cast("string"))
     return F.when(F.col("ts_code") % 2 == 0, even).otherwise(F.concat(F.lit("sz."), F.lpad(F.col("ts_code").cast("string"), 6, "0")))
@@ -78,7 +73,7 @@ def show_bars(df):
 
 @query("src01_csv_round_trip", "SELECT code AS ts_code, trade_date, price AS close, amount FROM v_code")
 def src01(d):
-    path = sinks.save_table(raw_bars(d), folder("csv"), fmt="csv")
+    path = sinks.save_table(raw_bars(d), scratch_path(d.spark, "csv"), fmt="csv")
     back = conform.daily_bars(readers.read_csv(d.spark, path))
     return back.select("ts_code", "trade_date", "close", "amount")
 
@@ -95,7 +90,7 @@ SELECT 'constituents', COUNT(*), COUNT(*) FROM supplier UNION ALL SELECT 'financ
 
 @query("src03_bundle_load", "SELECT * FROM v_bundle")
 def src03(d):
-    base, names = tempfile.mkdtemp(prefix="alphaloom-bundle-"), {**readers.REQUIRED, **readers.OPTIONAL}
+    base, names = scratch_path(d.spark, "bundle"), {**readers.REQUIRED, **readers.OPTIONAL}
     raw = {"constituents": raw_members(d), "valuation": raw_valuation(d), "financials": raw_financials(d), "bars": raw_bars(d)}
     for k, df in raw.items():
         sinks.save_table(df, f"{base}/{names[k]}", fmt="csv")
@@ -158,7 +153,7 @@ def src11(d):
 @query("src12_concat_entities", "SELECT ts_code % 4 AS part, COUNT(*) AS n, CAST(SUM(vol) AS BIGINT) AS vol FROM v_bars GROUP BY 1")
 def src12(d):
     """One file set per entity group, read back as one multi-path scan."""
-    base = folder("parts")
+    base = scratch_path(d.spark, "parts")
     sinks.save_table(d.bars().withColumn("part", F.col("ts_code") % 4), base, ["part"])
     paths = [f"{base}/part={i}" for i in range(4)]
     return readers.read_table(d.spark, paths).groupBy((F.col("ts_code") % 4).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("vol").cast("long").alias("vol"))
@@ -180,13 +175,13 @@ def src14(d):
 
 @query("src15_partitioned_sink", "SELECT STRFTIME(trade_date, '%Y-%m') AS month, COUNT(*) AS n FROM v_bars WHERE trade_date >= DATE '1999-01-01' GROUP BY 1")
 def src15(d):
-    path = sinks.save_panel(d.bars(), folder("panel"))
+    path = sinks.save_panel(d.bars(), scratch_path(d.spark, "panel"))
     return d.spark.read.parquet(path).where("month >= '1999-01'").groupBy(F.col("month").cast("string").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src16_append_by_variant", "SELECT 'a' AS variant, COUNT(*) AS n FROM v_bars WHERE trade_date < DATE '1998-01-01' UNION ALL SELECT 'b', COUNT(*) FROM v_bars WHERE trade_date >= DATE '1998-01-01'")
 def src16(d):
-    path = folder("variants")
+    path = scratch_path(d.spark, "variants")
     sinks.append_variant(d.bars().where("trade_date < DATE'1998-01-01'"), path, "a")
     sinks.append_variant(d.bars().where("trade_date >= DATE'1998-01-01'"), path, "b")
     return d.spark.read.parquet(path).groupBy(F.col("variant").cast("string").alias("variant")).agg(F.count(F.lit(1)).alias("n"))
@@ -195,7 +190,7 @@ def src16(d):
 @query("src17_json_summary", "SELECT COUNT(*) AS n, COUNT(DISTINCT ts_code) AS codes, MAX(amount) AS top FROM v_bars")
 def src17(d):
     one = d.bars().agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ts_code").alias("codes"), F.max("amount").alias("top"))
-    path = sinks.save_summary(one, folder("json"))
+    path = sinks.save_summary(one, scratch_path(d.spark, "json"))
     return d.spark.read.schema("n long, codes long, top double").json(path)
 
 

@@ -57,10 +57,10 @@ s AS (SELECT seq, ts_code, weight FROM {target} JOIN q USING (rebalance_date)),
 walk AS (
   SELECT CAST(1 AS BIGINT) AS seq, ts_code, weight FROM s WHERE seq = 1
   UNION ALL
-  SELECT seq, ts_code, prev + CASE WHEN SUM(ABS(goal - prev)) OVER () / 2 <= {cap} THEN 1 ELSE {cap} / (SUM(ABS(goal - prev)) OVER () / 2) END * (goal - prev) AS weight
-  FROM (SELECT n.seq, c.ts_code, COALESCE(w.weight, 0) AS prev, COALESCE(s.weight, 0) AS goal
-        FROM (SELECT MAX(seq) + 1 AS seq FROM walk) n JOIN (SELECT DISTINCT ts_code FROM s) c ON n.seq <= (SELECT MAX(seq) FROM q)
-        LEFT JOIN walk w ON w.ts_code = c.ts_code LEFT JOIN s ON s.seq = n.seq AND s.ts_code = c.ts_code))
+  SELECT seq, ts_code, CASE WHEN held > 0 THEN prev / held + CASE WHEN mv <= {cap} THEN 1 ELSE {cap} / mv END * (goal - prev / held) ELSE goal END AS weight
+  FROM (SELECT *, SUM(ABS(goal - prev / NULLIF(held, 0))) OVER () / 2 AS mv FROM (
+    SELECT s.seq, s.ts_code, s.weight AS goal, COALESCE(w.weight, 0) AS prev, SUM(COALESCE(w.weight, 0)) OVER () AS held
+    FROM (SELECT MAX(seq) + 1 AS seq FROM walk) n JOIN s ON s.seq = n.seq LEFT JOIN walk w ON w.ts_code = s.ts_code)))
 SELECT q.rebalance_date, ts_code, weight FROM walk JOIN q USING (seq) WHERE weight > 1e-12"""
 
 
