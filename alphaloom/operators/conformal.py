@@ -54,8 +54,8 @@ def conformal_rank(alpha: float, textbook: bool = False) -> Callable[[Column], C
 
 
 def default_split_key(seed: int = 42) -> Column:
-    """Random-looking order of the training rows for the calibration split."""
-    return F.xxhash64("ts_code", "trade_date", F.lit(seed))
+    """Random-looking order of the training rows for the calibration split (53 bits, exact as a double)."""
+    return F.pmod(F.xxhash64("ts_code", "trade_date", F.lit(seed)), F.lit(1 << 53))
 
 
 def calibration_split(rows: DataFrame, key: Column, ratio: float = 0.3, windows: Sequence[str] = ("window_id",)) -> DataFrame:

@@ -72,8 +72,11 @@ def asof_join(
 def asof_series(panel: DataFrame, series: DataFrame, date: str = "trade_date") -> DataFrame:
     """Unkeyed backward as-of join of a low-frequency series: matched on the calendar, then joined by date.
 
-    The matched table has one row per calendar date, so it is broadcast and the panel is not shuffled.
+    The series is first reduced to one row per date (the largest by its columns). The matched
+    table has one row per calendar date, so it is broadcast and the panel is not shuffled.
     """
+    values = [c for c in series.columns if c != date]
+    series = series.groupBy(date).agg(F.max(F.struct(*values)).alias("_v")).select(date, "_v.*")
     dates = panel.select(date).where(F.col(date).isNotNull()).select(date).distinct()
     matched = as_of_calendar(dates, series.where(F.col(date).isNotNull()), date).drop("as_of_date")
     return panel.join(F.broadcast(matched), date, "left")

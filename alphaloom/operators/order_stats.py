@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alphaloom.operators.staging import largest_group, stage
 
@@ -215,6 +216,13 @@ def _count_equal(values: Column, x: Column) -> Column:
     return F.size(F.filter(values, lambda v: v == x)).cast("long")
 
 
+def tie_key(df: DataFrame, column: str) -> Column:
+    """Numeric tie-break: the column itself, or a fixed 53-bit hash order for text codes."""
+    if isinstance(df.schema[column].dataType, T.NumericType):
+        return F.col(column)
+    return F.pmod(F.xxhash64(column), F.lit(1 << 53))
+
+
 def keep_top(
     df: DataFrame,
     keys: Sequence[str],
@@ -227,8 +235,8 @@ def keep_top(
     """Rows whose rank in the group by (``order`` descending, ``tie`` ascending) is ``<= size(n)``.
 
     For group-sized cuts such as a top fraction, where ``row_number`` would sort a whole group
-    in one task. ``at`` is the rough share kept; ``tie`` must be numeric. Rows with NULL
-    ``order`` are neither counted nor kept.
+    in one task. ``at`` is the rough share kept; ``tie`` must be numeric (see :func:`tie_key`).
+    Rows with NULL ``order`` are neither counted nor kept.
     """
     keys = list(keys)
     hint = F.broadcast if calendar_keyed else (lambda d: d)

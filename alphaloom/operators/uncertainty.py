@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions.columns import clip, to_double
 from alphaloom.operators.cross_section import fill_median
-from alphaloom.operators.order_stats import keep_top
+from alphaloom.operators.order_stats import keep_top, tie_key
 
 MISSING = 0.5
 # Fixed scheme names.
@@ -39,7 +39,7 @@ def candidate_filter(snapshot: DataFrame, top_pct: float = 0.7, min_candidates:
     def size(n):
         return F.greatest(F.ceil(n * F.lit(top_pct)), F.least(F.lit(min_candidates), n))
 
-    return keep_top(snapshot, [*by, "rebalance_date"], F.col("confidence"), F.col("ts_code"), size, calendar_keyed=True)
+    return keep_top(snapshot, [*by, "rebalance_date"], F.col("confidence"), tie_key(snapshot, "ts_code"), size, calendar_keyed=True)
 
 
 def average_confidence(weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
