@@ -175,7 +175,18 @@ def prt07(d):
     return rounded(path.where("weight > 1e-6"), ["weight"], 5)
 
 
-@query("prt07_path_diagnostics")
+v.V["v_pfull"] = "SELECT p.*, COALESCE(w.weight, 0) AS weight FROM v_prep p LEFT JOIN v_path w USING (rebalance_date, ts_code)"
+v.V["v_pavar"] = v.avar("v_pfull")
+v.V["v_psturn"] = v.snap_turn("v_pfull")
+v.V["v_pdev"] = """SELECT rebalance_date, MAX(ABS(e - b)) AS max_industry_deviation FROM (
+  SELECT rebalance_date, industry_name, SUM(weight) AS e, SUM(benchmark_weight) AS b FROM v_pfull GROUP BY ALL) GROUP BY 1"""
+
+
+@query("prt07_path_diagnostics", """SELECT rebalance_date, ABS(s - 1) <= 1e-6 AS fully_invested, mn >= -1e-6 AND mx <= 0.1 + 1e-6 AS weight_ok,
+  active_variance <= POW(0.08, 2) / 252 + 1e-12 AS tracking_ok, max_industry_deviation <= 0.02 + 1e-6 AS industry_ok,
+  previous_held <= 0 OR snapshot_turnover <= 0.2 + 1e-6 AS turnover_ok
+FROM (SELECT rebalance_date, SUM(weight) AS s, MIN(weight) AS mn, MAX(weight) AS mx FROM v_pfull GROUP BY 1)
+JOIN v_pavar USING (rebalance_date) JOIN v_pdev USING (rebalance_date) JOIN v_psturn USING (rebalance_date)""")
 def prt07b(d):
     """The finished path, checked again against every constraint."""
     path = tilt.turnover_path(base_tilt(d).select("rebalance_date", "ts_code", "weight"), LIMITS)
