@@ -7,7 +7,7 @@ documents and a few words decide them, so a document is scored by its most toxic
 ``WINDOW`` words; training first spreads a document's label over all its windows, then follows
 the deciding window. Misspelt and inflected words share n-grams with the ones learnt.
 
-The classifier is fitted on at most ``TRAIN_DOCS`` labelled documents of each class, those with
+The classifier is fitted on at most ``TRAIN_DOCS`` labelled documents (clean, toxic), those with
 the least text hashes; class weights restore the labelled share of toxic documents. Scoring
 needs one number per bucket and covers every whole text.
 
@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 
 from alphaloom.llm.wordhash import Words, blocks, mix
 
-TRAIN_DOCS = 4000
+TRAIN_DOCS = {0: 8000, 1: 4000}
 BUCKETS = 2**18
 SIZE = 12
 WINDOW = 8
 NGRAMS = (3, 4, 5, 6)
-LEAST_DOCS = 4  # buckets in fewer training documents are not learnt
-WARM_ROUNDS, ROUNDS, RATE, DECAY = 60, 120, 0.05, 1e-4
+LEAST_DOCS = 6  # buckets in fewer training documents are not learnt
+WARM_ROUNDS, ROUNDS, RATE, DECAY = 40, 120, 0.05, 2e-5
+FOLLOWED, REFRESH = 8, 30  # windows of a text that may decide it, chosen anew every so many rounds
 CACHE_WORDS = 1_000_000
 _U = np.uint64
 _TO_SPACE = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
@@ -132,27 +133,38 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 5)
     bias = np.log(np.array([weight[toxic == 0].sum(), weight[toxic == 1].sum()]) / weight.sum())
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, top, bias)]
     of_window = np.repeat(np.arange(len(texts)), many)
+    sides = np.array([-1.0, 1.0])
+
+    def edges(codes: np.ndarray, window: np.ndarray, n: int) -> np.ndarray:
+        row_logits = emb @ (top @ sides)
+        word_logits = np.bincount(word_of, row_logits[row] * share, minlength=len(words))
+        return np.bincount(window, word_logits[codes], minlength=n) / WINDOW + bias @ sides
+
+    use, place, text = codes, window, of_window  # words, their windows and the windows' texts, as far as they are looked at
     for step in range(1, WARM_ROUNDS + ROUNDS + 1):
-        row_logits = emb @ top
-        word_logits = np.stack([np.bincount(word_of, row_logits[row, c] * share, minlength=len(words)) for c in (0, 1)], 1)
-        logits = np.stack([np.bincount(window, word_logits[codes, c], minlength=len(of_window)) for c in (0, 1)], 1) / WINDOW + bias
-        edge = logits[:, 1] - logits[:, 0]
-        prob = 1 / (1 + np.exp(-edge))
-        pull = (prob - toxic[of_window]) * weight[of_window]
-        if step <= WARM_ROUNDS:
-            pull /= many[of_window]
+        late = step - WARM_ROUNDS - 1
+        if late >= 0 and late % REFRESH == 0:
+            edge = edges(codes, window, len(of_window))
+            order = np.lexsort((-edge, of_window))
+            chosen = np.zeros(len(edge), bool)
+            chosen[order[np.arange(len(edge)) - np.repeat(begin[:-1], many) < FOLLOWED]] = True
+            on = chosen[window]
+            use, place, text = codes[on], (np.cumsum(chosen) - 1)[window[on]], of_window[chosen]
+        edge = edges(use, place, len(text))
+        pull = (1 / (1 + np.exp(-edge)) - toxic[text]) * weight[text] / weight.sum()
+        if late < 0:
+            pull /= many[text]
         else:
-            best = np.maximum.reduceat(edge, begin[:-1])
-            decides = np.flatnonzero(edge == best[of_window])
-            _, one = np.unique(of_window[decides], return_index=True)
+            first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+            best = np.repeat(np.maximum.reduceat(edge, first), np.diff(np.append(first, len(text))))
+            decides = np.flatnonzero(edge == best)
+            _, one = np.unique(text[decides], return_index=True)
             mask = np.zeros(len(edge))
             mask[decides[one]] = 1
             pull = pull * mask
-        pull /= weight.sum()
-        on_word = np.bincount(codes, pull[window], minlength=len(words)) / WINDOW
+        on_word = np.bincount(use, pull[place], minlength=len(words)) / WINDOW
         on_row = np.bincount(row, on_word[word_of] * share, minlength=len(rows))
-        sides = np.array([-1.0, 1.0])
-        grads = (np.outer(on_row, top @ sides) + DECAY * emb / max(1, len(rows)), np.outer(emb.T @ on_row, sides), pull.sum() * sides)
+        grads = (np.outer(on_row, top @ sides) + DECAY * emb, np.outer(emb.T @ on_row, sides), pull.sum() * sides)
         for p, g, s in zip((emb, top, bias), grads, state, strict=True):
             s[0] += 0.1 * (g - s[0])
             s[1] += 0.001 * (g * g - s[1])
@@ -162,7 +174,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 5)
     return Model(out, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train_docs: int = TRAIN_DOCS) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train_docs: dict[int, int] = TRAIN_DOCS) -> Model | float:
     """A model fitted on labelled documents, or the share of toxic rows where one class is missing."""
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).alias("y"))
     own = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
@@ -170,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(counts) < 2:
         return 1.0 if 1 in counts else 0.0
-    picked = [rows.filter(F.col("y") == c).orderBy(F.xxhash64("_t"), "_id").limit(train_docs) for c in (0, 1)]
+    picked = [rows.filter(F.col("y") == c).orderBy(F.xxhash64("_t"), "_id").limit(train_docs[c]) for c in (0, 1)]
     sample = picked[0].unionByName(picked[1]).select("_t", "y").toPandas()
     y = sample["y"].to_numpy()
     per_class = np.array([counts[0] / (y == 0).sum(), counts[1] / (y == 1).sum()])
