@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity, warc_zip
+from alphaloom.llm import decontaminate, hmm, line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -123,3 +123,12 @@ items AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item,
 SELECT d.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover ON d.id = cover.id LEFT JOIN items ON d.id = items.id"""
+
+
+@query
+def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of every document; a fifth of the documents is held out of the training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = hmm.score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
