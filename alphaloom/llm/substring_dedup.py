@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alphaloom.llm.storage import settle
 from alphaloom.llm.wordhash import Words, blocks, mix, sliding_min
 
 SPAN = 13
@@ -244,15 +245,20 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_id`` and ``starts``: word positions of the windows that a document with a smaller id has too."""
+    """``_id`` and ``starts``: word positions of the windows that a document with a smaller id has too.
+
+    Shared anchors and indexed windows are staged, so that the shuffles of one step are gone
+    before the next one begins.
+    """
     own = _bare(docs, doc_id, text)
     anchors = own.filter("_id IS NOT NULL").mapInPandas(_anchors, "anchor BIGINT, _id BIGINT")
     seen = anchors.groupBy("anchor").agg(F.min("_id").alias("a"), F.max("_id").alias("b"), F.count(F.lit(1)).alias("n"))
     seen = seen.filter("a < b").select("anchor", (F.col("n") > BUSY_ANCHOR).alias("busy"))
     flags = anchors.join(seen, "anchor").groupBy("_id").agg(F.collect_list("anchor").alias("shared"), F.expr("collect_list(anchor) FILTER (WHERE busy)").alias("busy"))
+    flags = settle(flags)
     cut = own.join(flags, "_id", "left").mapInPandas(_segments, "route BIGINT, key BIGINT, _id BIGINT, start INT, words BINARY")
     distinct = cut.groupBy("route", "key").agg(F.min("_id").alias("least"), F.max("_id").alias("last"), F.min("words").alias("words"))
-    owners = distinct.repartition("route").sortWithinPartitions("route").mapInPandas(_search, "route BIGINT, key BIGINT, least ARRAY<BIGINT>")
+    owners = settle(distinct.repartition("route").sortWithinPartitions("route").mapInPandas(_search, "route BIGINT, key BIGINT, least ARRAY<BIGINT>"))
     hits = cut.select("route", "key", "_id", "start").join(owners, ["route", "key"])
     hits = hits.selectExpr("_id", "filter(transform(least, (x, i) -> CASE WHEN x < _id THEN start + i END), x -> x IS NOT NULL) AS starts")
     return hits.filter("size(starts) > 0").groupBy("_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
