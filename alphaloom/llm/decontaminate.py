@@ -6,7 +6,8 @@ kept, on both sides, so any shared span of 10 words shares a kept fingerprint. F
 are joined, each hit is extended to the windows around it and compared word by word.
 
 Edge cases: null, empty and wordless texts match nothing; items without words are ignored;
-repeated items and rows each count; an empty table on either side gives zero hits.
+repeated items count once each per id, repeated rows get equal results; an empty table on either
+side gives zero hits; columns pass through, except those named like a result.
 """
 
 from __future__ import annotations
@@ -81,8 +82,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     )
     hits = near.groupBy("_id").agg(F.collect_set(F.struct("item", "iw", "shift", "lo", "hi")).alias("near"))
 
-    out = docs.join(hits.withColumnRenamed("_id", "_hit_id"), F.col(doc_id) == F.col("_hit_id"), "left").drop("_hit_id")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in (doc_id, text) or c.lower() not in ("n_words", "n_hit", "items", "hits", "near", "_w", "_m", "_hit_id")])
     own = [f"`{c}`" for c in docs.columns]
+    out = docs.join(hits.withColumnRenamed("_id", "_hit_id"), F.col(doc_id) == F.col("_hit_id"), "left").drop("_hit_id")
     out = out.selectExpr(
         *own, f"CAST(coalesce(regexp_count(`{text}`, '{WORD}'), 0) AS BIGINT) AS n_words", "near",
         f"CASE WHEN near IS NULL THEN array() ELSE {words(f'`{text}`')} END AS _w",

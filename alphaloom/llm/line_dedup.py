@@ -7,7 +7,8 @@ host can exceed it, so a host's boilerplate is one short array that joins its pa
 
 Edge cases: a null text has no lines and stays null; lines without a visible character are
 never counted or dropped; a line repeated inside a page counts once; a null host is a host of
-its own; pages of one host may hold any share of the rows (no task gathers a host's pages).
+its own; pages of one host may hold any share of the rows (no task gathers a host's pages);
+an empty table gives an empty result; columns pass through, except those named like a result.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
 def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with ``text`` rid of its host's boilerplate lines, plus ``n_lines`` and ``n_dropped`` (lines with a visible character)."""
     marks = boilerplate(pages, host, text, ratio, min_pages).select(F.col("host").alias("_host"), F.col("lines").alias("_bad"))
+    pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c in (host, text) or c.lower() not in ("n_lines", "n_dropped", "_host", "_bad", "_all", "_kept")])
     out = pages.join(marks, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
     own = [f"`{c}`" for c in pages.columns]
     out = out.selectExpr(*own, "_bad", f"split(`{text}`, '\\n') AS _all")

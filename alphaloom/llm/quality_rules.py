@@ -7,7 +7,8 @@ good or bad on good and on bad documents and gives each pattern its posterior pr
 being good. Texts that break a hard limit are rejected whatever the posterior says.
 
 Edge cases: a null or blank text has no words and fails the hard limit; equal rows get equal
-results; an empty table gives an empty result; other columns of the input are not touched.
+results; an empty table gives an empty result; other columns pass through, except those named like a
+result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ RULES = {
     "garbled": ("n_garbled * 100 > word_chars", "n_garbled = 0"),
 }
 
+#: names of results and helpers; input columns of such a name are left out
+_NAMES = {
+    "n_words", "word_chars", "n_symbols", "n_upper", "n_garbled", "n_exclaim", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+    "quality_prob", "_t", "_w", "_l", "_h", "_s", "_p", *(f"vote_{r}" for r in RULES),
+}
+
 
 def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with the counts that the rules and the hard limit use.
@@ -39,7 +46,7 @@ def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
     same text. Windows are compared by their 64-bit hashes; positions are only sorted for the
     texts that have a repeated hash.
     """
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c != text and c.lower() not in _NAMES]
     t = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t")).selectExpr(
         *[f"`{c}`" for c in keep],
         "_t",

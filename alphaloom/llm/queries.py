@@ -132,3 +132,11 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hmm.score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
