@@ -276,6 +276,7 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if starts is not None and len(starts):
                 cover = np.zeros(len(words) + 1, np.int64)
                 s = np.unique(starts)
+                s = s[s + SPAN <= len(words)]  # rows of one id with different texts
                 cover[s] += 1
                 cover[s + SPAN] -= 1
                 keep = np.cumsum(cover)[:-1] == 0
