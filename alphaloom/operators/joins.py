@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,16 +41,18 @@ def asof_join(
 ) -> DataFrame:
     """Keyed backward as-of join: the whole latest right row with ``right_date <= left_date``.
 
-    Right rows sharing (key, date) are reduced to the one with the latest ``tie`` first, so a
+    Right rows sharing (key, date) are reduced to the one with the latest ``tie`` first (NULL
+    is the earliest; equal ones are decided by the remaining columns, largest first), so a
     key's group holds at most one row per side and calendar date, however hot the key was in
     the feeds. With ``left_unique=False`` (intraday rows) the match is made on the distinct
     (key, date) pairs and joined back.
     """
     values = [c for c in right.columns if c not in (key,)]
     right = right.where(F.col(key).isNotNull() & F.col(right_date).isNotNull())
-    packed = F.struct(*values)
     order = F.col(tie) if tie else F.lit(1)
-    latest = right.groupBy(key, F.col(right_date).alias("_d")).agg(F.max_by(packed, order).alias("_r"))
+    # a struct's order puts NULL first, so a row without ``tie`` loses to others but is never left out
+    ranked = F.max(F.struct(order.alias("o"), F.struct(*values).alias("row")))
+    latest = right.groupBy(key, F.col(right_date).alias("_d")).agg(ranked.getField("row").alias("_r"))
     if not left_unique:
         days = left.select(key, left_date).where(F.col(left_date).isNotNull()).distinct()
         return left.join(asof_join(days, right, key, left_date, right_date, tie), [key, left_date], "left")
@@ -72,7 +74,7 @@ def asof_join(
 def asof_series(panel: DataFrame, series: DataFrame, date: str = "trade_date") -> DataFrame:
     """Unkeyed backward as-of join of a low-frequency series: matched on the calendar, then joined by date.
 
-    The series is first reduced to one row per date (the largest by its columns). The matched
+    The series is first reduced to one whole row per date, the largest by its columns in turn. The matched
     table has one row per calendar date, so it is broadcast and the panel is not shuffled.
     """
     values = [c for c in series.columns if c != date]
@@ -83,9 +85,9 @@ def asof_series(panel: DataFrame, series: DataFrame, date: str = "trade_date") -
 
 
 def join_date_series(panel: DataFrame, series: DataFrame, date: str = "trade_date") -> DataFrame:
-    """Left join of a series with one row per date; duplicates are refused by taking the aggregate."""
+    """Left join of a series by date; of several rows of a date the whole least one (column by column) counts."""
     values = [c for c in series.columns if c != date]
-    unique = series.groupBy(date).agg(*[F.min(c).alias(c) for c in values]) if values else series.distinct()
+    unique = series.groupBy(date).agg(F.min(F.struct(*values)).alias("_v")).select(date, "_v.*") if values else series.distinct()
     return panel.join(F.broadcast(unique), date, "left")
 
 
@@ -124,15 +126,3 @@ def attach_predictions(panel: DataFrame, predictions: DataFrame, columns: Sequen
     """Left join of predictions on (date, code); ``score`` also becomes the ``score`` column."""
     out = panel.join(predictions.select("trade_date", "ts_code", *columns), ["trade_date", "ts_code"], "left")
     return out.withColumn("score", F.col(score)) if score else out
-
-
-def densify(codes: DataFrame, dates: DataFrame, values: DataFrame, columns: Mapping[str, float], key: str = "ts_code", date: str = "trade_date") -> DataFrame:
-    """Rows for every (code, calendar date) with missing values filled.
-
-    Dates come as one array from the calendar and are exploded per code: the output is the
-    size the caller asks for, with no cross join behind it.
-    """
-    calendar = dates.agg(F.sort_array(F.collect_set(date)).alias("d")).scalar()
-    grid = codes.select(key).distinct().withColumn(date, F.explode(calendar))
-    joined = grid.join(values.select(key, date, *columns), [key, date], "left")
-    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in columns.items()})

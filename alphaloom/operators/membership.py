@@ -15,12 +15,17 @@ from alphaloom.operators.joins import asof_series, join_date_series
 UNKNOWN = "UNKNOWN"
 
 
-def benchmark_profile(universe: DataFrame, codes: DataFrame) -> DataFrame:
-    """Benchmark weight per code from a membership table (con_code, weight).
+def benchmark_profile(universe: DataFrame, codes: DataFrame, as_of: str | None = None, date: str = "trade_date") -> DataFrame:
+    """Benchmark weight per code from a membership table (con_code, weight), of one date.
 
+    A table with a ``date`` column gives the weights of its latest date on or before ``as_of``,
+    or of its earliest date without that; of several rows of a code the largest weight counts.
     Weights are scaled to sum 1; single missing weights stay NULL. Without a weight column,
     or with no weight at all, every code gets 1/n.
     """
+    if date in universe.columns:
+        day = F.max(F.when(F.col(date) <= F.lit(as_of).cast("date"), F.col(date))) if as_of else F.min(date)
+        universe = universe.where(F.col(date) == universe.agg(day.alias("d")).scalar())
     if "weight" not in universe.columns:
         rows = codes.select("ts_code").distinct().withColumn("benchmark_weight", F.lit(None).cast("double"))
     else:

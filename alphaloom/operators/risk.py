@@ -61,6 +61,16 @@ def return_windows(snapshot: DataFrame, panel: DataFrame, window: int = 60) -> D
     return stage(rows.join(F.broadcast(days), ["rebalance_date", "trade_date"]))
 
 
+def aligned_windows(windows: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(rebalance_date, ts_code, trade_date, x): every snapshot code on every day of its rebalance's
+    window, a missing return counted as 0; at most the window's length a snapshot row."""
+    days = windows.groupBy("rebalance_date").agg(F.collect_set("trade_date").alias("_days"))
+    grid = snapshot.select("rebalance_date", "ts_code").distinct().join(stage(days), "rebalance_date")
+    grid = grid.select("rebalance_date", "ts_code", F.explode("_days").alias("trade_date"))
+    rows = grid.join(windows.select("rebalance_date", "ts_code", "trade_date", "x"), ["rebalance_date", "ts_code", "trade_date"], "left")
+    return rows.withColumn("x", F.coalesce("x", F.lit(0.0)))
+
+
 def _gram_parts(width: int):
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -136,14 +138,16 @@ def turnover_path(targets: DataFrame, limits: Limits = Limits(), by: Sequence[st
     The step factor of a date depends on all earlier ones, so dates are taken in order. Targets
     are laid out once as one short array per (scenario, code), with at most one entry per
     rebalance; each step is a map and a sum over them that sends four numbers per scenario to
-    the driver. ``max_turnover`` gives limits per scenario value.
+    the driver. ``max_turnover`` gives limits per scenario: by its value, or by the tuple of the values of ``by``.
     """
     by = list(by) or ["_all"]
     plain = by == ["_all"]
     if plain:
         targets = targets.withColumn("_all", F.lit(0))
-    targets = targets.withColumn("_s", F.concat_ws("|", *[F.col(c).cast("string") for c in by]))
+    # one text per scenario that no two scenarios share, NULLs and separators in names included
+    targets = targets.withColumn("_s", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
     live = targets.select(*by, "_s", "rebalance_date").distinct().collect()
+    caps = {x["_s"]: (max_turnover or {}).get(x[by[0]] if len(by) == 1 else tuple(x[c] for c in by)) for x in live}
     dates = sorted({x["rebalance_date"] for x in live})
     present = {(x["_s"], x["rebalance_date"]) for x in live}
     number = F.array_position(F.array(*[F.lit(d) for d in dates]), F.col("rebalance_date"))
@@ -167,7 +171,7 @@ def turnover_path(targets: DataFrame, limits: Limits = Limits(), by: Sequence[st
         )
         for row in rows.collect():
             s, kept = row["_s"], held[row["_s"]]
-            cap = (max_turnover or {}).get(s, limits.max_turnover)
+            cap = limits.max_turnover if caps[s] is None else caps[s]
             if (s, day) not in present:
                 steps[s].append((-1.0, 0.0))
                 held[s] = row["all_stays"] or 0.0
@@ -180,7 +184,8 @@ def turnover_path(targets: DataFrame, limits: Limits = Limits(), by: Sequence[st
     out = done.select(*by, "ts_code", F.posexplode(_path()).alias("_i", "weight")).where("weight > 0")
     out = out.withColumn("rebalance_date", F.element_at(F.array(*[F.lit(d) for d in dates]), F.col("_i") + 1))
     real = laid.sparkSession.createDataFrame([tuple(x[c] for c in (*by, "rebalance_date")) for x in live], targets.select(*by, "rebalance_date").schema)
-    out = out.join(F.broadcast(real), [*by, "rebalance_date"], "left_semi")
+    same = [out[c].eqNullSafe(real[c]) for c in (*by, "rebalance_date")]
+    out = out.join(F.broadcast(real), reduce(and_, same), "left_semi")
     return out.select(*([] if plain else by), "rebalance_date", "ts_code", "weight")
 
 

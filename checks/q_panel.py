@@ -139,6 +139,13 @@ def pnl02(d):
     return benchmark_profile(u, d.daily().select("ts_code").distinct()).select("ts_code", F.round("benchmark_weight", 10).alias("benchmark_weight"))
 
 
+@query("pnl02_profile_of_dated_weights", """SELECT ts_code, ROUND(amount / SUM(amount) OVER (), 10) AS benchmark_weight
+FROM v_daily WHERE trade_date = (SELECT MAX(trade_date) FROM v_daily WHERE trade_date <= DATE '1998-06-30')""")
+def pnl02b(d):
+    u = d.daily().select(F.col("ts_code").alias("con_code"), "trade_date", F.col("amount").alias("weight"))
+    return benchmark_profile(u, d.daily(), "1998-06-30").select("ts_code", F.round("benchmark_weight", 10).alias("benchmark_weight"))
+
+
 @query("pnl03_redate_snapshot", """SELECT DATE '2001-12-31' AS trade_date, CAST(ts_code AS VARCHAR) AS con_code, amount AS weight
 FROM v_daily WHERE trade_date = (SELECT MAX(trade_date) FROM v_daily)""")
 def pnl03(d):

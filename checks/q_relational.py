@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.functions import columns as C
-from alphaloom.operators import factors, joins, reports
+from alphaloom.operators import joins, reports
 from alphaloom.operators.calendar import as_of_calendar, month_spine, period_ends, shift_dates, trading_calendar
 from alphaloom.operators.conformal import realised, valid_intervals
 from alphaloom.operators.cross_section import group_median, group_transform, min_max_unit
@@ -14,6 +14,7 @@ from alphaloom.operators.membership import carry_membership, membership_union
 from alphaloom.operators.nav import holding_days
 from alphaloom.operators.order_stats import OrderStat, grouped_order_stats, quantile
 from alphaloom.operators.positions import snapshots, top_n, turnover
+from alphaloom.operators.risk import aligned_windows
 from alphaloom.operators.staging import stage
 from alphaloom.operators.training import rolling_plan, training_rows
 from alphaloom.operators.uncertainty import average_confidence, candidate_filter
@@ -121,10 +122,15 @@ def jn13(d):
     return rounded(blended(d).select("rebalance_date", "ts_code", "weight"), ["weight"], 5)
 
 
-@query("jn14_dense_alignment", """SELECT c.ts_code, k.trade_date, ROUND(COALESCE(l.daily_return, 0), 6) + 0.0 AS daily_return
-FROM (SELECT DISTINCT ts_code FROM v_book) c CROSS JOIN v_cal k LEFT JOIN v_labeled l ON l.ts_code = c.ts_code AND l.trade_date = k.trade_date""")
+@query("jn14_dense_alignment", """SELECT c.rebalance_date, c.ts_code, COUNT(*) AS n, COUNT(*) FILTER (WHERE h.x IS NULL OR h.x = 0) AS zeros, ROUND(SUM(COALESCE(h.x, 0)), 6) + 0.0 AS total
+FROM (SELECT DISTINCT rebalance_date, ts_code FROM v_hist) c JOIN (SELECT DISTINCT rebalance_date, trade_date FROM v_hist) k ON k.rebalance_date = c.rebalance_date
+LEFT JOIN v_hist h ON h.rebalance_date = c.rebalance_date AND h.ts_code = c.ts_code AND h.trade_date = k.trade_date GROUP BY 1, 2""")
 def jn14(d):
-    return rounded(joins.densify(d.book(), trading_calendar(d.labeled()), d.labeled(), {"daily_return": 0.0}), ["daily_return"])
+    """The windows that the risk model reads, zero-filled."""
+    windows = history(d)[0]
+    dense = aligned_windows(windows, windows)
+    dense = dense.groupBy("rebalance_date", "ts_code").agg(count(), F.count_if(F.col("x") == 0).alias("zeros"), F.sum("x").alias("total"))
+    return rounded(dense, ["total"])
 
 
 @query("jn15_date_offset", "SELECT a.trade_date, b.trade_date AS realized_date FROM v_cal a LEFT JOIN v_cal b ON b.idx = a.idx + 20")
@@ -475,15 +481,3 @@ def fn05(d):
 @query("fn06_non_finite_to_zero", "SELECT ts_code, trade_date, ROUND(COALESCE(close / NULLIF(vol - 25, 0), 0), 6) + 0.0 AS x FROM v_bars")
 def fn06(d):
     return d.bars().select("ts_code", "trade_date", r(F.coalesce(C.null_if_nan(F.try_divide(F.col("close"), F.col("vol") - 25)), F.lit(0.0))).alias("x"))
-
-
-@query("fn07_variant_parsing", "SELECT * FROM (VALUES ('quick', 2), ('full', 4)) t(variant, features), (SELECT COUNT(*) AS n FROM v_labeled) n")
-def fn07(d):
-    """``name=group+group`` definitions resolved against the panel's columns."""
-    panel = d.labeled()
-    parts = []
-    for text in ("quick=value+liquidity", "full = technical+liquidity"):
-        name, groups = factors.parse_variant(text)
-        cols = factors.resolve_features(groups, available=[c for c in panel.columns if c != "bp"])
-        parts.append((name, panel.agg(F.lit(len(cols)).alias("features"), count())))
-    return reports.union_labelled(parts, "variant")

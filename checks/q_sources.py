@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alphaloom import schemas
 from alphaloom.functions import columns as C
 from alphaloom.operators.cross_section import fill_median
 from alphaloom.operators.factors import OPTIONAL_INPUTS, with_missing_columns
@@ -165,14 +164,6 @@ def src13(d):
     return readers.slice_rows(d.bars(), members, "1997-01-01", "1998-12-31").select("ts_code", "trade_date", "amount")
 
 
-@query("src14_empty_results_keep_schema", "SELECT COUNT(*) AS n, 0 AS empty_rows FROM v_bars")
-def src14(d):
-    """A slice before the first date is empty but typed; stacked on the bars it changes nothing."""
-    none = readers.slice_rows(d.bars(), None, "1900-01-01", "1900-12-31")
-    both = readers.concat_tables([d.bars().withColumn("e", F.lit(0)), none.withColumn("e", F.lit(1))])
-    return both.agg(F.count(F.lit(1)).alias("n"), F.sum("e").cast("int").alias("empty_rows"))
-
-
 @query("src15_partitioned_sink", "SELECT STRFTIME(trade_date, '%Y-%m') AS month, COUNT(*) AS n FROM v_bars WHERE trade_date >= DATE '1999-01-01' GROUP BY 1")
 def src15(d):
     path = sinks.save_panel(d.bars(), scratch_path(d.spark, "panel"))
@@ -333,13 +324,3 @@ def cln19(d):
 @query("cln20_weight_threshold", "SELECT rebalance_date, COUNT(*) AS n FROM v_prep WHERE benchmark_weight > 0.01 GROUP BY 1")
 def cln20(d):
     return d.prepared().where(F.col("benchmark_weight") > 0.01).groupBy("rebalance_date").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("cln21_required_columns", "SELECT COUNT(*) AS n, 'predictions lacks required columns: [''ci_lower'', ''ci_upper'']' AS message FROM v_bars")
-def cln21(d):
-    try:
-        schemas.require_columns(d.bars(), ["ts_code", "ci_lower", "ci_upper"], "predictions")
-        message = "none"
-    except ValueError as e:
-        message = str(e)
-    return schemas.require_columns(d.bars(), ["ts_code", "close"], "bars").agg(F.count(F.lit(1)).alias("n")).withColumn("message", F.lit(message))

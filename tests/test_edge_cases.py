@@ -10,7 +10,7 @@ from alphaloom import schemas
 from alphaloom.functions import columns as C
 from alphaloom.operators.conformal import conformal_rank, trust_gate
 from alphaloom.operators.cross_section import group_median, winsorize_mad, zscore
-from alphaloom.operators.factors import ablation_variants, compute_factors, full_window, by_security, parse_variant, resolve_features
+from alphaloom.operators.factors import compute_factors, full_window, by_security, resolve_features
 from alphaloom.operators.joins import asof_join
 from alphaloom.operators.nav import daily_nav
 from alphaloom.operators.positions import top_n, with_turnover
@@ -137,11 +137,7 @@ def test_feature_registry():
     assert resolve_features(available=["roe", "ret_20"]) == ["roe", "ret_20"]
     with pytest.raises(ValueError):
         resolve_features(["nope"])
-    assert parse_variant("a = value + quality") == ("a", ["value", "quality"])
-    for bad in ("x", "=value", "x="):
-        with pytest.raises(ValueError):
-            parse_variant(bad)
-    assert [n for n, _ in ablation_variants(["m2_yoy", "northbound_net_inflow", "cn_spread_10y_2y"])][-1] == "full_with_external"
+    assert resolve_features(["value", "value"], ["x"], ["x", "bp"]) == ["bp", "x"]
 
 
 def test_bundle_names_missing_files(spark, tmp_path):
