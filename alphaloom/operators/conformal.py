@@ -62,7 +62,7 @@ def calibration_split(rows: DataFrame, key: Column, ratio: float = 0.3, windows:
     """Mark the ``ceil(ratio·n)`` rows of each window with the smallest split keys as ``is_calibration``."""
     keyed = rows.withColumn("_key", key.cast("double"))
     cut = grouped_order_stats(
-        keyed, windows, {"_cut": OrderStat(F.col("_key"), ratio, lambda n: F.ceil(n * F.lit(ratio)))}, calendar_keyed=True
+        keyed, windows, {"_cut": OrderStat(F.col("_key"), ratio, lambda n: F.ceil(n * F.lit(ratio)))}
     ).select(*windows, "_cut")
     cut = stage(cut)
     return keyed.join(F.broadcast(cut), list(windows)).withColumn("is_calibration", F.col("_key") <= F.col("_cut")).drop("_key", "_cut")
@@ -73,7 +73,7 @@ def conformal_quantiles(
 ) -> DataFrame:
     """Finite-sample quantile of calibration scores per key, one column ``q<i>`` per alpha, and ``n_calib``."""
     stats = {f"q{i}": OrderStat(F.col(score), 1.0 - a, conformal_rank(a, textbook)) for i, a in enumerate(alphas)}
-    out = grouped_order_stats(scores, keys, stats, calendar_keyed=calendar_keyed)
+    out = grouped_order_stats(scores, keys, stats)
     return stage(out.select(*keys, *stats, F.col("q0_n").alias("n_calib")))
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.functions.columns import clip, row_mean
-from alphaloom.operators.order_stats import SMALL_GROUP, grouped_order_stats, median
-from alphaloom.operators.staging import largest_group, stage
+from alphaloom.operators.order_stats import grouped_order_stats, median
+from alphaloom.operators.staging import stage
 
 
 def group_transform(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], calendar_keyed: bool = False) -> DataFrame:
@@ -31,7 +31,7 @@ def group_transform(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Colum
 def group_median(df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column], calendar_keyed: bool = False) -> DataFrame:
     """Add exact group medians, named by the mapping's keys."""
     keys = list(keys)
-    med = grouped_order_stats(df, keys, {n: median(c) for n, c in columns.items()}, calendar_keyed)
+    med = grouped_order_stats(df, keys, {n: median(c) for n, c in columns.items()})
     med = med.select(*keys, *columns)
     return df.join(F.broadcast(med) if calendar_keyed else med, keys, "left")
 
@@ -49,59 +49,26 @@ def winsorize_mad(df: DataFrame, columns: Sequence[str], date: str = "trade_date
     the reference behaviour; otherwise NULLs are skipped. ``df`` is read several times: stage it.
     """
     span = range(len(columns))
-    if largest_group(df.select(date), [date]) <= SMALL_GROUP:
-        bounds = _sorted_mad(df, columns, date)
-    else:
-        bounds = _bracketed_mad(df, columns, date)
+    bounds = _mad(df, columns, date)
     limits = []
     for i in span:
         usable = (F.col(f"_n{i}") == F.col("_rows")) if strict_nulls else F.lit(True)
         limits.append(F.when(usable, F.col(f"_m{i}") - n_mad * F.col(f"_a{i}")).alias(f"_lo{i}"))
         limits.append(F.when(usable, F.col(f"_m{i}") + n_mad * F.col(f"_a{i}")).alias(f"_hi{i}"))
-    out = df.join(F.broadcast(stage(bounds.select(date, *limits))), date, "left")
+    out = df.join(stage(bounds.select(date, *limits)), date, "left")
     out = out.withColumns({c: clip(F.col(c), F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i, c in enumerate(columns)})
     return out.drop(*[f"_lo{i}" for i in span], *[f"_hi{i}" for i in span])
 
 
-def _middle(values: Column) -> Column:
-    """Median of a sorted array."""
-    n = F.size(values)
-    low = F.try_element_at(values, F.greatest(F.floor((n + 1) / 2), F.lit(1)).cast("int"))
-    high = F.try_element_at(values, F.greatest(F.floor(n / 2) + 1, F.lit(1)).cast("int"))
-    return (low + high) / 2.0
-
-
-def _sorted_mad(df: DataFrame, columns: Sequence[str], date: str) -> DataFrame:
-    """Median, MAD and counts per date in one pass; dates are known to be small."""
-    span = range(len(columns))
-    packed = df.where(F.col(date).isNotNull()).groupBy(date).agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.sort_array(F.collect_list(c)).alias(f"_v{i}") for i, c in enumerate(columns)]
-    )
-    packed = packed.withColumns({f"_m{i}": _middle(F.col(f"_v{i}")) for i in span})
-    gaps = {f"_g{i}": F.sort_array(F.transform(f"_v{i}", _gap(f"_m{i}"))) for i in span}
-    packed = packed.withColumns(gaps)
-    return packed.select(
-        date, "_rows", *[F.col(f"_m{i}") for i in span], *[_middle(F.col(f"_g{i}")).alias(f"_a{i}") for i in span], *[F.size(f"_v{i}").alias(f"_n{i}") for i in span]
-    )
-
-
-def _gap(middle: str):
-    return lambda v: F.abs(v - F.col(middle))
-
-
-def _bracketed_mad(df: DataFrame, columns: Sequence[str], date: str) -> DataFrame:
-    """The same for dates of any size, by exact selection."""
+def _mad(df: DataFrame, columns: Sequence[str], date: str) -> DataFrame:
+    """Median, MAD and counts per date, by exact selection; the tables of one row a date are staged."""
     span = range(len(columns))
-    rows = stage(df.where(F.col(date).isNotNull()).groupBy(date).agg(F.count(F.lit(1)).alias("_rows")))
-    largest = SMALL_GROUP + 1
-    med = grouped_order_stats(df, [date], {f"_m{i}": median(F.col(c)) for i, c in enumerate(columns)}, True, largest=largest)
-    med = stage(med.select(date, *[f"_m{i}" for i in span]))
-    centred = df.select(date, *columns).join(F.broadcast(med), date)
-    mad = grouped_order_stats(
-        centred, [date], {f"_a{i}": median(F.abs(F.col(c) - F.col(f"_m{i}"))) for i, c in enumerate(columns)}, True, largest=largest
-    )
-    mad = mad.select(date, *[f"_a{i}" for i in span], *[F.col(f"_a{i}_n").alias(f"_n{i}") for i in span])
-    return med.join(F.broadcast(mad), date).join(F.broadcast(rows), date)
+    rows = df.where(F.col(date).isNotNull()).groupBy(date).agg(F.count(F.lit(1)).alias("_rows"))
+    med = grouped_order_stats(df, [date], {f"_m{i}": median(F.col(c)) for i, c in enumerate(columns)})
+    med = stage(med.select(date, *[f"_m{i}" for i in span]).join(rows, date))
+    centred = df.select(date, *columns).join(med, date)
+    mad = grouped_order_stats(centred, [date], {f"_a{i}": median(F.abs(F.col(c) - F.col(f"_m{i}"))) for i, c in enumerate(columns)})
+    return med.join(mad.select(date, *[f"_a{i}" for i in span], *[F.col(f"_a{i}_n").alias(f"_n{i}") for i in span]), date)
 
 
 def zscore(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("trade_date",), ddof: int = 1, flat: float | None = None) -> DataFrame:

@@ -1,17 +1,16 @@
 """Exact grouped order statistics that never gather an unbounded group in one task.
 
 ``percentile`` and ``median`` hold every distinct value of a group in one reducer, which a
-date or a training window with billions of rows does not survive. The size of the largest
-group is measured first. Up to ``SMALL_GROUP`` rows, values are sorted within their group.
-Beyond it each statistic is found in two passes with map-side combining:
+date or a training window with billions of rows does not survive. For groups of every size
+each statistic is found the same way, in passes with map-side combining:
 
 1. per group, the row count and an approximate percentile *bracket* that surely holds the
-   wanted rank (the sketch's rank error is at most ``n / ACCURACY``);
+   wanted rank (the sketch's rank error is at most ``n / ACCURACY``); in groups of fewer than
+   ``BRACKET_FROM`` rows the bracket is the whole value range;
 2. rows below the bracket collapse to one counter, rows above it are dropped, and rows
-   inside it collapse to (value, count) pairs, whose running count gives the exact rank.
-
-There, groups of at most ``SMALL_GROUP`` rows use the whole value range as bracket, which keeps
-their number of (value, count) pairs bounded too.
+   inside it collapse to (value, count) pairs in ``BINS`` ranges of the bracket;
+3. the ranges' counts show which range holds the rank, and the running count inside that
+   range alone gives the value.
 """
 
 from __future__ import annotations
@@ -24,12 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alphaloom.operators.staging import largest_group, stage
+from alphaloom.operators.staging import stage
 
 ACCURACY = 10_000
 MARGIN = 5.0 / ACCURACY
 GRID = 200
-SMALL_GROUP = 50_000
+BINS = 256
 # below this the margin would span less than the few ranks by which rank rules differ from ``at``
 BRACKET_FROM = 10_000
 
@@ -71,10 +70,9 @@ def _interpolates(stat: OrderStat) -> bool:
     return stat.rank is None and stat.rank_column is None
 
 
-def _bracket(stat: OrderStat, i: int, small: int) -> list[Column]:
+def _bracket(stat: OrderStat, i: int) -> list[Column]:
     """Count, the two ranks and the value bracket of statistic ``i``, from the aggregated row."""
     n, b = F.col(f"__n{i}"), F.col(f"__b{i}")
-    small = max(small, BRACKET_FROM)
     first, second = _ranks(stat, i, n)
     if stat.at is None:
         step = F.floor(first * F.lit(float(GRID)) / n).cast("int")
@@ -84,31 +82,21 @@ def _bracket(stat: OrderStat, i: int, small: int) -> list[Column]:
         lo, hi = b[0], b[1]
     return [
         n.alias(f"__n{i}"),
-        first.cast("long").alias(f"__r{i}"),
-        second.cast("long").alias(f"__s{i}"),
-        F.when(n > small, lo).otherwise(F.lit(float("-inf"))).alias(f"__lo{i}"),
-        F.when(n > small, hi).otherwise(F.lit(float("inf"))).alias(f"__hi{i}"),
+        F.greatest(first.cast("long"), F.lit(1)).alias(f"__r{i}"),
+        F.greatest(second.cast("long"), F.lit(1)).alias(f"__s{i}"),
+        F.when(n > BRACKET_FROM, lo).otherwise(F.lit(float("-inf"))).alias(f"__lo{i}"),
+        F.when(n > BRACKET_FROM, hi).otherwise(F.lit(float("inf"))).alias(f"__hi{i}"),
     ]
 
 
-def grouped_order_stats(
-    df: DataFrame,
-    keys: Sequence[str],
-    stats: Mapping[str, OrderStat],
-    calendar_keyed: bool = False,
-    small: int | None = None,
-    largest: int | None = None,
-) -> DataFrame:
+def grouped_order_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, OrderStat]) -> DataFrame:
     """One row per group: ``keys`` and, per statistic, its value and ``<name>_n`` (non-null
     count), ``<name>_less`` (rows strictly below it) and ``<name>_ties`` (rows equal to it).
 
-    Groups with a NULL key are left out. ``calendar_keyed`` states that the keys take at most
-    one value per calendar date (times a fixed list of scenarios); only then is the bracket
-    table broadcast. ``largest`` is the row count of the biggest group when already known.
-    The input is read up to three times: stage it if it is costly.
+    Groups with a NULL key are left out; a group without values has NULL statistics. Ranks
+    beyond the group give NULL. The input is read twice: stage it if it is costly.
     """
     keys, names = list(keys), list(stats)
-    small = SMALL_GROUP if small is None else small
     whole = not keys
     if whole:
         df, keys = df.withColumn("__all", F.lit(1)), ["__all"]
@@ -117,8 +105,6 @@ def grouped_order_stats(
     span = range(len(names))
     extra = [F.col(stats[n].rank_column).alias(f"__k{i}") for i, n in enumerate(names) if stats[n].rank_column]
     rows = df.select(*keys, *[stats[n].value.cast("double").alias(f"__v{i}") for i, n in enumerate(names)], *extra)
-    if (largest_group(rows, [] if whole else keys) if largest is None else largest) <= small:
-        return _sorted_groups(rows, keys, stats, whole)
 
     aggs = []
     for i, n in enumerate(names):
@@ -129,18 +115,16 @@ def grouped_order_stats(
         if stats[n].rank_column:
             aggs.append(F.max(f"__k{i}").alias(f"__k{i}"))
     bracket = rows.groupBy(*keys).agg(*aggs)
-    bracket = bracket.select(*keys, *[c for i, n in enumerate(names) for c in _bracket(stats[n], i, small)])
-    if whole or calendar_keyed:
-        bracket = F.broadcast(bracket)
+    bracket = stage(bracket.select(*keys, *[c for i, n in enumerate(names) for c in _bracket(stats[n], i)]))
 
     entries = F.array(
         *[
             F.struct(
                 F.lit(i).alias("s"),
-                F.col(f"__n{i}").alias("n"),
                 F.col(f"__r{i}").alias("r1"),
                 F.col(f"__s{i}").alias("r2"),
                 F.when(F.col(f"__v{i}") >= F.col(f"__lo{i}"), F.col(f"__v{i}")).alias("v"),
+                _range(F.col(f"__v{i}"), F.col(f"__lo{i}"), F.col(f"__hi{i}")).alias("bin"),
                 (F.col(f"__v{i}") <= F.col(f"__hi{i}")).alias("inside"),
             )
             for i in span
@@ -150,11 +134,17 @@ def grouped_order_stats(
         rows.join(bracket, keys)
         .select(*keys, F.inline(entries))
         .filter("inside")
-        .groupBy(*keys, "s", "v")
-        .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("r1").alias("r1"), F.max("r2").alias("r2"))
+        .groupBy(*keys, "s", "bin", "v")
+        .agg(F.count(F.lit(1)).alias("c"), F.max("r1").alias("r1"), F.max("r2").alias("r2"))
     )
-    order = W.partitionBy(*keys, "s").orderBy(F.col("v").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    ranges = counted.groupBy(*keys, "s", "bin").agg(F.sum("c").alias("c"), F.max("r1").alias("r1"), F.max("r2").alias("r2"))
+    order = W.partitionBy(*keys, "s").orderBy("bin")
+    ranges = ranges.withColumn("before", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c"))
+    holds = [(F.col("before") < F.col(x)) & (F.col("before") + F.col("c") >= F.col(x)) for x in ("r1", "r2")]
+    ranges = ranges.filter(holds[0] | holds[1]).select(*keys, "s", "bin", "before")
+    order = W.partitionBy(*keys, "s", "bin").orderBy("v")
+    ranked = counted.join(ranges, [*keys, "s", "bin"])
+    ranked = ranked.withColumn("upto", F.col("before") + F.sum("c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     holds1 = (F.col("upto") >= F.col("r1")) & (F.col("upto") - F.col("c") < F.col("r1"))
     holds2 = (F.col("upto") >= F.col("r2")) & (F.col("upto") - F.col("c") < F.col("r2"))
     picked = (
@@ -165,55 +155,29 @@ def grouped_order_stats(
                 c
                 for i in span
                 for c in (
-                    F.max(F.when((F.col("s") == i) & holds1, F.struct("v", "n", (F.col("upto") - F.col("c")).alias("less"), "c"))).alias(f"__p{i}"),
+                    F.max(F.when((F.col("s") == i) & holds1, F.struct("v", (F.col("upto") - F.col("c")).alias("less"), "c"))).alias(f"__p{i}"),
                     F.max(F.when((F.col("s") == i) & holds2, F.col("v"))).alias(f"__q{i}"),
                 )
             ]
         )
     )
+    picked = bracket.select(*keys, *[f"__{x}{i}" for i in span for x in "nr"]).join(picked, keys, "left")
     out = []
     for i, name in enumerate(names):
-        p, n = F.col(f"__p{i}.v"), F.col(f"__p{i}.n")
-        value = p
+        found, n = F.col(f"__p{i}.v"), F.col(f"__n{i}")
+        missed = found.isNull() & (n >= F.col(f"__r{i}"))
+        value = F.when(missed, F.raise_error(F.lit(f"no value of {name} inside its bracket")).cast("double")).otherwise(found)
         if _interpolates(stats[name]):
             pos = (n - 1) * F.lit(stats[name].at)
-            value = p + (F.col(f"__q{i}") - p) * (pos - F.floor(pos))
-        out += [
-            value.alias(name),
-            F.coalesce(n, F.lit(0)).alias(f"{name}_n"),
-            F.col(f"__p{i}.less").alias(f"{name}_less"),
-            F.col(f"__p{i}.c").alias(f"{name}_ties"),
-        ]
+            value = value + (F.col(f"__q{i}") - value) * (pos - F.floor(pos))
+        out += [value.alias(name), n.alias(f"{name}_n"), F.col(f"__p{i}.less").alias(f"{name}_less"), F.col(f"__p{i}.c").alias(f"{name}_ties")]
     return picked.select(*([] if whole else keys), *out)
 
 
-def _sorted_groups(rows: DataFrame, keys: list[str], stats: Mapping[str, OrderStat], whole: bool) -> DataFrame:
-    """Groups known to hold at most ``SMALL_GROUP`` rows: pick from each group's sorted values."""
-    names = list(stats)
-    aggs = [F.sort_array(F.collect_list(f"__v{i}")).alias(f"__a{i}") for i in range(len(names))]
-    aggs += [F.max(f"__k{i}").alias(f"__k{i}") for i, n in enumerate(names) if stats[n].rank_column]
-    packed = rows.groupBy(*keys).agg(*aggs)
-    out = []
-    for i, name in enumerate(names):
-        values = F.col(f"__a{i}")
-        n = F.size(values)
-        first, second = _ranks(stats[name], i, n)
-        low = F.try_element_at(values, F.greatest(first, F.lit(1)).cast("int"))
-        value = low
-        if _interpolates(stats[name]):
-            pos = (n - 1) * F.lit(stats[name].at)
-            value = low + (F.try_element_at(values, F.greatest(second, F.lit(1)).cast("int")) - low) * (pos - F.floor(pos))
-        out += [
-            value.alias(name),
-            n.cast("long").alias(f"{name}_n"),
-            (F.array_position(values, low) - 1).alias(f"{name}_less"),
-            _count_equal(values, low).alias(f"{name}_ties"),
-        ]
-    return packed.select(*([] if whole else keys), *out)
-
-
-def _count_equal(values: Column, x: Column) -> Column:
-    return F.size(F.filter(values, lambda v: v == x)).cast("long")
+def _range(value: Column, low: Column, high: Column) -> Column:
+    """Number of the value's range between ``low`` and ``high``; -1 below, 0 in a bracket without ends or width."""
+    at = F.least(F.floor((value - low) / (high - low) * BINS), F.lit(BINS - 1)).cast("int")
+    return F.when(value < low, -1).when((low > float("-inf")) & (high < float("inf")) & (high > low), at).otherwise(0)
 
 
 def tie_key(df: DataFrame, column: str) -> Column:
@@ -241,13 +205,11 @@ def keep_top(
     keys = list(keys)
     hint = F.broadcast if calendar_keyed else (lambda d: d)
     base = df.withColumn("_x", (-order).cast("double")).withColumn("_t", tie.cast("double"))
-    cut = grouped_order_stats(base, keys, {"_cut": OrderStat(F.col("_x"), at, size)}, calendar_keyed=calendar_keyed)
+    cut = grouped_order_stats(base, keys, {"_cut": OrderStat(F.col("_x"), at, size)})
     cut = stage(cut.select(*keys, "_cut", (size(F.col("_cut_n")).cast("long") - F.col("_cut_less")).alias("_want"), "_cut_ties"))
     split = cut.filter("_want < _cut_ties")
     tied = base.join(hint(split), keys).filter("_x = _cut")
-    limit = grouped_order_stats(
-        tied, keys, {"_limit": OrderStat(F.col("_t"), rank_column="_want")}, calendar_keyed=calendar_keyed
-    ).select(*keys, "_limit")
+    limit = grouped_order_stats(tied, keys, {"_limit": OrderStat(F.col("_t"), rank_column="_want")}).select(*keys, "_limit")
     cut = cut.join(hint(limit), keys, "left").select(*keys, "_cut", "_limit")
     inside = (F.col("_x") < F.col("_cut")) | (
         (F.col("_x") == F.col("_cut")) & (F.col("_limit").isNull() | (F.col("_t") <= F.col("_limit")))

@@ -8,7 +8,6 @@ optimizer its true size, so that small ones are broadcast and large ones are not
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from alphaloom.session import scratch_path
 
@@ -19,11 +18,3 @@ def stage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the biggest group: one number, from partially aggregated counts."""
-    if not keys:
-        return df.count()
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return int(top or 0)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,15 +26,10 @@ def local_session(app: str = "alphaloom", cpus: int | None = None) -> SparkSessi
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for staged tables: the session's ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
+    """Shared folder for staged tables: ``spark.checkpoint.dir``, or a folder beside the warehouse's tables where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="alphaloom-ckpt-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 

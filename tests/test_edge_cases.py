@@ -40,14 +40,12 @@ def test_mad_clips(spark):
     assert column(winsorize_mad(cross(spark, [1.0, 2.0, 3.0, 100.0]), ["x"])) == [1.0, 2.0, 3.0, 5.5]
 
 
-def test_mad_is_the_same_beyond_the_small_group_size(spark, monkeypatch):
-    import alphaloom.operators.cross_section as cs
+def test_mad_is_the_same_with_brackets(spark, monkeypatch):
     import alphaloom.operators.order_stats as os_
 
     df = cross(spark, [float((i * 37) % 101) ** 2 for i in range(400)])
     plain = column(winsorize_mad(df, ["x"]))
-    monkeypatch.setattr(cs, "SMALL_GROUP", 10)
-    monkeypatch.setattr(os_, "SMALL_GROUP", 10)
+    monkeypatch.setattr(os_, "BRACKET_FROM", 10)
     assert column(winsorize_mad(df, ["x"])) == plain
 
 

@@ -19,11 +19,12 @@ def hot_rows(n=30_000, seed=3):
     return pd.DataFrame({"g": g, "x": x, "code": np.arange(n)})
 
 
-@pytest.mark.parametrize("small", [10, 100, 10**9])
-def test_statistics_match_brute_force(spark, small):
+@pytest.mark.parametrize("bins", [1, 256])
+def test_statistics_match_brute_force(spark, bins, monkeypatch):
+    monkeypatch.setattr(o, "BINS", bins)
     pdf = hot_rows()
     stats = {"med": o.median(F.col("x")), "q": o.quantile(F.col("x"), 0.3), "k": o.OrderStat(F.col("x"), 0.9, conformal_rank(0.1))}
-    got = o.grouped_order_stats(spark.createDataFrame(pdf), ["g"], stats, small=small).toPandas().set_index("g").sort_index()
+    got = o.grouped_order_stats(spark.createDataFrame(pdf), ["g"], stats).toPandas().set_index("g").sort_index()
     for g, rows in pdf.groupby("g"):
         x = np.sort(rows["x"].to_numpy())
         n = len(x)
@@ -33,9 +34,7 @@ def test_statistics_match_brute_force(spark, small):
         assert got.loc[g, "k_n"] == n and got.loc[g, "k_less"] == (x < want[2]).sum() and got.loc[g, "k_ties"] == (x == want[2]).sum()
 
 
-@pytest.mark.parametrize("small", [10, 10**9])
-def test_top_fraction_is_whole_and_exact(spark, small, monkeypatch):
-    monkeypatch.setattr(o, "SMALL_GROUP", small)
+def test_top_fraction_is_whole_and_exact(spark):
     pdf = hot_rows()
     size = lambda n: F.ceil(n * F.lit(0.7))
     got = o.keep_top(spark.createDataFrame(pdf), ["g"], F.col("x"), F.col("code"), size, 0.7).toPandas()
@@ -46,7 +45,7 @@ def test_top_fraction_is_whole_and_exact(spark, small, monkeypatch):
 
 def test_whole_table_without_keys(spark):
     pdf = hot_rows(2_000)
-    got = o.grouped_order_stats(spark.createDataFrame(pdf), [], {"m": o.median(F.col("x"))}, small=10).first()
+    got = o.grouped_order_stats(spark.createDataFrame(pdf), [], {"m": o.median(F.col("x"))}).first()
     assert got["m"] == pytest.approx(np.median(pdf["x"]))
 
 
@@ -54,6 +53,14 @@ def test_whole_table_without_keys(spark):
 @given(st.lists(st.one_of(st.none(), st.integers(-50, 50)), min_size=1, max_size=60))
 def test_median_skips_nulls(spark, values):
     df = spark.createDataFrame([(1, None if v is None else float(v)) for v in values], "g int, x double")
-    got = o.grouped_order_stats(df, ["g"], {"m": o.median(F.col("x"))}, small=5).collect()
+    got = o.grouped_order_stats(df, ["g"], {"m": o.median(F.col("x"))}).collect()
     present = [v for v in values if v is not None]
-    assert (got[0]["m"] if got else None) == (float(np.median(present)) if present else None)
+    assert [r["m"] for r in got] == [float(np.median(present)) if present else None]
+
+
+@pytest.mark.parametrize("rows", [2, 30_000])
+def test_groups_without_values_keep_their_row(spark, rows):
+    df = spark.range(rows).select(F.lit("h").alias("k"), F.col("id").cast("double").alias("x"))
+    df = df.unionByName(spark.range(rows).select(F.lit("g").alias("k"), F.lit(None).cast("double").alias("x")))
+    got = {r["k"]: (r["m"], r["m_n"]) for r in o.grouped_order_stats(df, ["k"], {"m": o.median(F.col("x"))}).collect()}
+    assert got == {"g": (None, 0), "h": ((rows - 1) / 2, rows)}
