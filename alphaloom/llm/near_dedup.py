@@ -11,10 +11,13 @@ weighted Jaccard similarity. Bands of the signature are buckets.
 
 Links are exact: a pair counts if the weighted Jaccard similarity of its shingles is at least
 ``THRESHOLD``. Copies are one row (equal word sequences). First every text is compared with
-the least text it shares a bucket with, and linked ones form classes; then, in each bucket of
-more than one class, the texts outside its largest class are compared with those of the other
-classes. So each pair of a bucket is linked, in one class already, or compared; a class of
-any size costs one comparison a text.
+the least text it shares a bucket with; the links are parent pointers, and following them
+gives classes. Then the buckets that hold more than one class are searched: members outside a
+bucket's largest class are compared with those of other classes inside the tasks, which return
+only links that join classes. A text is left out of a search if the shingles that no other
+member has already rule out the threshold. Buckets of more than ``BLOCK`` members are searched
+in pairs of blocks, so every pair of a bucket is in one class, compared or ruled out, and no
+task holds more than two blocks.
 
 Edge cases: null and wordless texts are classes of their own; ids should be unique (rows with
 an equal id get equal classes); texts of any length count whole; an empty table gives an empty
@@ -32,11 +35,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alphaloom.llm.storage import settle
 from alphaloom.llm.wordhash import Words, blocks, mix
-from alphaloom.operators.staging import stage
 
 SHINGLE = 5
 THRESHOLD = 0.8
+BLOCK = 1024
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
@@ -171,10 +175,10 @@ def components(links: DataFrame) -> DataFrame:
     def sign(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     before = sign(edges)
     while before[0]:
-        edges = stage(stars(stars(edges, small=False), small=True))
+        edges = settle(stars(stars(edges, small=False), small=True))
         now = sign(edges)
         if now == before:
             break
@@ -183,29 +187,88 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """``node`` and ``root`` by pointer jumping; every ``node`` has one ``parent``, a lesser node."""
+    found = settle(parents.select(F.col("b").alias("node"), F.col("a").alias("root"), F.lit(True).alias("moved")))
+    while not found.filter("moved").isEmpty():
+        up = found.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        found = settle(found.drop("moved").join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+    roots = found.select("node", "root")
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links that join classes inside each group (``bucket``, ``i``, ``j``) of rows sorted by these."""
+
+    def links(g: pd.DataFrame) -> list[tuple[int, int]]:
+        g = g.drop_duplicates("_id")
+        root = pd.factorize(g["root"])[0]
+        ids, main = g["_id"].to_numpy(), (g["root"] == g["main"]).to_numpy()
+        if root.max() == 0 or main.all():
+            return []
+        u, owner = shingles(Words([t.encode() for t in g["_t"]]))
+        code, _ = pd.factorize(_units(u, owner))
+        n = len(g)
+        size = np.bincount(owner, minlength=n)
+        shared = np.bincount(code) > 1
+        most = np.bincount(owner, shared[code], minlength=n).astype(np.int64)  # overlap that is possible at all
+        begin = np.cumsum(size) - size
+        out = []
+        for x in np.flatnonzero(~main).tolist():
+            both = np.minimum(most[x], most)
+            able = (root != root[x]) & (both >= THRESHOLD * (size[x] + size - both) - 1e-9)
+            if not able.any():
+                continue
+            mark = np.zeros(len(shared), bool)
+            mark[code[begin[x] : begin[x] + size[x]]] = True
+            both = np.bincount(owner, mark[code], minlength=n)
+            for y in np.flatnonzero(able & (both >= THRESHOLD * (size[x] + size - both) - 1e-9)).tolist():
+                if root[y] != root[x]:
+                    out.append((int(ids[x]), int(ids[y])))
+                    root[root == root[y]] = root[x]
+        return out
+
+    rest: list[pd.DataFrame] = []
+    for b in batches:
+        for _, g in b.groupby(["bucket", "i", "j"], sort=False):
+            if rest and (rest[0].iloc[0][["bucket", "i", "j"]] != g.iloc[0][["bucket", "i", "j"]]).any():
+                yield pd.DataFrame(links(pd.concat(rest)), columns=["a", "b"])
+                rest = []
+            rest.append(g)
+    if rest:
+        yield pd.DataFrame(links(pd.concat(rest)), columns=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``class_id``, the least id of its class, of every row."""
     own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    signed = stage(own.mapInPandas(_sign, "_id BIGINT, copy BINARY, buckets ARRAY<BIGINT>"))
-    texts = stage(signed.filter("_id IS NOT NULL").groupBy("copy").agg(F.min("_id").alias("_id"), F.first("buckets").alias("buckets")))
+    signed = settle(own.mapInPandas(_sign, "_id BIGINT, copy BINARY, buckets ARRAY<BIGINT>"))
+    texts = settle(signed.filter("_id IS NOT NULL").groupBy("copy").agg(F.min("_id").alias("_id"), F.first("buckets").alias("buckets")))
     placed = texts.select("_id", F.explode("buckets").alias("bucket"))
-    least = placed.groupBy("bucket").agg(F.min("_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = stage(placed.join(least, "bucket"))  # buckets of two texts or more
+    least = placed.groupBy("bucket").agg(F.min("_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = settle(placed.join(least, "bucket"))  # buckets of two texts or more
     first = shared.groupBy(F.col("_id").alias("b")).agg(F.min("a").alias("a")).filter("a != b").select("a", "b")
-    links = stage(similar_pairs(first, own))
-    roots = stage(components(links))
-
-    classed = shared.select("bucket", "_id").join(roots, F.col("_id") == F.col("node"), "left").select("bucket", "_id", F.coalesce("root", "_id").alias("root"))
-    parts = classed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    rest = stage(classed.join(mixed.select("bucket", F.col("top.root").alias("main")), "bucket"))
-    minor = rest.filter("root != main").select("bucket", F.col("_id").alias("x"), F.col("root").alias("xr"))
-    other = rest.select("bucket", F.col("_id").alias("y"), F.col("root").alias("yr"), (F.col("root") == F.col("main")).alias("in_main"))
-    second = minor.join(other, "bucket").filter("xr != yr AND (in_main OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = similar_pairs(second.join(first, ["a", "b"], "left_anti"), own)
-    roots = components(links.unionByName(more))
-
-    by_copy = texts.select("copy", F.col("_id").alias("text_id")).join(roots, F.col("text_id") == F.col("node"), "left").select("copy", F.coalesce("root", "text_id").alias("root"))
+    roots = settle(_roots(settle(similar_pairs(first, own))))
+
+    classed = shared.join(roots, F.col("_id") == F.col("node"), "left").select("bucket", "_id", "n", F.coalesce("root", "_id").alias("root"))
+    parts = classed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    rest = classed.join(mixed.select("bucket", F.col("top.root").alias("main")), "bucket")
+    rest = rest.withColumn("blocks", F.expr(f"CAST(ceil(n / {BLOCK}) AS INT)")).withColumn("block", F.expr("CAST(pmod(xxhash64(_id), blocks) AS INT)"))
+    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "_id", "root", "main"
+    )
+    rest = rest.join(own.filter("_id IS NOT NULL"), "_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = settle(rest.mapInPandas(_search, "a BIGINT, b BIGINT"))
+    # classes joined by these links: components over class roots
+    over = more
+    for side in ("a", "b"):
+        over = over.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(side, F.coalesce(f"r{side}", side)).drop(f"r{side}")
+    top = components(over)
+    top = top.select(F.col("node").alias("root"), F.col("root").alias("top"))
+
+    by_copy = texts.select("copy", F.col("_id").alias("node")).join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("root"))
+    by_copy = by_copy.join(top, "root", "left").select("copy", F.coalesce("top", "root").alias("root"))
     known = signed.select("_id", "copy").join(by_copy, "copy").select("_id", "root").groupBy("_id").agg(F.min("root").alias("root"))
     out = docs.select(F.col(doc_id)).join(known, F.col(doc_id).cast("long") == F.col("_id"), "left")
     return out.select(doc_id, F.coalesce("root", F.col(doc_id).cast("long")).alias("class_id"))
