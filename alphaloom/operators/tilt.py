@@ -1,10 +1,12 @@
 """Constraint-respecting tilts of the benchmark and the turnover-limited path.
 
-This replaces a quadratic solver. Candidate portfolios tilt the benchmark by alpha; because
-tracking error, industry deviation and the weight cap all scale with the active weights, one
-factor per candidate makes it feasible exactly. The best candidate by the same objective is
-kept for each date. It meets the same constraints as the quadratic optimum but is not that
-optimum.
+This replaces a quadratic solver. The base book is the benchmark cut at the weight cap, the
+excess spread inside the industry and, where an industry is full, over the others. Candidates
+tilt the base by alpha, scaled by one factor each: the cap bounds it exactly, tracking error
+and industry deviation by the base's own share plus the factor times the tilt's (which is exact
+where the benchmark is within the cap). The best candidate by the same objective is kept for
+each date. It meets the same constraints as the quadratic optimum but is not that optimum.
+Only dates whose base itself breaks a limit fall back to the last book or the benchmark.
 """
 
 from __future__ import annotations
@@ -35,6 +37,32 @@ def _settings(df: DataFrame, limits: Limits, gamma: float) -> DataFrame:
     return df.withColumns({k: F.lit(float(v)) for k, v in defaults.items() if k not in df.columns})
 
 
+def _level(rows: DataFrame, group: list[str], weight: str, total: str, out: str) -> DataFrame:
+    """``out`` = ``least(max_weight, level * weight)``, with the level that keeps the group's sum of ``total``.
+
+    At most ``1 / max_weight`` names can be at the cap, so the largest ones alone fix the level;
+    where all names are full, they are at the cap.
+    """
+    order = W.partitionBy(*group).orderBy(F.col(weight).desc(), F.col("ts_code"))
+    sums = rows.groupBy(*group).agg(F.sum(weight).alias("_sum"), F.sum(total).alias("_total"))
+    top = rows.where(F.col(weight) > 0).select(
+        *group, weight, "max_weight", F.row_number().over(order).alias("_r"),
+        F.coalesce(F.sum(weight).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_above"),
+    ).where(F.col("_r") <= F.ceil(1.0 / F.col("max_weight")) + 1)
+    level = F.try_divide(F.col("_total") - (F.col("_r") - 1) * F.col("max_weight"), F.col("_sum") - F.col("_above"))
+    top = top.join(sums, group).withColumn("_level", level).where(F.col("_level") * F.col(weight) <= F.col("max_weight") + 1e-12)
+    levels = top.groupBy(*group).agg(F.min_by("_level", "_r").alias("_level"))
+    full = F.when(F.col(weight) > 0, F.col("max_weight")).otherwise(0.0)
+    value = F.when(F.col("_level").isNull(), full).otherwise(F.least("max_weight", F.col("_level") * F.col(weight)))
+    return rows.join(levels, group, "left").withColumn(out, value).drop("_level")
+
+
+def capped_base(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with ``_base``: the benchmark within ``max_weight``, its excess spread by industry first."""
+    inside = _level(df, [*keys, "industry_name"], "benchmark_weight", "benchmark_weight", "_inside")
+    return _level(inside, keys, "_inside", "benchmark_weight", "_base").drop("_inside")
+
+
 def tilt(
     prepared: DataFrame,
     windows: DataFrame,
@@ -55,26 +83,30 @@ def tilt(
     for c, v in (("confidence", 0.5), ("extra_variance", 0.0)):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(v))
+    df = stage(capped_base(df, keys))
+    drift = df.withColumn("a", F.col("_base") - F.col("benchmark_weight"))
+    base = drift.groupBy(*keys).agg(F.abs(F.sum("a")).alias("_lost"))
+    slack = drift.groupBy(*keys, "industry_name").agg(F.abs(F.sum("a")).alias("_g")).groupBy(*keys).agg(F.max("_g").alias("_gap0"))
+    own = active_variance(drift, windows, shrink, by, limits.covariance_ridge, F.col("extra_variance")).withColumnRenamed("active_variance", "_var0")
+    base = stage(base.join(slack, keys).join(own, keys))
     grid = [(0, 0.0, True)] + [(1 + 2 * i + j, float(k), neutral) for i, k in enumerate(strengths) for j, neutral in enumerate((True, False))]
     rows = df.select("*", F.inline(F.array(*[F.struct(F.lit(c).alias("candidate"), F.lit(k).alias("_k"), F.lit(n).alias("_neutral")) for c, k, n in grid])))
     ckeys = [*keys, "candidate"]
-    rows = rows.withColumn("_w0", F.col("benchmark_weight") * F.greatest(1.0 + F.col("_k") * F.col("alpha_score"), F.lit(0.0)))
+    rows = rows.withColumn("_w0", F.col("_base") * F.greatest(1.0 + F.col("_k") * F.col("alpha_score"), F.lit(0.0)))
 
-    # neutral candidates keep each industry's benchmark weight, free ones only the total
+    # neutral candidates keep each industry's base weight, free ones only the total
     scope = F.when(F.col("_neutral"), F.col("industry_name")).otherwise(F.lit(""))
     rows = rows.withColumn("_scope", scope)
-    sums = rows.groupBy(*ckeys, "_scope").agg(F.sum("_w0").alias("_s0"), F.sum("benchmark_weight").alias("_sb"))
+    sums = rows.groupBy(*ckeys, "_scope").agg(F.sum("_w0").alias("_s0"), F.sum("_base").alias("_sb"))
     rows = rows.join(sums, [*ckeys, "_scope"])
-    shaped = F.when(F.col("_s0") > 0, F.col("_w0") * F.col("_sb") / F.col("_s0")).otherwise(F.col("benchmark_weight"))
-    rows = rows.withColumn("a", shaped - F.col("benchmark_weight"))
+    shaped = F.when(F.col("_s0") > 0, F.col("_w0") * F.col("_sb") / F.col("_s0")).otherwise(F.col("_base"))
+    rows = rows.withColumn("a", shaped - F.col("_base"))
 
-    a, wb = F.col("a"), F.col("benchmark_weight")
-    room = F.when((a > 1e-15) & (wb <= F.col("max_weight")), (F.col("max_weight") - wb) / a)
-    need = F.when(wb > F.col("max_weight") + 1e-12, F.when(a < -1e-15, (wb - F.col("max_weight")) / -a).otherwise(F.lit(float("inf"))))
+    a, wb = F.col("a"), F.col("_base")
+    room = F.when(a > 1e-15, F.greatest(F.col("max_weight") - wb, F.lit(0.0)) / a)
     doubt = 1.0 - F.col("confidence")
     per = rows.groupBy(*ckeys).agg(
         F.min(room).alias("_room"),
-        F.max(need).alias("_need"),
         F.sum(F.col("alpha_score") * wb).alias("_gain0"),
         F.sum(F.col("alpha_score") * a).alias("_gain1"),
         F.sum(doubt * wb * wb).alias("_d0"),
@@ -84,22 +116,26 @@ def tilt(
     )
     gaps = rows.groupBy(*ckeys, "industry_name").agg(F.abs(F.sum("a")).alias("_gap")).groupBy(*ckeys).agg(F.max("_gap").alias("_gap"))
     var = active_variance(rows, windows, shrink, [*by, "candidate"], limits.covariance_ridge, F.col("extra_variance"))
-    per = per.join(gaps, ckeys).join(var, ckeys)
-    te_room = F.when(F.col("active_variance") > 1e-18, F.sqrt(F.lit(1.0 / YEAR) * F.pow("max_tracking_error", F.lit(2.0)) / F.col("active_variance")))
-    gap_room = F.when(F.col("_gap") > 1e-12, F.col("max_industry_deviation") / F.col("_gap"))
+    per = per.join(gaps, ckeys).join(var, ckeys).join(base, keys)
+    risk0, risk1 = F.sqrt("_var0"), F.sqrt("active_variance")
+    te_left = F.col("max_tracking_error") / F.sqrt(F.lit(float(YEAR))) - risk0
+    gap_left = F.col("max_industry_deviation") - F.col("_gap0")
+    te_room = F.when(F.col("active_variance") > 1e-18, te_left / risk1)
+    gap_room = F.when(F.col("_gap") > 1e-12, gap_left / F.col("_gap"))
     theta = F.least(F.lit(1.0), F.coalesce("_room", F.lit(1.0)), F.coalesce(te_room, F.lit(1.0)), F.coalesce(gap_room, F.lit(1.0)))
-    per = per.withColumn("_theta", theta).where(F.col("_theta") >= F.coalesce("_need", F.lit(0.0)))
+    per = per.withColumn("_theta", theta).where((F.col("_lost") <= 1e-9) & (te_left >= 0) & (gap_left >= 0))
     th = F.col("_theta")
     value = (
         F.col("_gain0")
         + th * F.col("_gain1")
-        - limits.risk_aversion * th * th * F.col("active_variance")
+        - limits.risk_aversion * (risk0 + th * risk1) * (risk0 + th * risk1)
         - F.col("gamma") * (F.col("_d0") + th * F.col("_d1") + th * th * F.col("_d2"))
     )
     # rounding keeps float noise from deciding between equal candidates
     best = W.partitionBy(*keys).orderBy(F.round(value, 9).desc(), F.col("candidate"))
     chosen = stage(per.withColumn("_rn", F.row_number().over(best)).where("_rn <= 1").select(*ckeys, "_theta"))
     held = rows.join(F.broadcast(chosen), ckeys).withColumn("weight", wb + F.col("_theta") * a)
+    df = df.drop("_base")
     targets = stage(held.select(*df.columns, "candidate", "weight").withColumn("optimization_status", F.lit("tilted")))
     return _fill_infeasible(df, targets, keys, by)
 

@@ -170,6 +170,7 @@ class BoostParams:
     step: float = 0.05
     depth: int = 5
     subsample: float = 0.8
+    features_per_split: str = "0.8"
     seed: int = 42
 
 
@@ -196,7 +197,7 @@ def boosted_alpha(panel: DataFrame, plan: TrainingPlan, features: Sequence[str],
     )
     learner = GBTRegressor(
         featuresCol="_x", labelCol=label, predictionCol="ml_score", maxIter=params.rounds, stepSize=params.step,
-        maxDepth=params.depth, subsamplingRate=params.subsample, seed=params.seed,
+        maxDepth=params.depth, subsamplingRate=params.subsample, featureSubsetStrategy=params.features_per_split, seed=params.seed,
     )
     predictions = importance = None
     for span in spans:

@@ -110,26 +110,45 @@ def rsk06(d):
     return rounded(risk.objective(w, diag(d), LIMITS, gamma=0.1), ["objective"])
 
 
+def level_sql(src: str, group: str, weight: str, total: str, cap: float, out: str) -> str:
+    """``weight`` cut at ``cap`` and levelled so that the group keeps its sum of ``total``."""
+    order = f"(PARTITION BY {group} ORDER BY {weight} DESC, ts_code"
+    return f"""SELECT s.*, CASE WHEN l.lam IS NULL THEN CASE WHEN s.{weight} > 0 THEN {cap} ELSE 0 END ELSE LEAST({cap}, l.lam * s.{weight}) END AS {out}
+FROM {src} s LEFT JOIN (SELECT {group}, ARG_MIN(lam, r) AS lam FROM (
+  SELECT {group}, r, {weight} AS w, (tot - (r - 1) * CAST({cap} AS DOUBLE)) / (sm - above) AS lam FROM (
+    SELECT {group}, {weight}, ROW_NUMBER() OVER {order}) AS r,
+      COALESCE(SUM({weight}) OVER {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+      SUM({weight}) OVER (PARTITION BY {group}) AS sm, SUM({total}) OVER (PARTITION BY {group}) AS tot FROM {src}) WHERE {weight} > 0)
+  WHERE lam * w <= {cap} + 1e-12 GROUP BY {group}) l USING ({group})"""
+
+
 def tilt_sql(src: str, cap: float = 0.10, te: float = 0.08, dev: float = 0.02, gamma: float = 0.0, conf: str = "0.5", extra: str = "0", name: str = "v_t") -> str:
     """Views of one tilt over a prepared source; returns the name of the weights view."""
     V = v.V
-    V[name + "_c"] = f"""SELECT *, w0 * sb / s0 - benchmark_weight AS a FROM (
-  SELECT *, SUM(w0) OVER g AS s0, SUM(benchmark_weight) OVER g AS sb FROM (
-    SELECT p.*, c.candidate, CASE WHEN c.neutral THEN industry_name ELSE '' END AS sc, benchmark_weight * GREATEST(1 + c.k * alpha_score, 0) AS w0
-    FROM {src} p CROSS JOIN (VALUES (0, 0.0, TRUE), (1, 0.25, TRUE), (2, 0.25, FALSE), (3, 0.5, TRUE), (4, 0.5, FALSE), (5, 1.0, TRUE), (6, 1.0, FALSE), (7, 2.0, TRUE), (8, 2.0, FALSE)) c(candidate, k, neutral))
+    V[name + "_i"] = level_sql(src, "rebalance_date, industry_name", "benchmark_weight", "benchmark_weight", cap, "inside")
+    V[name + "_p"] = level_sql(name + "_i", "rebalance_date", "inside", "benchmark_weight", cap, "base")
+    V[name + "_o"] = f"SELECT *, base AS weight FROM {name}_p"
+    V[name + "_ov"] = v.avar(name + "_o", "", extra)
+    V[name + "_og"] = f"""SELECT rebalance_date, ABS(SUM(e)) AS lost, MAX(ABS(e)) AS gap0 FROM (
+  SELECT rebalance_date, industry_name, SUM(base - benchmark_weight) AS e FROM {name}_p GROUP BY ALL) GROUP BY ALL"""
+    V[name + "_c"] = f"""SELECT *, w0 * sb / s0 - base AS a FROM (
+  SELECT *, SUM(w0) OVER g AS s0, SUM(base) OVER g AS sb FROM (
+    SELECT p.*, c.candidate, CASE WHEN c.neutral THEN industry_name ELSE '' END AS sc, base * GREATEST(1 + c.k * alpha_score, 0) AS w0
+    FROM {name}_p p CROSS JOIN (VALUES (0, 0.0, TRUE), (1, 0.25, TRUE), (2, 0.25, FALSE), (3, 0.5, TRUE), (4, 0.5, FALSE), (5, 1.0, TRUE), (6, 1.0, FALSE), (7, 2.0, TRUE), (8, 2.0, FALSE)) c(candidate, k, neutral))
   WINDOW g AS (PARTITION BY rebalance_date, candidate, sc))"""
     V[name + "_a"] = f"SELECT * EXCLUDE (a) REPLACE (w0 AS w0), CASE WHEN s0 > 0 THEN a ELSE 0 END AS a, CASE WHEN s0 > 0 THEN a ELSE 0 END + benchmark_weight AS weight FROM {name}_c"
     V[name + "_v"] = v.avar(name + "_a", "candidate", extra)
-    V[name + "_b"] = f"""SELECT *, LEAST(1, COALESCE(room, 1), COALESCE(CASE WHEN active_variance > 1e-18 THEN {te} / SQRT(252) / SQRT(active_variance) END, 1), COALESCE(CASE WHEN gap > 1e-12 THEN {dev} / gap END, 1)) AS th
-FROM (SELECT rebalance_date, candidate, MIN(CASE WHEN a > 1e-15 AND benchmark_weight <= {cap} THEN ({cap} - benchmark_weight) / a END) AS room,
-    MAX(CASE WHEN benchmark_weight > {cap} + 1e-12 THEN CASE WHEN a < -1e-15 THEN (benchmark_weight - {cap}) / -a ELSE CAST('inf' AS DOUBLE) END END) AS need,
-    SUM(alpha_score * benchmark_weight) AS g0, SUM(alpha_score * a) AS g1, SUM((1 - {conf}) * benchmark_weight * benchmark_weight) AS d0,
-    SUM(2 * (1 - {conf}) * benchmark_weight * a) AS d1, SUM((1 - {conf}) * a * a) AS d2 FROM {name}_a GROUP BY ALL)
+    V[name + "_b"] = f"""SELECT *, LEAST(1, COALESCE(room, 1), COALESCE(CASE WHEN active_variance > 1e-18 THEN ({te} / SQRT(252) - SQRT(var0)) / SQRT(active_variance) END, 1),
+    COALESCE(CASE WHEN gap > 1e-12 THEN ({dev} - gap0) / gap END, 1)) AS th
+FROM (SELECT rebalance_date, candidate, MIN(CASE WHEN a > 1e-15 THEN GREATEST({cap} - base, 0) / a END) AS room,
+    SUM(alpha_score * base) AS g0, SUM(alpha_score * a) AS g1, SUM((1 - {conf}) * base * base) AS d0,
+    SUM(2 * (1 - {conf}) * base * a) AS d1, SUM((1 - {conf}) * a * a) AS d2 FROM {name}_a GROUP BY ALL)
 JOIN (SELECT rebalance_date, candidate, MAX(ABS(e)) AS gap FROM (SELECT rebalance_date, candidate, industry_name, SUM(a) AS e FROM {name}_a GROUP BY ALL) GROUP BY ALL) USING (rebalance_date, candidate)
-JOIN {name}_v USING (rebalance_date, candidate)"""
-    V[name + "_s"] = f"""SELECT rebalance_date, candidate, th FROM {name}_b WHERE th >= COALESCE(need, 0)
-QUALIFY ROW_NUMBER() OVER (PARTITION BY rebalance_date ORDER BY ROUND(g0 + th * g1 - 5 * th * th * active_variance - {gamma} * (d0 + th * d1 + th * th * d2), 9) DESC, candidate) = 1"""
-    V[name + "_f"] = f"SELECT a.* REPLACE (a.benchmark_weight + s.th * a.a AS weight) FROM {name}_a a JOIN {name}_s s USING (rebalance_date, candidate)"
+JOIN {name}_v USING (rebalance_date, candidate) JOIN {name}_og USING (rebalance_date)
+JOIN (SELECT rebalance_date, active_variance AS var0 FROM {name}_ov) USING (rebalance_date)"""
+    V[name + "_s"] = f"""SELECT rebalance_date, candidate, th FROM {name}_b WHERE lost <= 1e-9 AND gap0 <= {dev} AND SQRT(var0) <= {te} / SQRT(252)
+QUALIFY ROW_NUMBER() OVER (PARTITION BY rebalance_date ORDER BY ROUND(g0 + th * g1 - 5 * POW(SQRT(var0) + th * SQRT(active_variance), 2) - {gamma} * (d0 + th * d1 + th * th * d2), 9) DESC, candidate) = 1"""
+    V[name + "_f"] = f"SELECT a.* REPLACE (a.base + s.th * a.a AS weight) FROM {name}_a a JOIN {name}_s s USING (rebalance_date, candidate)"
     V[name + "_m"] = f"""SELECT p.rebalance_date, p.ts_code, p.benchmark_weight, f.weight AS old,
     (SELECT MAX(s.rebalance_date) FROM {name}_s s WHERE s.rebalance_date < p.rebalance_date) AS prior FROM {src} p
   LEFT JOIN {name}_f f ON f.ts_code = p.ts_code AND f.rebalance_date = (SELECT MAX(s.rebalance_date) FROM {name}_s s WHERE s.rebalance_date < p.rebalance_date)
@@ -157,15 +176,15 @@ def prt06(d):
 
 
 v.V["v_tfeas"] = """SELECT rebalance_date, COUNT(*) AS n, ABS(SUM(weight) - 1) <= 1e-6 AS invested, MIN(weight) >= -1e-9 AS long_only,
-  MAX(CASE WHEN optimization_status = 'tilted' THEN weight ELSE 0 END) <= 0.1 + 1e-6 AS within_cap FROM v_t GROUP BY 1"""
+  MAX(weight) <= 0.1 + 1e-6 AS within_cap, MIN(optimization_status) = 'tilted' AS tilted FROM v_t GROUP BY 1"""
 
 
 @query("prt06_tilt_is_feasible", "SELECT * FROM v_tfeas")
 def prt06b(d):
     t = base_tilt(d)
-    capped = F.max(F.when(F.col("optimization_status") == "tilted", F.col("weight")).otherwise(0.0)) <= 0.1 + 1e-6
+    capped, tilted = F.max("weight") <= 0.1 + 1e-6, F.min("optimization_status") == "tilted"
     return t.groupBy("rebalance_date").agg(
-        F.count(F.lit(1)).alias("n"), (F.abs(F.sum("weight") - 1.0) <= 1e-6).alias("invested"), (F.min("weight") >= -1e-9).alias("long_only"), capped.alias("within_cap")
+        F.count(F.lit(1)).alias("n"), (F.abs(F.sum("weight") - 1.0) <= 1e-6).alias("invested"), (F.min("weight") >= -1e-9).alias("long_only"), capped.alias("within_cap"), tilted.alias("tilted")
     )
 
 

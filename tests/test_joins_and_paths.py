@@ -7,7 +7,7 @@ import pytest
 from alphaloom.operators.joins import asof_join, asof_series, join_date_series
 from alphaloom.operators.membership import benchmark_profile
 from alphaloom.operators.risk import Limits, aligned_windows
-from alphaloom.operators.tilt import turnover_path
+from alphaloom.operators.tilt import capped_base, turnover_path
 from alphaloom.sources import readers
 
 
@@ -65,3 +65,18 @@ def test_empty_slice_keeps_its_columns(spark):
     bars = spark.createDataFrame([("a", day(3), 1.0)], "ts_code string, trade_date date, close double")
     none = readers.slice_rows(bars, None, "1900-01-01", "1900-12-31")
     assert none.columns == bars.columns and none.count() == 0 and readers.concat_tables([bars, none]).count() == 1
+
+
+@pytest.mark.parametrize("cap", [0.5, 0.3, 0.25])
+def test_base_book_is_capped_and_spread_inside_the_industry_first(spark, cap):
+    weights = {"a": ("x", 0.6), "b": ("x", 0.1), "c": ("y", 0.2), "d": ("y", 0.1), "e": ("y", 0.0)}
+    df = spark.createDataFrame([(day(1), k, i, w, cap) for k, (i, w) in weights.items()], "rebalance_date date, ts_code string, industry_name string, benchmark_weight double, max_weight double")
+    got = {r.ts_code: r["_base"] for r in capped_base(df, ["rebalance_date"]).collect()}
+    assert max(got.values()) <= cap + 1e-12 and got["e"] == 0 and sum(got.values()) == pytest.approx(1.0)
+    if cap == 0.5:  # industry x has room for its own excess
+        assert got["a"] + got["b"] == pytest.approx(0.7) and got["c"] == pytest.approx(0.2)
+
+
+def test_base_book_is_the_benchmark_where_that_is_within_the_cap(spark):
+    df = spark.createDataFrame([(day(1), k, "x", w, 0.5) for k, w in (("a", 0.5), ("b", 0.3), ("c", 0.2))], "rebalance_date date, ts_code string, industry_name string, benchmark_weight double, max_weight double")
+    assert {r.ts_code: pytest.approx(r["_base"]) for r in capped_base(df, ["rebalance_date"]).collect()} == {"a": 0.5, "b": 0.3, "c": 0.2}
