@@ -16,6 +16,7 @@ from alphaloom.operators.conformal import (
     trust_gate,
 )
 from alphaloom.operators.cross_section import composite_score
+from alphaloom.operators.factors import DEFAULT_GROUPS, FEATURE_GROUPS, resolve_features
 from alphaloom.operators.metrics import performance_metrics
 from alphaloom.operators.nav import slice_nav
 from alphaloom.operators.positions import (
@@ -53,6 +54,26 @@ def ablation_scores(panel: DataFrame, variants: Mapping[str, Sequence[str]]) ->
     return rows.where("score IS NOT NULL").withColumnRenamed("trade_date", "rebalance_date")
 
 
+# Fixed variants of the ablation, by feature group.
+VARIANTS = {
+    "fundamental_only": ("value", "quality"),
+    "technical_only": ("technical", "liquidity"),
+    "full_factor": DEFAULT_GROUPS,
+}
+
+
+def variant_features(columns: Sequence[str], variants: Mapping[str, Sequence[str]] | None = None) -> dict[str, list[str]]:
+    """Features of each variant (name -> feature groups) that a panel with these ``columns`` has.
+
+    Without ``variants`` the fixed ones are compared, and on a panel with every external series
+    also the full one with them.
+    """
+    chosen = dict(variants or VARIANTS)
+    if variants is None and set(FEATURE_GROUPS["external"]) <= set(columns):
+        chosen["full_with_external"] = (*DEFAULT_GROUPS, "external")
+    return {name: resolve_features(groups, available=columns) for name, groups in chosen.items()}
+
+
 def feature_ablation(panel: DataFrame, variants: Mapping[str, Sequence[str]], n: int = 20) -> Backtest:
     """All feature-group variants in one back-test, labelled by ``variant``."""
     book = with_turnover(top_n(ablation_scores(panel, variants), n, by=["variant"]), ["variant"])

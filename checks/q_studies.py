@@ -163,9 +163,9 @@ def exp06(d):
     return studies.summary_table([("equal_weight_baseline", base), ("composite_tilt", tilted), ("model_tilt", ols_run(d))], start="1997-01-01", end="2000-12-31")
 
 
-@query("exp07_construction_comparison", f"SELECT 'rank_equal_weight' AS portfolio_construction, variant, {v.rnd(*CORE)} FROM v_ablmet UNION ALL SELECT 'constrained_optimizer', scenario, {v.rnd(*CORE, digits=4)} FROM v_xmet WHERE scenario = 'full_constraints'")
+@query("exp07_construction_comparison", f"SELECT 'rank_equal_weight' AS portfolio_construction, variant, {v.rnd(*CORE)} FROM v_ablmet UNION ALL SELECT 'constrained_optimizer', scenario, {v.rnd(*CORE, digits=4)} FROM v_xmet")
 def exp07(d):
-    opt = studies.constraint_ablation(d.prepared(), d.labeled(), LIMITS, studies.CONSTRAINT_SETS[:1]).metrics
+    opt = studies.constraint_ablation(d.prepared(), d.labeled(), LIMITS).metrics
     return studies.construction_comparison(rounded(opt.withColumnRenamed("scenario", "variant").select("variant", *CORE), CORE, 4), rounded(ablation(d).metrics.select("variant", *CORE), CORE))
 
 

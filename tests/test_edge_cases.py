@@ -11,6 +11,7 @@ from alphaloom.functions import columns as C
 from alphaloom.operators.conformal import conformal_rank, trust_gate
 from alphaloom.operators.cross_section import group_median, winsorize_mad, zscore
 from alphaloom.operators.factors import compute_factors, full_window, by_security, resolve_features
+from alphaloom.plans.studies import variant_features
 from alphaloom.operators.joins import asof_join
 from alphaloom.operators.nav import daily_nav
 from alphaloom.operators.positions import top_n, with_turnover
@@ -136,6 +137,9 @@ def test_feature_registry():
     with pytest.raises(ValueError):
         resolve_features(["nope"])
     assert resolve_features(["value", "value"], ["x"], ["x", "bp"]) == ["bp", "x"]
+    assert variant_features(["bp", "ret_20"]) == {"fundamental_only": ["bp"], "technical_only": ["ret_20"], "full_factor": ["bp", "ret_20"]}
+    assert list(variant_features(["m2_yoy", "northbound_net_inflow", "cn_spread_10y_2y"]))[-1] == "full_with_external"
+    assert variant_features(["bp"], {"mine": ["value"]}) == {"mine": ["bp"]}
 
 
 def test_bundle_names_missing_files(spark, tmp_path):
