@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alphaloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
+from alphaloom.llm.shipping import ship
 from alphaloom.llm.storage import settle
 
 
@@ -67,6 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir))
