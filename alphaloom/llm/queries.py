@@ -39,6 +39,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLE["op1_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, s, array_to_string(w[s : s + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d)),
+f AS (SELECT k, min(doc_id) AS first_doc FROM g GROUP BY 1),
+hit AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS p FROM g JOIN f USING (k) WHERE first_doc < doc_id),
+t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+k AS (SELECT t.doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM t ANTI JOIN hit USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source."""
