@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.llm.wordhash import Words, blocks, mix
 
-TRAIN_DOCS = {0: 8000, 1: 4000}
+TRAIN_DOCS = {0: 6000, 1: 3000}
 BUCKETS = 2**18
 SIZE = 12
 WINDOW = 8
@@ -116,18 +116,34 @@ class Model:
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 5) -> Model:
     """Joint training of embeddings and softmax on labelled texts with row weights."""
     rng = np.random.default_rng(seed)
-    w, codes, words, _ = _words(texts)
-    row, number = subwords(words)
-    word_of = np.repeat(np.arange(len(words)), number)
-    window, begin, many = _windows(w.first)
-    doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
+    hashes, counts, spelt = [], [], {}
+    for a, b in blocks([len(t) for t in texts]):  # block by block, as hashing takes many times a block's size
+        w, part, words, found = _words(texts[a:b])
+        spelt.update(zip(found.tolist(), words, strict=True))
+        hashes.append(found[part])
+        counts.append(np.diff(w.first))
+    codes, found = pd.factorize(np.concatenate(hashes))
+    codes, counts = codes.astype(np.int32), np.concatenate(counts)
+    words = [spelt[h] for h in found.tolist()]
+    del hashes, spelt
+    parts = [subwords(words[a : a + 20_000]) for a in range(0, len(words), 20_000)]
+    row = np.concatenate([r.astype(np.int32) for r, _ in parts] or [np.zeros(0, np.int32)])
+    number = np.concatenate([n for _, n in parts] or [np.zeros(0, np.int64)])
+    del parts
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), number)
+    window, begin, many = _windows(np.append(0, np.cumsum(counts)))
+    window = window.astype(np.int32)
+    doc = np.repeat(np.arange(len(texts)), counts)
     # documents that hold each embedding row
     pair = np.unique(doc * len(words) + codes) if len(codes) else np.zeros(0, np.int64)
     held = np.bincount(row, np.bincount(pair % max(1, len(words)), minlength=len(words))[word_of], minlength=BUCKETS)
+    del doc, pair
     live = held >= LEAST_DOCS
-    row, word_of = row[live[row]], word_of[live[row]]
-    rows, row = np.unique(row, return_inverse=True)
-    share = 1.0 / number[word_of]  # a word is the mean of all its n-grams, learnt or not
+    on = live[row]
+    row, word_of = row[on], word_of[on]
+    rows = np.flatnonzero(live & (np.bincount(row, minlength=BUCKETS) > 0))
+    row = np.searchsorted(rows, row).astype(np.int32)
+    share = (1.0 / number[word_of]).astype(np.float32)  # a word is the mean of all its n-grams, learnt or not
     emb = rng.normal(0, 0.1, (len(rows), SIZE))
     top = rng.normal(0, 0.3, (SIZE, 2))
     bias = np.log(np.array([weight[toxic == 0].sum(), weight[toxic == 1].sum()]) / weight.sum())
@@ -183,10 +199,20 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if len(counts) < 2:
         return 1.0 if 1 in counts else 0.0
     picked = [rows.filter(F.col("y") == c).orderBy(F.xxhash64("_t"), "_id").limit(train_docs[c]) for c in (0, 1)]
-    sample = picked[0].unionByName(picked[1]).select("_t", "y").toPandas()
-    y = sample["y"].to_numpy()
-    per_class = np.array([counts[0] / (y == 0).sum(), counts[1] / (y == 1).sum()])
-    return fit(sample["_t"].tolist(), y.astype(float), per_class[y])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = pd.concat(list(batches))
+        y = sample["y"].to_numpy()
+        per_class = np.array([counts[0] / (y == 0).sum(), counts[1] / (y == 1).sum()])
+        texts = sample["_t"].tolist()
+        del sample
+        m = fit(texts, y.astype(float), per_class[y])
+        yield pd.DataFrame({"logits": [m.row_logits.tobytes()], "clean": [m.bias[0]], "toxic": [m.bias[1]]})
+
+    # the bounded sample is fitted in one task; only the model comes back
+    sample = picked[0].unionByName(picked[1]).select("_t", "y").coalesce(1)
+    made = sample.mapInPandas(run, "logits BINARY, clean DOUBLE, toxic DOUBLE").first()
+    return Model(np.frombuffer(made["logits"], np.float32).reshape(-1, 2), np.array([made["clean"], made["toxic"]]))
 
 
 def score(docs: DataFrame, model: Model | float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
