@@ -8,12 +8,12 @@ documents and a few words decide them, so a document is scored by its most toxic
 the deciding window. Misspelt and inflected words share n-grams with the ones learnt.
 
 The classifier is fitted on at most ``TRAIN_DOCS`` labelled documents (clean, toxic), those with
-the least text hashes; class weights restore the labelled share of toxic documents. Scoring
+the least hashes of their ids; class weights restore the labelled share of toxic documents. Scoring
 needs one number per bucket and covers every whole text.
 
 Edge cases: null, empty and wordless texts are one empty window (their score is the bias);
-without labels of both classes every score is the labelled share of toxic rows, 0 if there is
-no label; repeated rows get equal scores; an empty table gives an empty result.
+without labelled documents of both classes every score is the labelled share of toxic rows, 0 if
+there is none; repeated rows get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -194,24 +194,29 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """A model fitted on labelled documents, or the share of toxic rows where one class is missing."""
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).alias("y"))
     own = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    rows = known.join(own, "_id")
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(counts) < 2:
         return 1.0 if 1 in counts else 0.0
-    picked = [rows.filter(F.col("y") == c).orderBy(F.xxhash64("_t"), "_id").limit(train_docs[c]) for c in (0, 1)]
+    picked = [known.filter(F.col("y") == c).orderBy(F.xxhash64("_id"), "_id").limit(train_docs[c]) for c in (0, 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample = pd.concat(list(batches))
-        y = sample["y"].to_numpy()
-        per_class = np.array([counts[0] / (y == 0).sum(), counts[1] / (y == 1).sum()])
+        parts = list(batches)
+        sample = pd.concat(parts) if parts else pd.DataFrame({"_t": [], "y": []})
+        y = sample["y"].to_numpy(dtype=np.int64)
+        found = np.bincount(y, minlength=2)
+        if not found.all():
+            return  # labels of one class have no documents
+        per_class = np.array([counts[0] / found[0], counts[1] / found[1]])
         texts = sample["_t"].tolist()
         del sample
         m = fit(texts, y.astype(float), per_class[y])
         yield pd.DataFrame({"logits": [m.row_logits.tobytes()], "clean": [m.bias[0]], "toxic": [m.bias[1]]})
 
-    # the bounded sample is fitted in one task; only the model comes back
-    sample = picked[0].unionByName(picked[1]).select("_t", "y").coalesce(1)
+    # the ids of the bounded sample are sent to the documents; the sample is fitted in one task and only the model comes back
+    sample = own.join(F.broadcast(picked[0].unionByName(picked[1])), "_id").select("_t", "y").repartition(1)
     made = sample.mapInPandas(run, "logits BINARY, clean DOUBLE, toxic DOUBLE").first()
+    if made is None:
+        return 0.0
     return Model(np.frombuffer(made["logits"], np.float32).reshape(-1, 2), np.array([made["clean"], made["toxic"]]))
 
 
