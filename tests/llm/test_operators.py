@@ -290,3 +290,21 @@ def test_baum_welch_raises_the_likelihood():
         seen.append(m.likelihood(texts).sum())
         m = hmm.Model.refit(m.expect(texts), share)
     assert seen[-1] > seen[0]
+
+
+def test_training_reads_every_document_until_the_posterior_stops_rising(spark):
+    """Copies of one text, of any number, do not stand for the corpus: the states are those of EM over all rows."""
+    rng = np.random.default_rng(8)
+    others = [np.append(rng.integers(1 + 20 * (k % 3), 20 + 20 * (k % 3), rng.integers(1, 200)), 0).astype("<u2") for k in range(60)]
+    texts = [np.array([7, 0], "<u2")] * 900 + others
+    share = (np.bincount(np.concatenate(texts), minlength=hmm.SYMBOLS) + 0.5) / (sum(map(len, texts)) + 0.5 * hmm.SYMBOLS)
+    want, risen = hmm.Model.guess(share), []
+    while len(risen) < 2 or risen[-1] - risen[-2] > 1e-5 * abs(risen[-1]):
+        total = want.expect(texts)
+        risen.append(want.posterior(total, share))
+        want = hmm.Model.refit(total, share)
+    assert len(risen) > 4 and risen == sorted(risen)
+    rows = spark.createDataFrame([(True, t.tobytes()) for t in texts] + [(False, np.array([9, 9, 0], "<u2").tobytes())] * 50, "_learn boolean, symbols binary")
+    got = hmm.train(rows.repartition(5), share)
+    for part in ("start", "later", "move", "emit"):
+        assert np.allclose(getattr(got, part), getattr(want, part), atol=1e-4)
