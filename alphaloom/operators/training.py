@@ -178,7 +178,8 @@ def boosted_alpha(panel: DataFrame, plan: TrainingPlan, features: Sequence[str],
     """Boosted trees per window with Spark ML; each fit is itself a distributed job.
 
     The driver holds only the list of windows. Pass a cached or stored panel: every window
-    filters it anew instead of materialising rows x windows.
+    filters it anew instead of materialising rows x windows. A window's scores are staged as soon
+    as it is fitted, so no plan holds the trees of more than one window.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
@@ -204,7 +205,7 @@ def boosted_alpha(panel: DataFrame, plan: TrainingPlan, features: Sequence[str],
         train = assembled.where(F.col("trade_date").between(span.a, span.b) & F.col(label).isNotNull())
         model = learner.fit(train)
         targets = plan.targets.where(F.col("window_id") == F.lit(span.window_id)).select("trade_date")
-        scored = model.transform(assembled.join(F.broadcast(targets), "trade_date")).select("trade_date", "ts_code", label, "ml_score")
+        scored = stage(model.transform(assembled.join(F.broadcast(targets), "trade_date")).select("trade_date", "ts_code", label, "ml_score"))
         weights = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
         imp = targets.select("trade_date", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("importance")) for f, v in weights])))
         predictions = scored if predictions is None else predictions.unionByName(scored)

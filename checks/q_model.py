@@ -21,7 +21,6 @@ from alphaloom.operators.conformal import (
 )
 from alphaloom.operators.training import (
     LABEL,
-    BoostParams,
     boosted_alpha,
     frozen_plan,
     ols_alpha,
@@ -29,7 +28,7 @@ from alphaloom.operators.training import (
     training_rows,
 )
 from checks import views as v
-from checks.fixtures import EMBARGO, MIN_ROWS, TRAIN_MONTHS, r, rounded, split_key
+from checks.fixtures import EMBARGO, FEATURES, MIN_ROWS, TRAIN_MONTHS, r, rounded, split_key
 from checks.registry import query
 
 X = ["ret_20"]
@@ -87,8 +86,7 @@ def mod04(d):
 @query("mod04_frozen_boosted")
 def mod04b(d):
     plan = frozen_plan(d.model(), "1998-12-31", "1999-01-01")
-    params = BoostParams(rounds=10, step=0.1, depth=4)
-    return boosted_alpha(d.model(), plan, ["ret_20", "volatility_20", "turnover_20"], min_train_rows=MIN_ROWS, params=params).predictions
+    return boosted_alpha(d.model(), plan, FEATURES, min_train_rows=MIN_ROWS).predictions
 
 
 v.V["v_zrows"] = f"""SELECT DATE '1998-12-31' AS window_id, trade_date, ts_code, industry_name, COALESCE(ret_20, 0) AS x, {v.LABEL} AS y
@@ -119,11 +117,9 @@ def mod05c(d):
     return ols_alpha(d.model(), embargoed(d), ["ret_20", "volatility_20", "turnover_20"], min_train_rows=MIN_ROWS).predictions
 
 
-@query("mod05_rolling_boosted_yearly")
+@query("mod05_rolling_boosted_yearly")  # registered under its first name; windows are monthly
 def mod05b(d):
-    plan = rolling_plan(d.model(), 2, EMBARGO, "year")
-    params = BoostParams(rounds=8, step=0.1, depth=4)
-    return boosted_alpha(d.model(), plan, ["ret_20", "volatility_20", "turnover_20"], min_train_rows=MIN_ROWS, params=params).predictions
+    return boosted_alpha(d.model(), embargoed(d), FEATURES, min_train_rows=MIN_ROWS).predictions
 
 
 @query("mod06_calibration_split", "SELECT window_id, is_calibration, COUNT(*) AS n, MIN(trade_date) AS first_day, MAX(trade_date) AS last_day, CAST(SUM(ts_code) AS BIGINT) AS codes FROM v_split GROUP BY ALL")
