@@ -176,6 +176,19 @@ def construction_comparison(optimised: DataFrame, equal: DataFrame) -> DataFrame
     return union_labelled([("constrained_optimizer", optimised), ("rank_equal_weight", equal)], "portfolio_construction")
 
 
+def variant_snapshots(panel: DataFrame, variants: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Optimiser snapshots of every feature variant under ``variant``. ``panel`` needs benchmark_weight and industry_name."""
+    about = panel.select(F.col("trade_date").alias("rebalance_date"), "ts_code", "industry_name", "benchmark_weight")
+    return prepare_snapshot(ablation_scores(panel, variants).join(about, ["rebalance_date", "ts_code"]), by=["variant"])
+
+
+def variant_constructions(panel: DataFrame, returns: DataFrame, variants: Mapping[str, Sequence[str]], limits: risk.Limits = risk.Limits(), n: int = 20) -> DataFrame:
+    """Metrics of every feature variant as an optimised and as an equal-weight book."""
+    positions = tilted_positions(stage(variant_snapshots(panel, variants)), returns, limits, ["variant"])
+    equal = feature_ablation(panel, variants, n).metrics.drop("feature_count", "feature_columns")
+    return construction_comparison(from_positions(returns, positions, ["variant"]).metrics.select(equal.columns), equal)
+
+
 def regime_metrics(nav: DataFrame, positions: DataFrame, regimes: Mapping[str, tuple[str, str]], by: Sequence[str]) -> DataFrame:
     """Metrics per named date range and strategy: rows are tagged by range, so all ranges are one plan."""
     spans = F.array(*[F.struct(F.lit(n).alias("regime"), F.lit(a).cast("date").alias("_a"), F.lit(b).cast("date").alias("_b")) for n, (a, b) in regimes.items()])

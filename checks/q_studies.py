@@ -169,6 +169,12 @@ def exp07(d):
     return studies.construction_comparison(rounded(opt.withColumnRenamed("scenario", "variant").select("variant", *CORE), CORE, 4), rounded(ablation(d).metrics.select("variant", *CORE), CORE))
 
 
+@query("exp07_constructions_by_variant")
+def exp07b(d):
+    panel = d.model().withColumn("benchmark_weight", F.col("amount"))
+    return studies.variant_constructions(panel, d.labeled(), VARIANTS, LIMITS).select("portfolio_construction", "variant", *CORE)
+
+
 REGIMES = {f"Y{y}": (f"{y}-01-01", f"{y}-12-31") for y in range(1996, 2001)}
 v.V["v_regnav"] = " UNION ALL ".join(
     f"SELECT '{n}' AS regime, * REPLACE (portfolio_nav / FIRST_VALUE(portfolio_nav) OVER o AS portfolio_nav, benchmark_nav / FIRST_VALUE(benchmark_nav) OVER o AS benchmark_nav, (portfolio_nav / FIRST_VALUE(portfolio_nav) OVER o) / (benchmark_nav / FIRST_VALUE(benchmark_nav) OVER o) AS excess_nav) FROM v_ablnav WHERE trade_date BETWEEN DATE '{a}' AND DATE '{b}' WINDOW o AS (PARTITION BY variant ORDER BY trade_date)"

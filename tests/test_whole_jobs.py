@@ -3,7 +3,8 @@
 import pytest
 
 from alphaloom.operators.training import BoostParams, Scores, boosted_alpha
-from checks import fixtures, q_model
+from alphaloom.plans import studies
+from checks import fixtures, q_model, q_studies
 
 
 @pytest.mark.parametrize("build", [q_model.mod04b, q_model.mod05b])
@@ -27,3 +28,18 @@ def test_boosted_scores_are_staged_by_window(spark, small):
     plan = q_model.frozen_plan(d.model(), "1998-12-31", "1999-01-01")
     out = boosted_alpha(d.model(), plan, fixtures.FEATURES, min_train_rows=30, params=BoostParams(rounds=2)).predictions
     assert out.count() > 0 and "UDF" not in out._jdf.queryExecution().toString()
+
+
+def test_full_variant_has_the_snapshots_of_the_composite(spark, small):
+    d = fixtures.data(spark, small)
+    got = studies.variant_snapshots(d.model().withColumn("benchmark_weight", d.model()["amount"]), q_studies.VARIANTS)
+    key, value = ["rebalance_date", "ts_code"], ["benchmark_weight", "alpha_score", "score"]
+    both = got.where("variant = 'full_factor'").toPandas().set_index(key)[value].join(d.prepared().toPandas().set_index(key)[value], how="outer", rsuffix="_want")
+    assert len(both) and all(((both[c] - both[c + "_want"]).abs() < 1e-6).all() for c in value)
+
+
+def test_every_variant_has_both_constructions(spark, small):
+    rows = q_studies.exp07b(fixtures.data(spark, small)).collect()
+    both = [(c, n) for c in ("constrained_optimizer", "rank_equal_weight") for n in q_studies.VARIANTS]
+    assert sorted((r.portfolio_construction, r.variant) for r in rows) == sorted(both)
+    assert all(r.information_ratio is not None for r in rows)
