@@ -104,6 +104,12 @@ def mod04c(d):
     return rounded(res.predictions.select("trade_date", "ts_code", "ml_score", "ci_half_width"), ["ml_score", "ci_half_width"])
 
 
+@query("mod04_frozen_conformal_all_features")
+def mod04d(d):
+    plan = frozen_plan(d.model(), "1998-12-31", "1999-01-01")
+    return conformal_predictions(d.model(), FEATURES, min_train_rows=MIN_ROWS, locally_adaptive=False, split_key=split_key(), plan=plan).predictions
+
+
 v.V["v_ocoef"] = v.ols("v_wrows")
 
 
@@ -169,6 +175,12 @@ def mod09(d):
     return rounded(d.conformal().select("trade_date", "ts_code", *CONF), CONF)
 
 
+@query("mod09_intervals_all_features")
+def mod09b(d):
+    res = conformal_predictions(d.model(), FEATURES, train_months=TRAIN_MONTHS, min_train_rows=MIN_ROWS, embargo=EMBARGO, split_key=split_key())
+    return res.predictions.select("trade_date", "ts_code", *CONF, "confidence")
+
+
 @query("mod10_confidence", f"SELECT trade_date, ts_code, {v.rnd('confidence')} FROM v_conf")
 def mod10(d):
     return rounded(d.conformal().select("trade_date", "ts_code", "confidence"), ["confidence"])
@@ -244,6 +256,13 @@ def mod16(d):
     return rounded(importance_summary(imp), ["mean", "std"])
 
 
+@query("mod16_importance_summary_all_features")
+def mod16b(d):
+    from alphaloom.operators.reports import importance_summary
+
+    return importance_summary(ols_alpha(d.model(), embargoed(d), FEATURES, min_train_rows=MIN_ROWS).importance)
+
+
 v.V["v_corr"] = f"""SELECT e.trade_date, CASE WHEN COUNT(r.hit) >= 200 AND STDDEV_POP(r.confidence) > 0 THEN COALESCE(CORR(r.confidence, r.{v.LABEL}), 0) ELSE 0 END AS r
 FROM (SELECT DISTINCT trade_date FROM v_conf) e LEFT JOIN v_real r ON r.realized_date <= e.trade_date GROUP BY 1"""
 v.V["v_tilted"] = """SELECT c.trade_date, ts_code,

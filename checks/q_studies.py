@@ -121,6 +121,12 @@ def exp04(d):
     return rounded(seeds(d).select("seed", *CORE), CORE)
 
 
+@query("exp04_seed_runs_all_features")
+def exp04d(d):
+    run = studies.seed_runs(d.model(), FEATURES, split_key, train_months=TRAIN_MONTHS, min_train_rows=MIN_ROWS, embargo=EMBARGO)
+    return run.metrics.select("seed", *CORE)
+
+
 @query("exp04_seed_statistics", "SELECT ROUND(AVG(information_ratio), 6) AS mean, ROUND(STDDEV_SAMP(information_ratio), 6) + 0.0 AS std, ROUND(STDDEV_SAMP(information_ratio) / AVG(information_ratio), 5) + 0.0 AS cv, ROUND(MIN(information_ratio), 6) AS min, ROUND(MAX(information_ratio), 6) AS max FROM v_seedmet")
 def exp04b(d):
     return rounded(rounded(seed_statistics(seeds(d), "information_ratio"), ["mean", "std", "min", "max"]), ["cv"], 5)

@@ -1,8 +1,10 @@
 """Queries do the whole job: all features, windows and rounds."""
 
+import numpy as np
 import pytest
 
-from alphaloom.operators.training import BoostParams, Scores, boosted_alpha
+from alphaloom.operators.conformal import calibration_split
+from alphaloom.operators.training import LABEL, BoostParams, Scores, boosted_alpha, training_rows
 from alphaloom.plans import studies
 from checks import fixtures, q_model, q_studies
 
@@ -43,3 +45,18 @@ def test_every_variant_has_both_constructions(spark, small):
     both = [(c, n) for c in ("constrained_optimizer", "rank_equal_weight") for n in q_studies.VARIANTS]
     assert sorted((r.portfolio_construction, r.variant) for r in rows) == sorted(both)
     assert all(r.information_ratio is not None for r in rows)
+
+
+def test_frozen_conformal_fits_all_features(spark, small):
+    """Scores are those of numpy's least squares on the rows outside the calibration set, intervals cover most of it."""
+    d = fixtures.data(spark, small)
+    plan, x = q_model.frozen_plan(d.model(), "1998-12-31", "1999-01-01"), list(fixtures.FEATURES)
+    design = lambda df: np.column_stack([np.ones(len(df)), df[x].fillna(0.0)])
+    rows = calibration_split(training_rows(d.model(), plan), fixtures.split_key()).select("is_calibration", LABEL, *x).toPandas()
+    fit = rows[~rows.is_calibration]
+    coef = np.linalg.lstsq(design(fit), fit[LABEL], rcond=None)[0]
+    got = q_model.mod04d(d).select("trade_date", "ts_code", "ml_score", "ci_half_width").toPandas()
+    both = got.merge(d.model().select("trade_date", "ts_code", *x).toPandas(), on=["trade_date", "ts_code"])
+    assert len(both) == len(got) > 0 and np.allclose(both.ml_score, design(both) @ coef, atol=1e-8)
+    calib = rows[rows.is_calibration]
+    assert 0.85 < (abs(calib[LABEL] - design(calib) @ coef) <= got.ci_half_width.iloc[0]).mean() < 0.95
