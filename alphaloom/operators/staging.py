@@ -17,4 +17,13 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a table that ``stage`` wrote and that nothing reads any more."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.staged_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
