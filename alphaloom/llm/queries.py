@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import decontaminate, hmm, line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity, warc_zip
+from alphaloom.llm import decontaminate, hmm, line_dedup, near_dedup, ns_clusters, packing, quality_rules, substring_dedup, token_counts, toxicity, warc_zip
 from alphaloom.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,39 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op11_ns_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three exact rounds, with the inertia and the centroid's digest."""
+    out = ns_clusters.clusters(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _op11_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64, seed: int = 1) -> str:
+    """A pair of CTEs for each round: vectors to their nearest centroid, then the floors of the means."""
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""
+a{t} AS (SELECT rid, any_value(v) AS v, min(struct_pack(d := d, j := j)) AS m
+  FROM (SELECT rid, v, j, CAST(list_sum(list_transform(range(1, {dims + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) AS d FROM q, c{t}) GROUP BY rid)""")
+        if t < rounds:
+            steps.append(f"""
+s{t} AS (SELECT j, i, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT m.j AS j, unnest(range(1, {dims + 1})) AS i, unnest(v) AS x FROM a{t}) GROUP BY j, i),
+n{t} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{t} GROUP BY j),
+c{t + 1} AS (SELECT j, coalesce(n{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN n{t} USING (j))""")
+    return f"""
+WITH q AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS j, v AS c FROM q WHERE vec_id IS NOT NULL QUALIFY j < {k}),{",".join(steps)},
+t AS (SELECT m.j AS j, CAST(sum(m.d) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY 1)
+SELECT vec_id, CAST(m.j AS INT) AS cluster, m.d AS distance, cluster_inertia, (SELECT CAST(sum(m.d) AS BIGINT) FROM a{rounds}) AS inertia,
+  sha256(array_to_string(c{rounds}.c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN q USING (rid) JOIN t ON t.j = m.j JOIN c{rounds} ON c{rounds}.j = m.j"""
+
+
+ORACLE["op11_ns_clusters"] = _op11_sql()
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of the corpus pipeline."""
