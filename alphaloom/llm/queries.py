@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import decontaminate, hmm, line_dedup, near_dedup, ns_clusters, packing, quality_rules, substring_dedup, token_counts, toxicity, warc_zip
+from alphaloom.llm import decontaminate, hmm, line_dedup, near_dedup, ns_clusters, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity, warc_zip
 from alphaloom.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,6 +185,12 @@ FROM a{rounds} JOIN q USING (rid) JOIN t ON t.j = m.j JOIN c{rounds} ON c{rounds
 ORACLE["op11_ns_clusters"] = _op11_sql()
 
 
+@query
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the component that links of at most two differing bits make."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of the corpus pipeline."""
