@@ -55,14 +55,15 @@ def _fingerprints(df: DataFrame, keep: list[str], column: str) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``items`` (sorted ids as strings) and ``hits`` (covered [first, past) word ranges).
 
-    ``doc_id`` has to be unique. Item words travel only with fingerprints that were hit.
+    ``doc_id`` has to be unique; rows without one are told apart by their texts. Item words travel only with fingerprints that were hit.
     """
     items = stage(
         benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("_t"))
         .selectExpr("item", f"coalesce({words('_t')}, array()) AS iw")
         .filter("item IS NOT NULL AND size(iw) > 0")
     )
-    bare = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).filter("_t IS NOT NULL")
+    key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("\n"), F.sha2(F.col(text), 256)))
+    bare = docs.select(key.alias("_id"), F.col(text).alias("_t")).filter("_t IS NOT NULL")
     tokens = bare.selectExpr("_id", f"{words('_t')} AS w")
 
     marks = _fingerprints(items, ["item", "iw"], "iw").selectExpr("print", "struct(item, iw, pos AS q) AS it")
@@ -84,7 +85,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in (doc_id, text) or c.lower() not in ("n_words", "n_hit", "items", "hits", "near", "_w", "_m", "_hit_id")])
     own = [f"`{c}`" for c in docs.columns]
-    out = docs.join(hits.withColumnRenamed("_id", "_hit_id"), F.col(doc_id) == F.col("_hit_id"), "left").drop("_hit_id")
+    out = docs.join(hits.withColumnRenamed("_id", "_hit_id"), key == F.col("_hit_id"), "left").drop("_hit_id")
     out = out.selectExpr(
         *own, f"CAST(coalesce(regexp_count(`{text}`, '{WORD}'), 0) AS BIGINT) AS n_words", "near",
         f"CASE WHEN near IS NULL THEN array() ELSE {words(f'`{text}`')} END AS _w",

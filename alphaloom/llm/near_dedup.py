@@ -19,8 +19,9 @@ member has already rule out the threshold. Buckets of more than ``BLOCK`` member
 in pairs of blocks, so every pair of a bucket is in one class, compared or ruled out, and no
 task holds more than two blocks.
 
-Edge cases: null and wordless texts are classes of their own; ids should be unique (rows with
-an equal id get equal classes); texts of any length count whole; an empty table gives an empty
+Edge cases: null and wordless texts are classes of their own; ids are whole numbers of up to 64
+bits (others fail) and should be unique (rows with an equal id get equal classes; rows without
+id have a null class and join nobody's); texts of any length count whole; an empty table gives an empty
 result; other columns of the input do not matter.
 """
 
@@ -241,9 +242,9 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``class_id``, the least id of its class, of every row."""
-    own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).filter("_id IS NOT NULL")
     signed = settle(own.mapInPandas(_sign, "_id BIGINT, copy BINARY, buckets ARRAY<BIGINT>"))
-    texts = settle(signed.filter("_id IS NOT NULL").groupBy("copy").agg(F.min("_id").alias("_id"), F.first("buckets").alias("buckets")))
+    texts = settle(signed.groupBy("copy").agg(F.min("_id").alias("_id"), F.first("buckets").alias("buckets")))
     placed = texts.select("_id", F.explode("buckets").alias("bucket"))
     least = placed.groupBy("bucket").agg(F.min("_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = settle(placed.join(least, "bucket"))  # buckets of two texts or more
@@ -258,7 +259,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "_id", "root", "main"
     )
-    rest = rest.join(own.filter("_id IS NOT NULL"), "_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    rest = rest.join(own, "_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = settle(rest.mapInPandas(_search, "a BIGINT, b BIGINT"))
     # classes joined by these links: components over class roots
     over = more

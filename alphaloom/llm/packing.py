@@ -59,9 +59,10 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
                     rows += [(names[k], j, s, e - s, zlib.crc32(whole[s:e].tobytes())) for j, (s, e) in enumerate(zip(edges, edges[1:], strict=False))]
             yield pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    flat = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    return flat.mapInPandas(cut, f"_id {kind}, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT").withColumnRenamed("_id", doc_id)
+    # ids pass through as text: a null would turn the longs of a batch into doubles
+    flat = docs.select(F.col(doc_id).cast("string").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    out = flat.mapInPandas(cut, "_id STRING, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT")
+    return out.select(F.col("_id").cast(docs.schema[doc_id].dataType).alias(doc_id), "piece", "start", "length", "ids_crc32")
 
 
 class _Counts:
@@ -184,8 +185,12 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
             out["offset"] = t[k, 4]
             yield out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInPandas(place, f"{schema}, sequence_id BIGINT, offset BIGINT")
+    kinds = {f.name: f.dataType for f in ranked.schema if f.name != "_rank"}
+    text = [k for k in keys if k != length]  # keys pass through as text, as they may be null
+    ranked = ranked.withColumns({k: F.col(k).cast("string") for k in text})
+    schema = ", ".join(f"`{c}` {'STRING' if c in text else kind.simpleString()}" for c, kind in kinds.items())
+    out = ranked.mapInPandas(place, f"{schema}, sequence_id BIGINT, offset BIGINT")
+    return out.withColumns({k: F.col(k).cast(kinds[k]) for k in text})
 
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:

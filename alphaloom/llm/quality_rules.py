@@ -1,10 +1,11 @@
 """Weak supervision of document quality: rules vote or abstain, EM weighs the votes.
 
 Every rule votes 1 (good), -1 (bad) or 0 (abstains) on a whole text. The number of vote
-patterns is at most ``3 ** rules``, so after one aggregation of the corpus to pattern counts
-expectation-maximisation runs on those counts alone: it estimates how often each rule votes
-good or bad on good and on bad documents and gives each pattern its posterior probability of
-being good. Texts that break a hard limit are rejected whatever the posterior says.
+patterns is at most ``2 ** 5 * 3 ** 5`` (five rules never vote good), so after one aggregation of
+the corpus to pattern counts expectation-maximisation runs on those counts alone: it estimates
+the accuracy of each rule's votes and gives each pattern its posterior probability of being
+good. One bad vote does not reject a text, nor does the lack of one keep it: what counts is how
+often the rules that voted are borne out by the others. Texts that break a hard limit are rejected whatever the posterior says.
 
 Edge cases: a null or blank text has no words and fails the hard limit; equal rows get equal
 results; an empty table gives an empty result; other columns pass through, except those named like a
@@ -14,6 +15,7 @@ result.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,18 +25,25 @@ from alphaloom.operators.staging import stage
 SPACE = r"[\\x20\\x09-\\x0D]"
 WINDOW = 8
 
-#: name -> (bad when, good when); conditions over ``text_features``, abstains in between
+#: name -> (bad when, good when); conditions over ``text_features``, abstains in between. Rules that
+#: look for one kind of damage say nothing about texts without it; the others know both sides.
 RULES = {
-    "symbols": ("n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
-    "repetition": ("n_repeat_words * 10 > n_words * 3 OR n_dup_lines * 2 > n_lines", "n_repeat_words * 10 <= n_words AND n_dup_lines * 10 <= n_lines"),
-    "shouting": ("n_upper * 2 > word_chars OR n_exclaim * 4 > n_words", "n_upper * 5 <= word_chars AND n_exclaim * 20 <= n_words"),
+    "symbols": ("n_symbols * 10 > n_words", "false"),
+    "repetition": ("n_repeat_words * 10 > n_words * 3 OR n_dup_lines * 2 > n_lines", "false"),
+    "shouting": ("n_upper * 2 > word_chars", "false"),
+    "exclaiming": ("n_exclaim * 4 > n_words", "false"),
+    "garbled": ("n_garbled * 100 > word_chars", "false"),
     "word_length": ("word_chars < 2 * n_words OR word_chars > 20 * n_words", "word_chars BETWEEN 3 * n_words AND 12 * n_words"),
-    "garbled": ("n_garbled * 100 > word_chars", "n_garbled = 0"),
+    "plain_words": ("n_plain * 10 < n_words * 7", "n_plain * 10 >= n_words * 9"),
+    "variety": ("n_distinct * 20 < n_words", "n_distinct * 3 > n_words"),
+    "sentences": ("n_ends * 2 > n_words OR n_ends * 100 < n_words", "n_ends * 4 < n_words AND n_ends * 50 > n_words"),
+    "casing": ("n_capital * 10 > n_words * 7", "n_capital * 10 < n_words * 4 AND n_capital * 100 > n_words"),
 }
+PSEUDO = 3.0
 
 #: names of results and helpers; input columns of such a name are left out
 _NAMES = {
-    "n_words", "word_chars", "n_symbols", "n_upper", "n_garbled", "n_exclaim", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+    "n_words", "word_chars", "n_symbols", "n_upper", "n_garbled", "n_exclaim", "n_lines", "n_dup_lines", "n_repeat_words", "n_plain", "n_distinct", "n_ends", "n_capital", "base_failed", "kept",
     "quality_prob", "_t", "_w", "_l", "_h", "_s", "_p", *(f"vote_{r}" for r in RULES),
 }
 
@@ -61,12 +70,16 @@ def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
         "CAST(regexp_count(_t, '\\\\p{Lu}') AS BIGINT) AS n_upper",
         "CAST(regexp_count(_t, '[\\\\x00-\\\\x08\\\\x0E-\\\\x1F\\\\x{FFFD}]') AS BIGINT) AS n_garbled",
         "CAST(char_length(_t) - char_length(replace(_t, '!', '')) AS BIGINT) AS n_exclaim",
+        "CAST(size(filter(_w, w -> w RLIKE '^\\\\p{L}+[.,;:!?]?$')) AS BIGINT) AS n_plain",
+        "CAST(size(array_distinct(_w)) AS BIGINT) AS n_distinct",
+        "CAST(regexp_count(_t, '[.!?](?=[\\\\x20\\\\x09-\\\\x0D]|$)') AS BIGINT) AS n_ends",
+        "CAST(regexp_count(_t, '(?<![^\\\\x20\\\\x09-\\\\x0D])\\\\p{Lu}') AS BIGINT) AS n_capital",
         "CAST(size(_l) AS BIGINT) AS n_lines",
         "CAST(size(_l) - size(array_distinct(_l)) AS BIGINT) AS n_dup_lines",
         f"CASE WHEN size(_w) > {WINDOW} THEN transform(sequence(1, size(_w) - {WINDOW - 1}), i -> xxhash64(slice(_w, i, {WINDOW})))"
         " ELSE array() END AS _h",
     )
-    counts = [f"`{c}`" for c in keep] + ["n_words", "word_chars", "n_symbols", "n_upper", "n_garbled", "n_exclaim", "n_lines", "n_dup_lines"]
+    counts = [f"`{c}`" for c in keep] + ["n_words", "word_chars", "n_symbols", "n_upper", "n_garbled", "n_exclaim", "n_plain", "n_distinct", "n_ends", "n_capital", "n_lines", "n_dup_lines"]
     t = t.selectExpr(
         *counts,
         "CASE WHEN size(array_distinct(_h)) < size(_h)"
@@ -89,52 +102,58 @@ def votes(features: DataFrame) -> DataFrame:
     return features.withColumns({f"vote_{r}": F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END") for r, (bad, good) in RULES.items()})
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, false_alarm: float = 0.005, catch: tuple[float, float] = (0.1, 0.6)) -> dict[tuple[int, ...], float]:
-    """Posterior of "good" for each vote pattern, from pattern counts.
+@dataclass(frozen=True)
+class Fitted:
+    """Share of good texts, accuracy of each rule's votes, and the posterior of "good" of each vote pattern."""
 
-    Estimates for each rule how often it votes bad on good and on bad documents. Rules are
-    taken as independent given the class; an abstention says nothing. The first rate is kept
-    at most ``false_alarm`` and the second within ``catch``: without these bounds the likeliest
-    two classes may be any two groups of texts, and a rule that finds its own kind of bad text
-    alone would be voted down by the rules for other kinds. Starts from one bad vote as strong doubt.
+    prior: float
+    accuracy: tuple[float, ...]
+    posterior: dict[tuple[int, ...], float]
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500) -> Fitted:
+    """Expectation-maximisation over pattern counts.
+
+    A rule's vote is right with a probability of its own, its accuracy, whichever class the text is in; abstentions say
+    nothing, and votes are taken as independent given the class. Accuracies and the share of
+    good texts are estimated (with a pseudo-count of ``PSEUDO`` votes, two thirds of them right,
+    and of one text of either class); nothing bounds them, so a rule that the others contradict gets
+    little or negative weight. Starts from the majority of the votes.
     """
-    post = {v: 0.1 if -1 in v else 0.9 for v, _ in patterns}
+    posterior = {v: 0.9 if sum(v) > 0 else 0.1 if sum(v) < 0 else 0.5 for v, _ in patterns}
     rules = range(len(patterns[0][0])) if patterns else range(0)
     total = sum(n for _, n in patterns)
+    prior, accuracy = 0.5, tuple(2 / 3 for _ in rules)
     for _ in range(rounds):
-        prior = (sum(n * post[v] for v, n in patterns) + 1) / (total + 2)
-        weight = []
-        for j in rules:
-            bad, cast = {1: 0.0, -1: 0.0}, {1: 0.0, -1: 0.0}
-            for v, n in patterns:
-                for c, share in ((1, post[v]), (-1, 1 - post[v])):
-                    cast[c] += n * share * (v[j] != 0)
-                    bad[c] += n * share * (v[j] == -1)
-            on_good = min(false_alarm, (bad[1] + 0.01) / (cast[1] + 1))
-            on_bad = min(catch[1], max(catch[0], (bad[-1] + 0.5) / (cast[-1] + 1)))
-            weight.append({-1: math.log(on_good / on_bad), 1: math.log((1 - on_good) / (1 - on_bad)), 0: 0.0})
+        prior = (sum(n * posterior[v] for v, n in patterns) + 1) / (total + 2)
+        accuracy = tuple(
+            (sum(n * (posterior[v] if v[j] > 0 else 1 - posterior[v]) for v, n in patterns if v[j]) + PSEUDO * 2 / 3)
+            / (sum(n for v, n in patterns if v[j]) + PSEUDO)
+            for j in rules
+        )
+        weight = [math.log(a / (1 - a)) for a in accuracy]
         new = {}
         for v, _ in patterns:
-            x = math.log(prior / (1 - prior)) + sum(weight[j][v[j]] for j in rules)
+            x = math.log(prior / (1 - prior)) + sum(w * c for w, c in zip(weight, v, strict=True))
             new[v] = 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
-        moved = max((abs(new[v] - post[v]) for v in new), default=0.0)
-        post = new
+        moved = max((abs(new[v] - posterior[v]) for v in new), default=0.0)
+        posterior = new
         if moved < 1e-9:
             break
-    return post
+    return Fitted(prior, accuracy, posterior)
 
 
 def quality_verdicts(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Features, votes, ``quality_prob``, ``base_failed`` and ``kept`` of every row of ``docs``.
 
     Rows are matched to nothing but their own votes, so ids may repeat. The features are
-    written once; only pattern counts (at most ``3 ** rules`` rows) reach the driver.
+    written once; only pattern counts (at most ``2 ** 5 * 3 ** 5`` rows) reach the driver.
     """
     names = [f"vote_{r}" for r in RULES]
     rated = stage(votes(text_features(docs, text)))
     counted = rated.groupBy(*names).count().collect()
-    post = fit([(tuple(r[c] for c in names), r["count"]) for r in counted])
-    rows = [(*v, p) for v, p in sorted(post.items())]
+    fitted = fit([(tuple(r[c] for c in names), r["count"]) for r in counted])
+    rows = [(*v, p) for v, p in sorted(fitted.posterior.items())]
     spark = docs.sparkSession
     table = spark.createDataFrame(rows, ", ".join(f"{c} INT" for c in names) + ", quality_prob DOUBLE")
     out = rated.join(F.broadcast(table), names, "left")

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import decontaminate, hmm, line_dedup, near_dedup, ns_clusters, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity, warc_zip
+from alphaloom.llm import collocations, decontaminate, hmm, line_dedup, near_dedup, ns_clusters, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity, warc_zip
 from alphaloom.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,6 +191,32 @@ def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best-scored phrases of two and three words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+ORACLE["op13_collocations"] = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(x, '[ 	]+'), lambda w: w <> '') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-]')) AS x FROM t)),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM p
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p) GROUP BY ALL),
+c AS (SELECT lang, phrase, k, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= {collocations.LEAST}),
+x AS (SELECT lang, phrase, k, a, 1 AS cut, w[1] AS lp, array_to_string(w[2:], ' ') AS rp FROM c
+  UNION ALL SELECT lang, phrase, k, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE k = 3),
+s AS (SELECT x.lang, x.phrase, x.k, a, min(struct_pack(s := CAST((1000000::HUGEINT * a * a) // (fl.n::HUGEINT * fr.n) AS BIGINT), cut := cut, l := fl.n, r := fr.n)) AS m
+  FROM x JOIN f AS fl ON fl.lang = x.lang AND fl.phrase = lp JOIN f AS fr ON fr.lang = x.lang AND fr.phrase = rp GROUP BY ALL),
+g AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, w[1] || ' ' || w[2] AS phrase FROM c WHERE k = 3 UNION ALL SELECT lang, a, w[2] || ' ' || w[3] FROM c WHERE k = 3) GROUP BY 1, 2),
+o AS (SELECT s.lang, s.phrase, a, m.l AS l, m.r AS r, m.s AS score, row_number() OVER (PARTITION BY s.lang ORDER BY m.s DESC, a DESC, s.phrase) AS rank
+  FROM s LEFT JOIN g ON g.lang = s.lang AND g.phrase = s.phrase AND s.k = 2 WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= {collocations.TOP}),
+n AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1)
+SELECT o.lang, rank, phrase, a, l, r, n.n AS n, score FROM o JOIN n USING (lang)"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of the corpus pipeline."""

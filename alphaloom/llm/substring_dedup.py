@@ -165,7 +165,6 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Segments with an anchor that other documents have too, with their words."""
     for b in batches:
-        b = b[b["shared"].notna()]
         raw = [t.encode() for t in b["_t"]]
         ids = b["_id"].to_numpy()
         shared, busy = b["shared"].tolist(), b["busy"].tolist()
@@ -223,7 +222,8 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = rows["last"].to_numpy()
         useful = np.minimum.reduceat(owners, start) < last
         out = rows.loc[useful, ["route", "key"]].copy()
-        out["least"] = [owners[a : b - SPAN + 1] for a, b in zip(start[useful].tolist(), end[useful].tolist(), strict=True)]
+        found = [owners[a : b - SPAN + 1] for a, b in zip(start[useful].tolist(), end[useful].tolist(), strict=True)]
+        out["least"] = pd.Series(found, out.index, object)  # also where no segment repeats a window
         return out
 
     rest, words = [], 0
@@ -250,13 +250,13 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Shared anchors and indexed windows are staged, so that the shuffles of one step are gone
     before the next one begins.
     """
-    own = _bare(docs, doc_id, text)
-    anchors = own.filter("_id IS NOT NULL").mapInPandas(_anchors, "anchor BIGINT, _id BIGINT")
+    own = _bare(docs, doc_id, text).filter("_id IS NOT NULL")
+    anchors = own.mapInPandas(_anchors, "anchor BIGINT, _id BIGINT")
     seen = anchors.groupBy("anchor").agg(F.min("_id").alias("a"), F.max("_id").alias("b"), F.count(F.lit(1)).alias("n"))
     seen = seen.filter("a < b").select("anchor", (F.col("n") > BUSY_ANCHOR).alias("busy"))
     flags = anchors.join(seen, "anchor").groupBy("_id").agg(F.collect_list("anchor").alias("shared"), F.expr("collect_list(anchor) FILTER (WHERE busy)").alias("busy"))
     flags = settle(flags)
-    cut = own.join(flags, "_id", "left").mapInPandas(_segments, "route BIGINT, key BIGINT, _id BIGINT, start INT, words BINARY")
+    cut = own.join(flags, "_id").mapInPandas(_segments, "route BIGINT, key BIGINT, _id BIGINT, start INT, words BINARY")
     distinct = cut.groupBy("route", "key").agg(F.min("_id").alias("least"), F.max("_id").alias("last"), F.min("words").alias("words"))
     owners = settle(distinct.repartition("route").sortWithinPartitions("route").mapInPandas(_search, "route BIGINT, key BIGINT, least ARRAY<BIGINT>"))
     hits = cut.select("route", "key", "_id", "start").join(owners, ["route", "key"])
@@ -292,6 +292,7 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and the ``kept`` words of every document, joined by one space."""
     own = _bare(docs, doc_id, text)
-    out = own.join(repeated_windows(docs, doc_id, text), "_id", "left")
-    return out.mapInPandas(_removed, "_id BIGINT, n_words BIGINT, n_removed BIGINT, kept STRING").withColumnRenamed("_id", doc_id)
+    out = own.join(repeated_windows(docs, doc_id, text), "_id", "left").withColumn("_id", F.col("_id").cast("string"))  # a null would turn the longs of a batch into doubles
+    out = out.mapInPandas(_removed, "_id STRING, n_words BIGINT, n_removed BIGINT, kept STRING")
+    return out.select(F.col("_id").cast("long").alias(doc_id), "n_words", "n_removed", "kept")
 

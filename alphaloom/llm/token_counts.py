@@ -34,6 +34,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
                 n += [int(s) + len(i) for s, i in zip(sums, between, strict=True)]
             yield pd.DataFrame({"_id": b["_id"], "n_bytes": b["n_bytes"], "n_tokens": n})
 
-    flat = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("n_bytes", F.octet_length("_t").cast("long"))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return flat.mapInPandas(count, f"_id {kind}, n_bytes BIGINT, n_tokens BIGINT").withColumnRenamed("_id", doc_id)
+    flat = docs.select(F.col(doc_id).cast("string").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("n_bytes", F.octet_length("_t").cast("long"))
+    # ids pass through as text: a null would turn the longs of a batch into doubles
+    out = flat.mapInPandas(count, "_id STRING, n_bytes BIGINT, n_tokens BIGINT")
+    return out.select(F.col("_id").cast(docs.schema[doc_id].dataType).alias(doc_id), "n_bytes", "n_tokens")

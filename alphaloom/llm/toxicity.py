@@ -222,9 +222,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model | float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``score`` of every row."""
-    own = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    kind = docs.schema[doc_id].dataType
     if isinstance(model, float):
-        return own.select(doc_id, F.lit(model).alias("score"))
+        return docs.select(doc_id, F.lit(model).alias("score"))
+    own = docs.select(F.col(doc_id).cast("string").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))  # a null would turn the longs of a batch into doubles
     sent = docs.sparkSession.sparkContext.broadcast((model.row_logits, model.bias))  # BUCKETS x 2 numbers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,6 +233,6 @@ def score(docs: DataFrame, model: Model | float, doc_id: str = "doc_id", text: s
         for b in batches:
             texts = b["_t"].tolist()
             scores = [m.score(texts[x:y]) for x, y in blocks([len(t) for t in texts])]
-            yield pd.DataFrame({doc_id: b[doc_id], "score": np.concatenate(scores) if scores else []})
+            yield pd.DataFrame({"_id": b["_id"], "score": np.concatenate(scores) if scores else []})
 
-    return own.mapInPandas(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, score DOUBLE")
+    return own.mapInPandas(run, "_id STRING, score DOUBLE").select(F.col("_id").cast(kind).alias(doc_id), "score")

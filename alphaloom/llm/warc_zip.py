@@ -12,7 +12,8 @@ Ranges are read through Arrow's file systems (local paths, object stores, HDFS).
 
 Edge cases: a null payload is empty; a null url is left out of the record; line breaks in urls
 are escaped; a record larger than the package size gets a package of its own; an empty table
-gives no packages and no rows. Ids have to be unique for ``refers_to`` to be exact.
+gives no packages and no rows. Ids are whole numbers of up to 64 bits and have to be unique for
+``refers_to`` to be exact; a page without id gets a record without one and is referred to by none.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from alphaloom.session import scratch_path
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 16 * 2**20
 RANGE_BYTES = 4 * 2**20
+TASK_PACKAGES, TASK_BYTES = 64, 64 * 2**20
 COMMENT = b"\n"
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
 _FULL, _FULL16 = 0xFFFFFFFF, 0xFFFF
@@ -48,11 +50,11 @@ def payload_digest(payload: bytes) -> str:
 # ---- records
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """A response record, or a revisit that repeats the HTTP head of the payload it stands for."""
+def record(page_id: int | str | None, url: str | None, payload: bytes, refers_to: int | str | None) -> bytes:
+    """A response record, or a revisit that repeats the HTTP head of the payload it stands for; a page without id has an empty one."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {CREATED}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
     ]
     if url is not None:
@@ -184,8 +186,8 @@ def write_packages(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         for b in batches:
             for i, u, p, r in zip(b["_id"], b["url"], b["payload"], b["refers_to"], strict=True):
                 data = zlib.compressobj(1, zlib.DEFLATED, 31)
-                member = data.compress(record(i, u, p, None if pd.isna(r) else int(r))) + data.flush()
-                lines.append(f"{i} {json.dumps({'offset': size, 'length': len(member)})}\n")
+                member = data.compress(record(i, u, p, r)) + data.flush()
+                lines.append(f"{i or '-'} {json.dumps({'offset': size, 'length': len(member)})}\n")
                 parts.append(member)
                 size += len(member)
                 if size >= package_bytes:
@@ -195,7 +197,9 @@ def write_packages(pages: DataFrame, path: str, page_id: str = "page_id", url: s
             yield close()
 
     rows = pages.select(F.col(page_id).cast("long").alias("_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
-    files = dedup_roles(rows, min_bytes).mapInPandas(build, "file BINARY").select(F.col("file").cast("string").alias("value"))
+    # ids pass through as text: a null would turn the longs of a batch into doubles
+    rows = dedup_roles(rows, min_bytes).withColumns({c: F.col(c).cast("string") for c in ("_id", "refers_to")})
+    files = rows.mapInPandas(build, "file BINARY").select(F.col("file").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).option("compression", "none").option("lineSep", COMMENT.decode()).text(path)
 
 
@@ -241,22 +245,25 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 fields, http, payload = parse_record(zlib.decompress(data[x : x + n], 31))
                 x += n
                 names = dict(k.lower().split(": ", 1) for k in http.decode().split("\r\n")[1:])
-                page, digest, kind = int(fields["warc-record-id"][10:-1]), fields["warc-payload-digest"][5:], fields["warc-type"]
+                page, digest, kind = fields["warc-record-id"][10:-1] or None, fields["warc-payload-digest"][5:], fields["warc-type"]
                 whole = kind == "revisit" or payload_digest(payload) == digest
                 if not whole:
                     raise ValueError(f"payload of page {page} does not match its digest")
-                refers = int(fields["warc-refers-to"][10:-1]) if "warc-refers-to" in fields else None
+                refers = fields["warc-refers-to"][10:-1] if "warc-refers-to" in fields else None
                 rows.append((page, fields.get("warc-target-uri"), int(names["content-length"]), digest, kind, refers, payload if kind == "response" else None))
-            out = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-            yield out.astype({"refers_to": "Int64"})
+            yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the packages under ``path``; payloads of revisits are null. Payloads are checked against their digests."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
-    ranges = files.repartition("path").mapInPandas(_ranges, "path STRING, at BIGINT, sizes ARRAY<BIGINT>")
-    schema = "page_id BIGINT, url STRING, payload_bytes BIGINT, payload_digest STRING, record_type STRING, refers_to BIGINT, payload BINARY"
-    return ranges.repartition("path", "at").mapInPandas(_read, schema)
+    total = files.agg(F.sum("length"), F.count(F.lit(1))).first()
+    # stated numbers of tasks: a few index rows would be merged to one, which would then read every range
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = files.repartition(max(least, total[1] // TASK_PACKAGES), "path").mapInPandas(_ranges, "path STRING, at BIGINT, sizes ARRAY<BIGINT>")
+    schema = "page_id STRING, url STRING, payload_bytes BIGINT, payload_digest STRING, record_type STRING, refers_to STRING, payload BINARY"
+    out = ranges.repartition(max(least, (total[0] or 0) // TASK_BYTES), "path", "at").mapInPandas(_read, schema)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
