@@ -1,8 +1,8 @@
 """Weak supervision of document quality: rules vote or abstain, EM weighs the votes.
 
 Every rule votes 1 (good), -1 (bad) or 0 (abstains) on a whole text. The number of vote
-patterns is at most ``2 ** 5 * 3 ** 5`` (five rules never vote good), so after one aggregation of
-the corpus to pattern counts expectation-maximisation runs on those counts alone: it estimates
+patterns is at most ``2 ** rules`` (each rule knows one side), so after one aggregation of the
+corpus to pattern counts expectation-maximisation runs on those counts alone: it estimates
 the accuracy of each rule's votes and gives each pattern its posterior probability of being
 good. One bad vote does not reject a text, nor does the lack of one keep it: what counts is how
 often the rules that voted are borne out by the others. Texts that break a hard limit are rejected whatever the posterior says.
@@ -25,19 +25,23 @@ from alphaloom.operators.staging import stage
 SPACE = r"[\\x20\\x09-\\x0D]"
 WINDOW = 8
 
-#: name -> (bad when, good when); conditions over ``text_features``, abstains in between. Rules that
-#: look for one kind of damage say nothing about texts without it; the others know both sides.
+#: name -> (bad when, good when); conditions over ``text_features``. A rule abstains where it has no say: those that
+#: look for one kind of damage say nothing about texts without it, and the two that know good text need all its marks.
 RULES = {
     "symbols": ("n_symbols * 10 > n_words", "false"),
-    "repetition": ("n_repeat_words * 10 > n_words * 3 OR n_dup_lines * 2 > n_lines", "false"),
+    "odd_words": ("n_plain * 10 < n_words * 7", "false"),
+    "repetition": ("n_repeat_words * 100 > n_words * 15 OR n_dup_lines * 2 > n_lines", "false"),
+    "monotony": ("n_distinct * 10 < n_words", "false"),
     "shouting": ("n_upper * 2 > word_chars", "false"),
     "exclaiming": ("n_exclaim * 4 > n_words", "false"),
+    "no_sentences": ("n_words >= 20 AND (n_ends * 2 > n_words OR n_ends * 100 < n_words)", "false"),
     "garbled": ("n_garbled * 100 > word_chars", "false"),
-    "word_length": ("word_chars < 2 * n_words OR word_chars > 20 * n_words", "word_chars BETWEEN 3 * n_words AND 12 * n_words"),
-    "plain_words": ("n_plain * 10 < n_words * 7", "n_plain * 10 >= n_words * 9"),
-    "variety": ("n_distinct * 20 < n_words", "n_distinct * 3 > n_words"),
-    "sentences": ("n_ends * 2 > n_words OR n_ends * 100 < n_words", "n_ends * 4 < n_words AND n_ends * 50 > n_words"),
-    "casing": ("n_capital * 10 > n_words * 7", "n_capital * 10 < n_words * 4 AND n_capital * 100 > n_words"),
+    "word_length": ("word_chars < 2 * n_words OR word_chars > 20 * n_words", "false"),
+    "prose": ("false", "n_plain * 20 >= n_words * 17 AND n_ends BETWEEN n_words / 50 AND n_words / 4 AND n_capital > 0 AND n_upper * 5 <= word_chars"),
+    "vocabulary": (
+        "false",
+        "n_plain * 20 >= n_words * 17 AND n_distinct * 4 > n_words AND n_repeat_words * 20 <= n_words AND n_dup_lines * 10 <= n_lines AND word_chars BETWEEN 3 * n_words AND 12 * n_words",
+    ),
 }
 PSEUDO = 3.0
 
@@ -147,7 +151,7 @@ def quality_verdicts(docs: DataFrame, text: str = "text", threshold: float = 0.5
     """Features, votes, ``quality_prob``, ``base_failed`` and ``kept`` of every row of ``docs``.
 
     Rows are matched to nothing but their own votes, so ids may repeat. The features are
-    written once; only pattern counts (at most ``2 ** 5 * 3 ** 5`` rows) reach the driver.
+    written once; only pattern counts (at most ``2 ** rules`` rows) reach the driver.
     """
     names = [f"vote_{r}" for r in RULES]
     rated = stage(votes(text_features(docs, text)))

@@ -13,7 +13,7 @@ Ranges are read through Arrow's file systems (local paths, object stores, HDFS).
 Edge cases: a null payload is empty; a null url is left out of the record; line breaks in urls
 are escaped; a record larger than the package size gets a package of its own; an empty table
 gives no packages and no rows. Ids are whole numbers of up to 64 bits and have to be unique for
-``refers_to`` to be exact; a page without id gets a record without one and is referred to by none.
+``refers_to`` to be exact; a page without id gets a record without one, which no other refers to.
 """
 
 from __future__ import annotations
@@ -168,7 +168,7 @@ def dedup_roles(pages: DataFrame, min_bytes: int) -> DataFrame:
     firsts = marked.filter(F.octet_length("payload") >= min_bytes).groupBy("_sha").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = firsts.filter("n > 1").drop("n")  # only digests that repeat
     out = marked.join(firsts, "_sha", "left")
-    return out.select("_id", "url", "payload", F.expr("CASE WHEN first != _id THEN first END").alias("refers_to"))
+    return out.select("_id", "url", "payload", F.expr("CASE WHEN NOT (first <=> _id) THEN first END").alias("refers_to"))
 
 
 def write_packages(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, package_bytes: int = PACKAGE_BYTES) -> None:

@@ -48,12 +48,13 @@ def edge_dir(spark, small, tmp_path_factory):
     more = pd.DataFrame({"doc_id": [10_000, 10_018, 10_005], "quality": [None, 1, 0], "toxic": [None, 1, 0]})
     both = pd.concat([labels, more], ignore_index=True).astype(object)
     spark_documents(spark, both.where(both.notna(), None)).write.parquet(f"{d}/labels.parquet")
+    spark.read.parquet(f"{small}/embeddings.parquet").write.parquet(f"{d}/embeddings.parquet")
     return str(d)
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, edge_dir, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{edge_dir}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return str(d)

@@ -188,10 +188,52 @@ def test_op6_follows_the_labels(spark, small):
 
 
 def test_op6_rules_for_different_faults_do_not_vote_each_other_down():
-    good, a, b = (1, 1, 1), (-1, 1, 1), (1, -1, 1)
-    post = quality_rules.fit([(good, 8000), (a, 700), (b, 300), ((0, 0, 0), 5)])
+    good, a, b = (0, 0, 1), (-1, 0, 0), (0, -1, 0)  # rules that look for one fault abstain on the others
+    post = quality_rules.fit([(good, 8000), (a, 700), (b, 300), ((0, 0, 0), 5)]).posterior
     assert post[good] > 0.8 and post[a] < 0.5 and post[b] < 0.5
-    assert quality_rules.fit([]) == {}
+    assert quality_rules.fit([]).posterior == {}
+
+
+def test_op6_accuracies_decide_not_the_presence_of_a_bad_vote():
+    """A rule that the others contradict is overruled, and its good votes do not save a text either."""
+    rng = np.random.default_rng(7)
+    seen = Counter()
+    for _ in range(30_000):
+        y = 1 if rng.random() < 0.6 else -1
+        vote = lambda right, cast: (y if rng.random() < right else -y) if rng.random() < cast else 0
+        seen[(vote(0.95, 0.9), vote(0.9, 0.8), vote(0.85, 0.9), vote(0.3, 0.7))] += 1
+    got = quality_rules.fit(list(seen.items()))
+    assert np.allclose(got.accuracy, (0.95, 0.9, 0.85, 0.3), atol=0.03) and abs(got.prior - 0.6) < 0.03
+    assert got.posterior[(1, 1, 1, -1)] > 0.9 and got.posterior[(0, 0, 1, -1)] > 0.5  # a bad vote, kept
+    assert got.posterior[(0, 0, 0, 1)] < got.prior and got.posterior[(-1, 0, 0, 1)] < 0.5
+
+
+def test_op6_fit_is_plain_expectation_maximisation():
+    """The same numbers as EM over single texts, written out with arrays."""
+    rng = np.random.default_rng(3)
+    patterns = [tuple(int(x) for x in v) for v in {tuple(rng.integers(-1, 2, 4)) for _ in range(30)}]
+    counts = rng.integers(1, 60, len(patterns))
+    votes = np.repeat(np.array(patterns), counts, axis=0)
+    good = np.select([votes.sum(1) > 0, votes.sum(1) < 0], [0.9, 0.1], 0.5)
+    for _ in range(400):
+        prior = (good.sum() + 1) / (len(votes) + 2)
+        right = np.where(votes > 0, good[:, None], 1 - good[:, None]) * (votes != 0)
+        acc = (right.sum(0) + 2) / ((votes != 0).sum(0) + 3)
+        on_good = prior * np.where(votes > 0, acc, np.where(votes < 0, 1 - acc, 1)).prod(1)
+        on_bad = (1 - prior) * np.where(votes < 0, acc, np.where(votes > 0, 1 - acc, 1)).prod(1)
+        good = on_good / (on_good + on_bad)
+    got = quality_rules.fit([(v, int(n)) for v, n in zip(patterns, counts)])
+    assert np.allclose(np.repeat([got.posterior[v] for v in patterns], counts), good, atol=1e-6)
+
+
+def test_op6_keeps_what_the_posterior_keeps(spark, edge_dir):
+    """``kept`` is the verdict of the fitted pattern of a row's votes, and no count of bad votes."""
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet").select("doc_id", "text")
+    got = quality_rules.quality_verdicts(docs).toPandas()
+    votes = [tuple(int(v) for v in r) for r in got[[f"vote_{r}" for r in quality_rules.RULES]].to_numpy()]
+    post = quality_rules.fit(list(Counter(votes).items())).posterior
+    assert np.allclose(got.quality_prob, [post[v] for v in votes])
+    assert (got.kept == (~got.base_failed & (got.quality_prob >= 0.5))).all()
 
 
 def test_op7(spark, edge_dir, ids):
