@@ -11,21 +11,13 @@ from pyspark.sql import functions as F
 
 from alphaloom.operators.calendar import as_of_calendar, shift_dates
 from alphaloom.operators.cross_section import min_max_unit, zscore
+from alphaloom.operators.learners import EPS, Learner, LeastSquares, Model, Target
 from alphaloom.operators.order_stats import OrderStat, grouped_order_stats
+from alphaloom.operators.split import split_windows
 from alphaloom.operators.staging import stage
-from alphaloom.operators.training import (
-    LABEL,
-    TrainingPlan,
-    features_or_zero,
-    fit_rows,
-    linear,
-    rolling_plan,
-    target_rows,
-    training_rows,
-)
+from alphaloom.operators.training import LABEL, TrainingPlan, rolling_plan, target_rows
 from alphaloom.schemas import require_columns
 
-EPS = 1e-6
 ANNUAL_20D = (252.0 / 20.0) ** 0.5
 
 
@@ -64,8 +56,7 @@ def calibration_split(rows: DataFrame, key: Column, ratio: float = 0.3, windows:
     cut = grouped_order_stats(
         keyed, windows, {"_cut": OrderStat(F.col("_key"), ratio, lambda n: F.ceil(n * F.lit(ratio)))}
     ).select(*windows, "_cut")
-    cut = stage(cut)
-    return keyed.join(F.broadcast(cut), list(windows)).withColumn("is_calibration", F.col("_key") <= F.col("_cut")).drop("_key", "_cut")
+    return keyed.join(stage(cut), list(windows)).withColumn("is_calibration", F.col("_key") <= F.col("_cut")).drop("_key", "_cut")
 
 
 def conformal_quantiles(
@@ -85,34 +76,41 @@ def group_quantiles(scores: DataFrame, score: str, group: str, alphas: Sequence[
 
 @dataclass(frozen=True)
 class Calibrated:
-    """Intermediate tables of one calibration: fitted windows, residual windows, scored calibration rows."""
+    """Fitted models of one calibration and its scored calibration rows (``score``)."""
 
-    coef: DataFrame
-    sigma: DataFrame | None
+    base: Model
+    sigma: Model | None
     scores: DataFrame
 
 
-def calibrate(panel: DataFrame, plan: TrainingPlan, features: Sequence[str], label: str, split_key: Column, ratio: float, min_train_rows: int, locally_adaptive: bool) -> Calibrated:
-    """Fit on the proper part of each window and score its calibration part."""
-    x = features_or_zero(features)
-    per_date = panel.where(F.col(label).isNotNull()).groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
-    enough = plan.windows.join(F.broadcast(per_date), "trade_date").groupBy("window_id").agg(F.sum("n").alias("n"))
-    enough = enough.where(F.col("n") >= max(4, min_train_rows)).select("window_id")
-    enough = stage(enough)
-    usable = TrainingPlan(plan.windows.join(F.broadcast(enough), "window_id"), plan.targets, plan.bounds)
-    rows = calibration_split(training_rows(panel, usable, label), split_key, ratio)
-    proper = rows.where("NOT is_calibration")
-    coef = stage(fit_rows(proper, x, F.col(label)))
-    calib = rows.where("is_calibration").join(F.broadcast(coef), "window_id")
-    residual = F.abs(F.col(label) - linear(x))
-    sigma = None
-    if locally_adaptive:
-        log_res = F.log(residual + F.lit(EPS))
-        sigma = stage(fit_rows(proper.join(F.broadcast(coef), "window_id"), x, log_res).select("window_id", F.col("coef").alias("sigma_coef")))
-        calib = calib.join(F.broadcast(sigma), "window_id").withColumn("score", residual / (F.exp(linear(x, "sigma_coef")) + EPS))
-    else:
-        calib = calib.withColumn("score", residual)
-    return Calibrated(coef, sigma, calib)
+def calibrate(
+    panel: DataFrame,
+    plan: TrainingPlan,
+    features: Sequence[str],
+    label: str,
+    split_key: Column,
+    ratio: float,
+    min_train_rows: int,
+    locally_adaptive: bool,
+    base: Learner | None = None,
+    sigma: Learner | None = None,
+    keep: Sequence[str] = ("industry_name",),
+) -> Calibrated:
+    """Fit ``base`` (and ``sigma`` on its log residuals) on the proper part of each window and score its calibration part.
+
+    Both default to least squares. Only calibration rows are laid out once per window; they
+    are staged with the columns ``keep``.
+    """
+    windows = split_windows(panel, plan.windows, label, split_key, ratio, max(4, min_train_rows))
+    fitted = (base or LeastSquares()).fit(windows, features, Target(label))
+    spread = (sigma or LeastSquares()).fit(windows, features, Target(label, fitted)) if locally_adaptive else None
+    rows = fitted.predict(windows.calibration(), "_fitted")
+    residual = F.abs(F.col(label) - F.col("_fitted"))
+    if spread is not None:
+        rows = spread.predict(rows, "_log_sigma")
+        residual = residual / (F.exp("_log_sigma") + EPS)
+    columns = ["window_id", "trade_date", "ts_code", *[c for c in keep if c in panel.columns]]
+    return Calibrated(fitted, spread, stage(rows.select(*columns, residual.alias("score"))))
 
 
 def conformal_predictions(
@@ -129,41 +127,44 @@ def conformal_predictions(
     split_key: Column | None = None,
     plan: TrainingPlan | None = None,
     textbook: bool = False,
+    base: Learner | None = None,
+    sigma: Learner | None = None,
 ) -> ConformalResult:
-    """Calibrated intervals and confidence for every scored date.
+    """Calibrated intervals and confidence for every scored date, with any learners (:mod:`alphaloom.operators.learners`).
 
     All windows and all alphas run in one plan. With ``group`` the quantile is the group's own
     where it has at least five calibration rows, else the window's.
     """
     require_columns(panel, ["trade_date", "ts_code", label, *features, *([group] if group else [])], "panel")
-    x = features_or_zero(features)
     plan = plan or rolling_plan(panel, train_months, embargo)
-    fitted = calibrate(panel, plan, features, label, split_key if split_key is not None else default_split_key(), ratio, min_train_rows, locally_adaptive)
+    fitted = calibrate(
+        panel, plan, features, label, split_key if split_key is not None else default_split_key(), ratio, min_train_rows, locally_adaptive, base, sigma, [group] if group else []
+    )
     span = range(len(alphas))
     q = conformal_quantiles(fitted.scores, "score", alphas, textbook=textbook)
-    rows = target_rows(panel, plan).join(F.broadcast(fitted.coef), "window_id").join(F.broadcast(q), "window_id")
+    rows = fitted.base.predict(target_rows(panel, plan), "ml_score").join(q, "window_id")
     n_groups = F.lit(None).cast("long")
-    diag = q.join(F.broadcast(fitted.coef), "window_id")
+    diag = q
     if group is not None:
         own = group_quantiles(fitted.scores, "score", group, alphas)
         own_named = own.select("window_id", group, *[F.col(f"q{i}").alias(f"_own{i}") for i in span])
         rows = rows.join(own_named, ["window_id", group], "left")
         rows = rows.withColumns({f"q{i}": F.coalesce(f"_own{i}", f"q{i}") for i in span})
         groups = fitted.scores.where(F.col(group).isNotNull()).groupBy("window_id").agg(F.countDistinct(group).alias("n_groups"))
-        diag = diag.join(F.broadcast(groups), "window_id", "left")
+        diag = diag.join(groups, "window_id", "left")
         n_groups = F.col("n_groups")
-    sigma = F.lit(1.0)
+    spread = F.lit(1.0)
     if fitted.sigma is not None:
-        rows = rows.join(F.broadcast(fitted.sigma), "window_id")
-        sigma = F.exp(linear(x, "sigma_coef")) + EPS
+        rows = fitted.sigma.predict(rows, "_log_sigma")
+        spread = F.exp("_log_sigma") + EPS
     levels = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"q{i}").alias("_q")) for i, a in enumerate(alphas)])
-    rows = rows.select("trade_date", "ts_code", label, linear(x).alias("ml_score"), sigma.alias("_sigma"), F.inline(levels))
+    rows = rows.select("trade_date", "ts_code", label, "ml_score", spread.alias("_sigma"), F.inline(levels))
     half = F.col("_q") * F.col("_sigma")
     rows = rows.withColumns({"ci_lower": F.col("ml_score") - half, "ci_upper": F.col("ml_score") + half, "ci_half_width": half})
     rows = confidence(rows, ["alpha", "trade_date"] if len(alphas) > 1 else ["trade_date"])
     many = ["alpha"] if len(alphas) > 1 else []
     predictions = rows.select(*many, "trade_date", "ts_code", label, "ml_score", "ci_lower", "ci_upper", "ci_half_width", "confidence")
-    diagnostics = plan.targets.join(F.broadcast(diag), "window_id").select(
+    diagnostics = plan.targets.join(diag, "window_id").select(
         "trade_date",
         F.inline(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"q{i}").alias("quantile")) for i, a in enumerate(alphas)])),
         "n_calib",
@@ -171,8 +172,7 @@ def conformal_predictions(
         F.lit(locally_adaptive).alias("locally_adaptive"),
         F.lit(group is not None).alias("mondrian"),
     )
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.col("coef")[i + 1]).alias("importance")) for i, f in enumerate(features)])
-    importance = plan.targets.join(F.broadcast(fitted.coef), "window_id").select("trade_date", F.inline(pairs))
+    importance = plan.targets.join(fitted.base.importance(), "window_id").select("trade_date", "feature", "importance")
     return ConformalResult(predictions, diagnostics, importance)
 
 
@@ -275,9 +275,14 @@ def trust_gate(pred: DataFrame, calendar: DataFrame, dates: DataFrame, label: st
 
 
 def realised_correlation(pred: DataFrame, calendar: DataFrame, dates: DataFrame, label: str = LABEL, horizon: int = 20, min_realised: int = 200) -> DataFrame:
-    """Expanding correlation of confidence and label over realised rows, as of each date; 0 when unusable."""
+    """Expanding correlation of confidence and label over realised rows, as of each date; 0 when unusable.
+
+    Days are added up from centred moments about a fixed point near the data (the means of all rows), so that a
+    large mean takes no digits from the spread.
+    """
     known = realised(pred, calendar, horizon).where(F.col("realized_date").isNotNull() & F.col(label).isNotNull() & F.col("confidence").isNotNull())
-    x, y = F.col("confidence"), F.col(label)
+    centre = known.agg(F.avg("confidence"), F.avg(label)).first()
+    x, y = F.col("confidence") - F.lit(centre[0] or 0.0), F.col(label) - F.lit(centre[1] or 0.0)
     sums = {"n": F.count(F.lit(1)), "sx": F.sum(x), "sy": F.sum(y), "sxy": F.sum(x * y), "sxx": F.sum(x * x), "syy": F.sum(y * y)}
     hist = _history(known, sums, dates.select("trade_date"))
     n = F.col("n").cast("double")

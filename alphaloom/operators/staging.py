@@ -7,7 +7,7 @@ optimizer its true size, so that small ones are broadcast and large ones are not
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from alphaloom.session import scratch_path
 
@@ -27,3 +27,10 @@ def discard(table: DataFrame) -> None:
     context = table.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(table.staged_path)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has been completed."""
+    context = spark.sparkContext
+    done = context._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(context._jsc.hadoopConfiguration()).exists(done)

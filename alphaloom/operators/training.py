@@ -10,13 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.operators.calendar import expand_index_ranges, period_ends, trading_calendar
-from alphaloom.operators.staging import stage
+from alphaloom.operators.learners import Boosted, LinearModel, assembled, features_or_zero, several
+from alphaloom.operators.moments import least_squares, moments, solved, window_moments
+from alphaloom.operators.staging import stage, written
+from alphaloom.session import scratch_path
 
 LABEL = "label_excess_return_20d"
 
@@ -88,131 +90,67 @@ def target_rows(panel: DataFrame, plan: TrainingPlan) -> DataFrame:
     return panel.join(F.broadcast(plan.targets), "trade_date")
 
 
-# --- ordinary least squares from additive sums -------------------------------------------
-
-
-def _moments(features: Sequence[Column], y: Column) -> list[Column]:
-    z = [F.lit(1.0), *features]
-    sums = [F.sum(z[i] * z[j]).alias(f"_g{i}_{j}") for i in range(len(z)) for j in range(i, len(z))]
-    return sums + [F.sum(z[i] * y).alias(f"_y{i}") for i in range(len(z))]
-
-
-def _moment_names(p: int) -> list[str]:
-    return [f"_g{i}_{j}" for i in range(p + 1) for j in range(i, p + 1)] + [f"_y{i}" for i in range(p + 1)]
-
-
-def _solve(p: int):
-    import numpy as np
-
-    @F.pandas_udf("array<double>")
-    def solve(sums: pd.Series) -> pd.Series:
-        def one(v):
-            g = np.zeros((p + 1, p + 1))
-            g[np.triu_indices(p + 1)] = v[: -(p + 1)]
-            g = g + g.T - np.diag(np.diag(g))
-            return np.linalg.lstsq(g, np.asarray(v[-(p + 1) :]), rcond=None)[0].tolist()
-
-        return sums.map(one)
-
-    return solve
-
-
-def coefficients(moments: DataFrame, p: int, keys: Sequence[str]) -> DataFrame:
-    """``keys``, n_train, coef (intercept first) from summed moments: one small row per window."""
-    n, sx, sxx, sy, sxy = (F.col(c) for c in ("_g0_0", "_g0_1", "_g1_1", "_y0", "_y1")) if p == 1 else (F.col("_g0_0"), *[None] * 4)
-    if p == 1:
-        slope = F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
-        coef = F.array((sy - F.coalesce(slope, F.lit(0.0)) * sx) / n, F.coalesce(slope, F.lit(0.0)))
-    else:
-        coef = _solve(p)(F.array(*_moment_names(p)))
-    return moments.select(*keys, F.col("_g0_0").cast("long").alias("n_train"), coef.alias("coef"))
+# --- estimators ---------------------------------------------------------------------------
 
 
 def fit_rows(rows: DataFrame, features: Sequence[Column], y: Column, keys: Sequence[str] = ("window_id",)) -> DataFrame:
-    """OLS per window from its rows; only the sums are shuffled."""
-    return coefficients(rows.groupBy(*keys).agg(*_moments(features, y)), len(features), keys)
-
-
-def linear(features: Sequence[Column], coef: str = "coef") -> Column:
-    out = F.col(coef)[0]
-    for i, f in enumerate(features):
-        out = out + F.col(coef)[i + 1] * f
-    return out
-
-
-def features_or_zero(features: Sequence[str]) -> list[Column]:
-    """Standardised features; a missing one takes the cross-section mean, 0."""
-    return [F.coalesce(F.col(c), F.lit(0.0)) for c in features]
+    """OLS per window from its rows; only moments are shuffled."""
+    return least_squares(rows, features, y, keys)
 
 
 def ols_alpha(panel: DataFrame, plan: TrainingPlan, features: Sequence[str], label: str = LABEL, min_train_rows: int = 2000) -> Scores:
-    """OLS per window from daily sums: overlapping windows share one pass over the panel."""
+    """OLS per window from daily moments: overlapping windows share one pass over the panel."""
     x = features_or_zero(features)
-    daily = panel.where(F.col(label).isNotNull()).groupBy("trade_date").agg(*_moments(x, F.col(label)))
-    names = _moment_names(len(features))
-    sums = daily.join(F.broadcast(plan.windows), "trade_date").groupBy("window_id").agg(*[F.sum(c).alias(c) for c in names])
-    coef = stage(coefficients(sums, len(features), ["window_id"]).where(F.col("n_train") >= min_train_rows))
-    rows = target_rows(panel, plan).join(F.broadcast(coef), "window_id")
-    predictions = rows.select("trade_date", "ts_code", label, linear(x).alias("ml_score"))
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.col("coef")[i + 1]).alias("importance")) for i, f in enumerate(features)])
-    importance = plan.targets.join(F.broadcast(coef), "window_id").select("trade_date", F.inline(pairs))
+    daily = stage(moments(panel.where(F.col(label).isNotNull()), ["trade_date"], x, F.col(label)))
+    sums = window_moments(daily, plan.windows, len(x))
+    coef = stage(solved(sums, len(x), ["window_id"]).where(F.col("n_train") >= min_train_rows))
+    model = LinearModel(tuple(features), coef)
+    predictions = model.predict(target_rows(panel, plan), "ml_score").select("trade_date", "ts_code", label, "ml_score")
+    importance = plan.targets.join(model.importance(), "window_id").select("trade_date", "feature", "importance")
     return Scores(predictions, importance)
 
 
-# --- boosted trees ------------------------------------------------------------------------
-
+BoostParams = Boosted
 
-@dataclass(frozen=True)
-class BoostParams:
-    """Settings of the boosted-tree learner. 31 leaves correspond to depth 5."""
 
-    rounds: int = 300
-    step: float = 0.05
-    depth: int = 5
-    subsample: float = 0.8
-    features_per_split: str = "0.8"
-    seed: int = 42
+def boosted_alpha(
+    panel: DataFrame, plan: TrainingPlan, features: Sequence[str], label: str = LABEL, min_train_rows: int = 2000, params: Boosted = Boosted(), store: str | None = None
+) -> Scores:
+    """Boosted trees per window with Spark ML, ``params.at_once`` windows at a time; each fit is itself a distributed job.
 
-
-def boosted_alpha(panel: DataFrame, plan: TrainingPlan, features: Sequence[str], label: str = LABEL, min_train_rows: int = 2000, params: BoostParams = BoostParams()) -> Scores:
-    """Boosted trees per window with Spark ML; each fit is itself a distributed job.
-
-    The driver holds only the list of windows. Pass a cached or stored panel: every window
-    filters it anew instead of materialising rows x windows. A window's scores are staged as soon
-    as it is fitted, so no plan holds the trees of more than one window.
+    Features are assembled once, into a table in date order of which a window reads its own files.
+    Scores and importances of a window are written under ``store`` as soon as it is fitted; a
+    restart with the same ``store`` goes on with the windows that are missing there.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
     spark = panel.sparkSession
-    filled = panel.withColumns({f"_f_{c}": F.coalesce(F.col(c), F.lit(0.0)) for c in features})
-    assembled = VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="_x").transform(filled)
     sizes = panel.where(F.col(label).isNotNull()).groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
     spans = (
-        plan.windows.join(F.broadcast(sizes), "trade_date")
+        plan.windows.join(sizes, "trade_date")
         .groupBy("window_id")
         .agg(F.sum("n").alias("n"), F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))
         .where(F.col("n") >= min_train_rows)
         .orderBy("window_id")
         .collect()
     )
-    learner = GBTRegressor(
-        featuresCol="_x", labelCol=label, predictionCol="ml_score", maxIter=params.rounds, stepSize=params.step,
-        maxDepth=params.depth, subsamplingRate=params.subsample, featureSubsetStrategy=params.features_per_split, seed=params.seed,
-    )
-    predictions = importance = None
-    for span in spans:
-        train = assembled.where(F.col("trade_date").between(span.a, span.b) & F.col(label).isNotNull())
-        model = learner.fit(train)
-        targets = plan.targets.where(F.col("window_id") == F.lit(span.window_id)).select("trade_date")
-        scored = stage(model.transform(assembled.join(F.broadcast(targets), "trade_date")).select("trade_date", "ts_code", label, "ml_score"))
-        weights = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
-        imp = targets.select("trade_date", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("importance")) for f, v in weights])))
-        predictions = scored if predictions is None else predictions.unionByName(scored)
-        importance = imp if importance is None else importance.unionByName(imp)
-    if predictions is None:
-        from alphaloom.schemas import IMPORTANCE
-
-        predictions = panel.where("false").select("trade_date", "ts_code", label, F.lit(None).cast("double").alias("ml_score"))
-        importance = spark.createDataFrame([], IMPORTANCE).select("trade_date", "feature", "importance")
-    return Scores(predictions, importance)
+    rows = stage(assembled(panel, features).select("trade_date", "ts_code", label, "_x").repartitionByRange("trade_date").sortWithinPartitions("trade_date"))
+    folder = store or scratch_path(spark, "boosted")
+
+    def one(span) -> tuple[str, str]:
+        scores, weights = (f"{folder}/{kind}/{span.window_id}" for kind in ("scores", "importance"))
+        if not (written(spark, scores) and written(spark, weights)):
+            train = rows.where(F.col("trade_date").between(span.a, span.b) & F.col(label).isNotNull())
+            train = train.join(plan.windows.where(F.col("window_id") == F.lit(span.window_id)).select("trade_date"), "trade_date", "left_semi")
+            model = params.estimator().setFeaturesCol("_x").setLabelCol(label).setPredictionCol("ml_score").fit(train)
+            targets = plan.targets.where(F.col("window_id") == F.lit(span.window_id)).select("trade_date")
+            scored = model.transform(rows.join(targets, "trade_date")).select("trade_date", "ts_code", label, "ml_score")
+            scored.write.mode("overwrite").parquet(scores)
+            each = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(float(v)).alias("importance")) for f, v in zip(features, model.featureImportances.toArray())])
+            targets.select("trade_date", F.inline(each)).write.mode("overwrite").parquet(weights)
+        return scores, weights
+
+    made = several(spans, one, params.at_once)
+    if not made:
+        none = panel.where("false").select("trade_date", "ts_code", label, F.lit(None).cast("double").alias("ml_score"))
+        return Scores(none, spark.createDataFrame([], "trade_date date, feature string, importance double"))
+    scores, weights = zip(*made)
+    return Scores(spark.read.parquet(*scores), spark.read.parquet(*weights))
