@@ -151,31 +151,19 @@ def frequent(keys: np.ndarray, weight: np.ndarray, least: int) -> tuple[np.ndarr
     return a, d, n.astype(np.int64)
 
 
-def _count_routes(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """Frequent phrases of each group of blocks (``route``, ``lang``, ``kind``) in rows sorted by these."""
-
-    def count(g: pd.DataFrame) -> pd.DataFrame:
-        lists = [w.split() for w in g["words"]]
-        codes, found = pd.factorize(np.array([w for x in lists for w in x], object))
-        base = np.cumsum([0, *map(len, lists)])
-        local = [np.frombuffer(x, "<u4").astype(np.int64) for x in g["codes"]]
-        keys = np.concatenate([np.where(x > 0, np.append(-1, codes[o : o + len(w)])[x] + 1, 0) for x, o, w in zip(local, base.tolist(), lists)]).reshape(-1, LONGEST)
-        weight = np.concatenate([np.frombuffer(x, "<u4") for x in g["counts"]]).astype(np.int64)
-        row, size, n = frequent(keys, weight, least)
-        kind = g["kind"].iloc[0]
-        on = (size > 1) & ((kind == WHOLE) | (size == kind + 1))
-        phrase = [b" ".join(found[k[:d] - 1]).decode() for k, d in zip(keys[row[on]], size[on].tolist())]
-        return pd.DataFrame({"lang": g["lang"].iloc[0], "phrase": pd.Series(phrase, dtype=object), "size": size[on], "n": n[on]})
-
-    rest: list[pd.DataFrame] = []
-    for b in batches:
-        for key, g in b.groupby(["route", "lang", "kind"], sort=False):
-            if rest and tuple(rest[0].iloc[0][["route", "lang", "kind"]]) != key:
-                yield count(pd.concat(rest))
-                rest = []
-            rest.append(g)
-    if rest:
-        yield count(pd.concat(rest))
+def _count_group(g: pd.DataFrame, least: int) -> pd.DataFrame:
+    """Frequent phrases of the blocks of one ``route``, ``lang`` and ``kind``."""
+    lists = [w.split() for w in g["words"]]
+    codes, found = pd.factorize(np.array([w for x in lists for w in x], object))
+    base = np.cumsum([0, *map(len, lists)])
+    local = [np.frombuffer(x, "<u4").astype(np.int64) for x in g["codes"]]
+    keys = np.concatenate([np.where(x > 0, np.append(-1, codes[o : o + len(w)])[x] + 1, 0) for x, o, w in zip(local, base.tolist(), lists)]).reshape(-1, LONGEST)
+    weight = np.concatenate([np.frombuffer(x, "<u4") for x in g["counts"]]).astype(np.int64)
+    row, size, n = frequent(keys, weight, least)
+    kind = g["kind"].iloc[0]
+    on = (size > 1) & ((kind == WHOLE) | (size == kind + 1))
+    phrase = [b" ".join(found[k[:d] - 1]).decode() for k, d in zip(keys[row[on]], size[on].tolist())]
+    return pd.DataFrame({"lang": g["lang"].iloc[0], "phrase": pd.Series(phrase, dtype=object), "size": size[on], "n": n[on]})
 
 
 def phrase_counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -200,8 +188,7 @@ def phrase_counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, Data
             yield pd.DataFrame(list(_route(rows, n, found, lang, sent.value.get(lang, set()), routes)), columns=["route", "lang", "kind", "words", "codes", "counts"])
 
     cut = texts.mapInPandas(route, "route BIGINT, lang STRING, kind INT, words BINARY, codes BINARY, counts BINARY")
-    cut = cut.repartition("route").sortWithinPartitions("route", "lang", "kind")
-    phrases = cut.mapInPandas(lambda batches: _count_routes(batches, least), "lang STRING, phrase STRING, size INT, n BIGINT")
+    phrases = cut.groupBy("route", "lang", "kind").applyInPandas(lambda g: _count_group(g, least), "lang STRING, phrase STRING, size INT, n BIGINT")
     return words, settle(phrases)
 
 
