@@ -36,6 +36,8 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 16 * 2**20
 RANGE_BYTES = 4 * 2**20
 TASK_PACKAGES, TASK_BYTES = 64, 64 * 2**20
+BATCH_BYTES = 2 * 2**20  # payloads that a reading task hands on at once
+_COLUMNS = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
 COMMENT = b"\n"
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
 _FULL, _FULL16 = 0xFFFFFFFF, 0xFFFF
@@ -240,7 +242,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with _open(path) as f:
                 f.seek(at)
                 data = f.read(int(sum(sizes)))
-            rows, x = [], 0
+            rows, x, held = [], 0, 0
             for n in sizes:
                 fields, http, payload = parse_record(zlib.decompress(data[x : x + n], 31))
                 x += n
@@ -251,7 +253,11 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     raise ValueError(f"payload of page {page} does not match its digest")
                 refers = fields["warc-refers-to"][10:-1] if "warc-refers-to" in fields else None
                 rows.append((page, fields.get("warc-target-uri"), int(names["content-length"]), digest, kind, refers, payload if kind == "response" else None))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                held += len(payload)
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=_COLUMNS)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
