@@ -18,7 +18,15 @@ ORACLE: dict[str, str] = {}
 SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def native(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Registers a query that runs no Python on the executors."""
+    QUERIES[build.__name__] = build
+    return build
+
+
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Registers a query whose tasks import this package."""
+
     @wraps(build)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -50,7 +58,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN k USING (doc_id)"""
 
 
-@query
+@native
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source."""
     out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), "source", "text")
@@ -95,7 +103,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@query
+@native
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the weakly supervised verdict for every document."""
     out = quality_rules.quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -115,7 +123,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-@query
+@native
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words and items found in every document."""
     out = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -200,7 +208,8 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op13_collocations"] = rf"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, list_filter(regexp_split_to_array(x, '[ 	]+'), lambda w: w <> '') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
--]')) AS x FROM t)),
+-
+]')) AS x FROM t)),
 f AS (SELECT lang, k, phrase, count(*) AS n FROM (
   SELECT lang, 1 AS k, unnest(w) AS phrase FROM p
   UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p
