@@ -52,7 +52,7 @@ def view(build):
     return once
 
 
-STAGED = {"daily", "labeled", "model", "book", "nav", "conformal", "prepared", "membership"}
+STAGED = {"daily", "labeled", "model", "book", "nav", "conformal", "conformal_five", "prepared", "membership"}
 
 
 class Data:
@@ -171,6 +171,13 @@ class Data:
             self.model(), ["ret_20"], train_months=TRAIN_MONTHS, min_train_rows=MIN_ROWS, embargo=EMBARGO, split_key=split_key()
         ).predictions
 
+    @view
+    def conformal_five(self):
+        """The same on all features."""
+        return conformal_predictions(
+            self.model(), FEATURES, train_months=TRAIN_MONTHS, min_train_rows=MIN_ROWS, embargo=EMBARGO, split_key=split_key()
+        ).predictions
+
     @view
     def prepared(self):
         """Optimiser snapshots: membership amount as benchmark weight, composite score as alpha."""
