@@ -8,9 +8,10 @@ needed from it: the scalars ``s`` and ``mu``, which come from the T x T Gram mat
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +21,7 @@ from alphaloom.operators.staging import stage
 
 YEAR = 252.0
 UNLIMITED = 10.0
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -71,48 +73,46 @@ def aligned_windows(windows: DataFrame, snapshot: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.coalesce("x", F.lit(0.0)))
 
 
-def _gram_parts(width: int):
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+def _gram(group: pd.DataFrame) -> pd.DataFrame:
+    """Upper triangle of the Gram matrix (day by day) of one salt's centred series."""
+    x = np.stack(group["x"].to_numpy())
+    gram = x.T @ x
+    return pd.DataFrame({"rebalance_date": [group["rebalance_date"].iloc[0]], "g": [gram[np.triu_indices(len(gram))]]})
 
-        totals: dict = {}
-        for batch in batches:
-            for day, rows in batch.groupby("rebalance_date", sort=False):
-                x = np.zeros((len(rows), width))
-                for i, v in enumerate(rows["x"]):
-                    x[i, : len(v)] = v
-                gram = x.T @ x
-                old = totals.get(day)
-                totals[day] = (gram + old[0], len(rows) + old[1]) if old else (gram, len(rows))
-        for day, (gram, n) in totals.items():
-            yield pd.DataFrame({"rebalance_date": [day], "p": [n], "g": [gram.ravel().tolist()]})
 
-    return parts
+def _gram_sums(width: int):
+    def sums(group: pd.DataFrame) -> pd.DataFrame:
+        """Sum of squares, trace and sum of squared diagonal of the added-up matrix of one rebalance."""
+        upper = np.stack(group["g"].to_numpy()).sum(axis=0)
+        i, j = np.triu_indices(width)
+        diagonal = upper[i == j]
+        row = {"rebalance_date": group["rebalance_date"].iloc[0], "_sq": 2 * (upper**2).sum() - (diagonal**2).sum(), "_tr": diagonal.sum(), "_d4": (diagonal**2).sum()}
+        return pd.DataFrame([row])
+
+    return sums
 
 
 def shrinkage(windows: DataFrame, snapshot: DataFrame, window: int = 60) -> DataFrame:
     """(rebalance_date, n_days, p, mu, shrink): target scale and intensity of the shrunk covariance.
 
-    Every task adds up its codes' centred outer products into one T x T matrix per rebalance;
-    only those matrices are shuffled. Codes without any return count in ``p`` with zeros.
+    Codes are dealt to ``SALTS`` groups a rebalance; each group adds up its codes' centred outer
+    products to one triangle of at most ``window (window + 1) / 2`` numbers, so ``SALTS`` rows a
+    rebalance are left to be added, whatever the number of codes and tasks. Codes without any return count in ``p`` with zeros.
     """
+    salted = windows.withColumn("_salt", F.pmod(F.xxhash64("ts_code"), F.lit(SALTS))).repartition("rebalance_date", "_salt")
+    series = salted.groupBy("rebalance_date", "_salt", "ts_code", "n_days").agg(F.map_from_entries(F.collect_list(F.struct("t", "x"))).alias("_m"))
+    day = F.sequence(F.lit(1), F.lit(window))
     days = F.col("n_days").cast("int")
-    series = windows.groupBy("rebalance_date", "ts_code", "n_days").agg(F.map_from_entries(F.collect_list(F.struct("t", "x"))).alias("_m"))
-    filled = F.transform(F.sequence(F.lit(1), days), lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(0.0)))
-    series = series.withColumn("_x", filled)
+    series = series.withColumn("_x", F.transform(day, lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(0.0))))
     mean = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v) / days
-    series = series.withColumn("_mean", mean).select("rebalance_date", F.transform("_x", lambda v: v - F.col("_mean")).alias("x"))
-    parts = series.mapInPandas(_gram_parts(window), "rebalance_date date, p long, g array<double>")
-    cells = parts.select("rebalance_date", F.posexplode("g").alias("pos", "v")).groupBy("rebalance_date", "pos").agg(F.sum("v").alias("v"))
-    diagonal = F.col("pos") % (window + 1) == 0
-    sums = cells.groupBy("rebalance_date").agg(
-        F.sum(F.col("v") * F.col("v")).alias("_sq"),
-        F.sum(F.when(diagonal, F.col("v"))).alias("_tr"),
-        F.sum(F.when(diagonal, F.col("v") * F.col("v"))).alias("_d4"),
-    )
+    series = series.withColumn("_mean", mean)
+    # a window shorter than ``window`` days is filled up with zeros, which add nothing
+    series = series.select("rebalance_date", "_salt", F.transform("_x", lambda v, i: F.when(i < days, v - F.col("_mean")).otherwise(0.0)).alias("x"))
+    parts = series.groupBy("rebalance_date", "_salt").applyInPandas(_gram, "rebalance_date date, g array<double>")
+    sums = parts.groupBy("rebalance_date").applyInPandas(_gram_sums(window), "rebalance_date date, _sq double, _tr double, _d4 double")
     size = snapshot.select("rebalance_date", "ts_code").distinct().groupBy("rebalance_date").agg(F.count(F.lit(1)).alias("p"))
     t = windows.groupBy("rebalance_date").agg(F.max("n_days").alias("n_days"))
-    out = size.join(F.broadcast(t), "rebalance_date", "left").join(F.broadcast(sums), "rebalance_date", "left")
+    out = size.join(t, "rebalance_date", "left").join(sums, "rebalance_date", "left")
     n, p = F.col("n_days").cast("double"), F.col("p").cast("double")
     mu = F.col("_tr") / (n * p)
     norm = F.col("_sq") / (n * n)
@@ -147,14 +147,26 @@ def active_variance(active: DataFrame, windows: DataFrame, shrink: DataFrame, by
         .groupBy(*keys, "t")
         .agg(F.sum(F.col("a") * F.col("x")).alias("_s"))
         .groupBy(*keys)
-        .agg(F.sum("_s").alias("_s1"), F.sum(F.col("_s") * F.col("_s")).alias("_s2"))
+        .agg(*day_moments(F.col("_s")))
     )
-    out = own.join(daily, keys, "left").join(F.broadcast(shrink), "rebalance_date", "left")
+    out = own.join(daily, keys, "left").join(shrink, "rebalance_date", "left")
+    return out.select(*keys, shrunk_variance("", F.col("_aa"), F.col("_xa"), ridge).alias("active_variance"))
+
+
+def day_moments(value: Column, name: str = "") -> list[Column]:
+    """Count, mean and variance of a daily sum over the days it has rows on."""
+    return [F.count(value).alias(f"_days{name}"), F.avg(value).alias(f"_mean{name}"), F.var_pop(value).alias(f"_var{name}")]
+
+
+def shrunk_variance(name: str, squares: Column, extra: Column, ridge: float) -> Column:
+    """``a'Σa`` from :func:`day_moments` (days without rows are zeros), the sum of squared weights and the shrinkage columns."""
     n = F.col("n_days").cast("double")
-    var = F.when(n >= 2, F.coalesce("_s2", F.lit(0.0)) / n - F.pow(F.coalesce("_s1", F.lit(0.0)) / n, F.lit(2.0))).otherwise(0.0)
+    days, mean, var = (F.coalesce(F.col(f"_{c}{name}").cast("double"), F.lit(0.0)) for c in ("days", "mean", "var"))
+    whole = days * mean / n  # the mean over all days of the window
+    spread = (days * (var + (mean - whole) * (mean - whole)) + (n - days) * whole * whole) / n
     s, mu = F.coalesce("shrink", F.lit(0.0)), F.coalesce("mu", F.lit(0.0))
-    total = (1.0 - s) * var + (s * mu + ridge) * F.col("_aa") + F.col("_xa")
-    return out.select(*keys, F.greatest(total, F.lit(0.0)).alias("active_variance"))
+    total = (1.0 - s) * F.when(n >= 2, spread).otherwise(0.0) + (s * mu + ridge) * squares + extra
+    return F.greatest(total, F.lit(0.0))
 
 
 def tracking_error(variance: Column) -> Column:

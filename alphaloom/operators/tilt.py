@@ -12,16 +12,16 @@ Only dates whose base itself breaks a limit fall back to the last book or the be
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
-from functools import reduce
-from operator import and_
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.operators.staging import stage
-from alphaloom.operators.risk import YEAR, Limits, active_variance
+from alphaloom.operators.risk import YEAR, Limits, day_moments, shrunk_variance
 
 STRENGTHS = (0.25, 0.5, 1.0, 2.0)
 
@@ -83,60 +83,78 @@ def tilt(
     for c, v in (("confidence", 0.5), ("extra_variance", 0.0)):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(v))
-    df = stage(capped_base(df, keys))
-    drift = df.withColumn("a", F.col("_base") - F.col("benchmark_weight"))
-    base = drift.groupBy(*keys).agg(F.abs(F.sum("a")).alias("_lost"))
-    slack = drift.groupBy(*keys, "industry_name").agg(F.abs(F.sum("a")).alias("_g")).groupBy(*keys).agg(F.max("_g").alias("_gap0"))
-    own = active_variance(drift, windows, shrink, by, limits.covariance_ridge, F.col("extra_variance")).withColumnRenamed("active_variance", "_var0")
-    base = stage(base.join(slack, keys).join(own, keys))
-    grid = [(0, 0.0, True)] + [(1 + 2 * i + j, float(k), neutral) for i, k in enumerate(strengths) for j, neutral in enumerate((True, False))]
-    rows = df.select("*", F.inline(F.array(*[F.struct(F.lit(c).alias("candidate"), F.lit(k).alias("_k"), F.lit(n).alias("_neutral")) for c, k, n in grid])))
-    ckeys = [*keys, "candidate"]
-    rows = rows.withColumn("_w0", F.col("_base") * F.greatest(1.0 + F.col("_k") * F.col("alpha_score"), F.lit(0.0)))
-
-    # neutral candidates keep each industry's base weight, free ones only the total
-    scope = F.when(F.col("_neutral"), F.col("industry_name")).otherwise(F.lit(""))
-    rows = rows.withColumn("_scope", scope)
-    sums = rows.groupBy(*ckeys, "_scope").agg(F.sum("_w0").alias("_s0"), F.sum("_base").alias("_sb"))
-    rows = rows.join(sums, [*ckeys, "_scope"])
-    shaped = F.when(F.col("_s0") > 0, F.col("_w0") * F.col("_sb") / F.col("_s0")).otherwise(F.col("_base"))
-    rows = rows.withColumn("a", shaped - F.col("_base"))
-
-    a, wb = F.col("a"), F.col("_base")
-    room = F.when(a > 1e-15, F.greatest(F.col("max_weight") - wb, F.lit(0.0)) / a)
-    doubt = 1.0 - F.col("confidence")
-    per = rows.groupBy(*ckeys).agg(
-        F.min(room).alias("_room"),
-        F.sum(F.col("alpha_score") * wb).alias("_gain0"),
-        F.sum(F.col("alpha_score") * a).alias("_gain1"),
-        F.sum(doubt * wb * wb).alias("_d0"),
-        F.sum(2.0 * doubt * wb * a).alias("_d1"),
-        F.sum(doubt * a * a).alias("_d2"),
+    df = stage(capped_base(df, keys).withColumn("_g", F.coalesce("industry_name", F.lit(""))))
+    grid = [(0.0, True)] + [(float(k), neutral) for k in strengths for neutral in (True, False)]
+    span = range(len(grid))
+    # the basis: the benchmark, the base, and the base tilted by each strength; a candidate is one of these times a factor
+    shapes = {"_b": F.col("benchmark_weight"), "_w0": F.col("_base")}
+    shapes |= {f"_w{j}": F.col("_base") * F.greatest(1.0 + float(k) * F.col("alpha_score"), F.lit(0.0)) for j, k in enumerate(strengths, 1)}
+    shape_of = [f"_w{0 if not k else 1 + list(strengths).index(k)}" for k, _ in grid]
+    rows = df.withColumns(shapes)
+    sums = stage(rows.groupBy(*keys, "_g").agg(*[F.sum(c).alias(c) for c in shapes]))
+    totals = sums.groupBy(*keys).agg(*[F.sum(c).alias(f"{c}_all") for c in shapes])
+    # neutral candidates keep each industry's base weight, free ones only the total; without anything to scale the base stays
+    scale = [F.when(F.col(c) > 0, F.col("_w0") / F.col(c)) if neutral else F.when(F.col(f"{c}_all") > 0, F.col("_w0_all") / F.col(f"{c}_all")) for c, (_, neutral) in zip(shape_of, grid)]
+    by_industry = stage(sums.join(totals, keys).select(*keys, "_g", *shapes, F.array(*scale).alias("_f")))
+    factors = by_industry.select(*keys, "_g", "_f")
+
+    def active(c: int) -> Column:
+        """Candidate ``c`` less the base, of a row or of sums over rows of one industry."""
+        return F.coalesce(F.col("_f")[c] * F.col(shape_of[c]), F.col("_w0")) - F.col("_w0")
+
+    wb, doubt = F.col("_base"), 1.0 - F.col("confidence")
+    own = rows.join(factors, [*keys, "_g"]).withColumns({f"_a{c}": active(c) for c in span} | {"_drift": F.col("_w0") - F.col("_b")})
+    each = []
+    for c in span:
+        a = F.col(f"_a{c}")
+        each += [
+            F.min(F.when(a > 1e-15, F.greatest(F.col("max_weight") - wb, F.lit(0.0)) / a)).alias(f"_room{c}"),
+            F.sum(F.col("alpha_score") * a).alias(f"_gain{c}"), F.sum(2.0 * doubt * wb * a).alias(f"_one{c}"), F.sum(doubt * a * a).alias(f"_two{c}"),
+            F.sum(a * a).alias(f"_aa{c}"), F.sum(F.col("extra_variance") * a * a).alias(f"_xa{c}"),
+        ]
+    drift = F.col("_drift")
+    per = own.groupBy(*keys).agg(
+        *each, F.sum(F.col("alpha_score") * wb).alias("_gain_base"), F.sum(doubt * wb * wb).alias("_doubt_base"),
+        F.sum(drift * drift).alias("_aa_base"), F.sum(F.col("extra_variance") * drift * drift).alias("_xa_base"),
         *[F.max(c).alias(c) for c in ("max_tracking_error", "max_industry_deviation", "gamma")],
+    )
+    gap = by_industry.groupBy(*keys).agg(
+        *[F.max(F.abs(active(c))).alias(f"_gap{c}") for c in span], F.max(F.abs(F.col("_w0") - F.col("_b"))).alias("_gap_base"), F.abs(F.sum(F.col("_w0") - F.col("_b"))).alias("_lost")
     )
-    gaps = rows.groupBy(*ckeys, "industry_name").agg(F.abs(F.sum("a")).alias("_gap")).groupBy(*ckeys).agg(F.max("_gap").alias("_gap"))
-    var = active_variance(rows, windows, shrink, [*by, "candidate"], limits.covariance_ridge, F.col("extra_variance"))
-    per = per.join(gaps, ckeys).join(var, ckeys).join(base, keys)
-    risk0, risk1 = F.sqrt("_var0"), F.sqrt("active_variance")
+    # one join with the return windows: daily sums of the basis by industry, from which those of every candidate follow
+    basis = [c for c in shapes]
+    daily = rows.select(*keys, "_g", "ts_code", *basis).join(windows.select("rebalance_date", "ts_code", "t", "x"), ["rebalance_date", "ts_code"])
+    daily = daily.groupBy(*keys, "_g", "t").agg(*[F.sum(F.col(c) * F.col("x")).alias(c) for c in basis]).join(factors, [*keys, "_g"])
+    daily = daily.groupBy(*keys, "t").agg(*[F.sum(active(c)).alias(f"_s{c}") for c in span], F.sum(F.col("_w0") - F.col("_b")).alias("_s_base"))
+    named = [*map(str, span), "_base"]
+    spread = daily.groupBy(*keys).agg(*[x for n in named for x in day_moments(F.col(f"_s{n}"), n)])
+    per = per.join(gap, keys).join(spread, keys, "left").join(shrink, "rebalance_date", "left")
+    ridge = limits.covariance_ridge
+    variance = {n: shrunk_variance(n, F.col(f"_aa{n}"), F.col(f"_xa{n}"), ridge) for n in named}
+    candidates = [F.struct(F.lit(c).alias("candidate"), *[F.col(f"{x}{c}").alias(x) for x in ("_room", "_gain", "_one", "_two", "_gap")], variance[str(c)].alias("_var")) for c in span]
+    per = per.select(
+        *keys, "max_tracking_error", "max_industry_deviation", "gamma", "_gain_base", "_doubt_base", "_gap_base", "_lost", variance["_base"].alias("_var_base"), F.inline(F.array(*candidates))
+    )
+    risk0, risk1 = F.sqrt("_var_base"), F.sqrt("_var")
     te_left = F.col("max_tracking_error") / F.sqrt(F.lit(float(YEAR))) - risk0
-    gap_left = F.col("max_industry_deviation") - F.col("_gap0")
-    te_room = F.when(F.col("active_variance") > 1e-18, te_left / risk1)
+    gap_left = F.col("max_industry_deviation") - F.col("_gap_base")
+    te_room = F.when(F.col("_var") > 1e-18, te_left / risk1)
     gap_room = F.when(F.col("_gap") > 1e-12, gap_left / F.col("_gap"))
     theta = F.least(F.lit(1.0), F.coalesce("_room", F.lit(1.0)), F.coalesce(te_room, F.lit(1.0)), F.coalesce(gap_room, F.lit(1.0)))
     per = per.withColumn("_theta", theta).where((F.col("_lost") <= 1e-9) & (te_left >= 0) & (gap_left >= 0))
     th = F.col("_theta")
     value = (
-        F.col("_gain0")
-        + th * F.col("_gain1")
+        F.col("_gain_base")
+        + th * F.col("_gain")
         - limits.risk_aversion * (risk0 + th * risk1) * (risk0 + th * risk1)
-        - F.col("gamma") * (F.col("_d0") + th * F.col("_d1") + th * th * F.col("_d2"))
+        - F.col("gamma") * (F.col("_doubt_base") + th * F.col("_one") + th * th * F.col("_two"))
     )
     # rounding keeps float noise from deciding between equal candidates
-    best = W.partitionBy(*keys).orderBy(F.round(value, 9).desc(), F.col("candidate"))
-    chosen = stage(per.withColumn("_rn", F.row_number().over(best)).where("_rn <= 1").select(*ckeys, "_theta"))
-    held = rows.join(F.broadcast(chosen), ckeys).withColumn("weight", wb + F.col("_theta") * a)
-    df = df.drop("_base")
-    targets = stage(held.select(*df.columns, "candidate", "weight").withColumn("optimization_status", F.lit("tilted")))
+    best = per.groupBy(*keys).agg(F.max_by(F.struct("candidate", "_theta"), F.struct(F.round(value, 9).alias("v"), (-F.col("candidate")).alias("c"))).alias("_best"))
+    chosen = stage(best.select(*keys, "_best.candidate", "_best._theta"))
+    tilted = own.join(chosen, keys).withColumn("weight", wb + F.col("_theta") * F.array(*[F.col(f"_a{c}") for c in span])[F.col("candidate")])
+    df = df.drop("_base", "_g")
+    targets = stage(tilted.select(*df.columns, "candidate", "weight").withColumn("optimization_status", F.lit("tilted")))
     return _fill_infeasible(df, targets, keys, by)
 
 
@@ -144,15 +162,15 @@ def _fill_infeasible(df: DataFrame, targets: DataFrame, keys: list[str], by: lis
     """Dates without a feasible candidate: last feasible weights, else benchmark, else equal weights."""
     done = targets.select(*keys).distinct()
     every = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("benchmark_weight").alias("_wb"))
-    state = every.join(F.broadcast(done.withColumn("_ok", F.lit(True))), keys, "left")
+    state = every.join(done.withColumn("_ok", F.lit(True)), keys, "left")
     order = W.partitionBy(*by).orderBy("rebalance_date").rowsBetween(W.unboundedPreceding, -1)
     prior = F.last(F.when(F.col("_ok"), F.col("rebalance_date")), ignorenulls=True).over(order)
     missing = state.withColumn("_prior", prior).where("_ok IS NULL")
-    rows = df.join(F.broadcast(missing), keys)
+    rows = df.join(stage(missing), keys)
     old = targets.select(*by, F.col("rebalance_date").alias("_prior"), "ts_code", F.col("weight").alias("_old"))
     rows = rows.join(old, [*by, "_prior", "ts_code"], "left")
     kept = rows.groupBy(*keys).agg(F.sum("_old").alias("_kept"))
-    rows = rows.join(F.broadcast(kept), keys)
+    rows = rows.join(kept, keys)
     weight = (
         F.when(F.col("_kept") > 0, F.coalesce("_old", F.lit(0.0)) / F.col("_kept"))
         .when(F.col("_wb") > 0, F.col("benchmark_weight") / F.col("_wb"))
@@ -163,7 +181,7 @@ def _fill_infeasible(df: DataFrame, targets: DataFrame, keys: list[str], by: lis
     return targets.unionByName(filled)
 
 
-def turnover_path(targets: DataFrame, limits: Limits = Limits(), by: Sequence[str] = (), max_turnover: dict | None = None) -> DataFrame:
+def turnover_path(targets: DataFrame, limits: Limits = Limits(), by: Sequence[str] = (), max_turnover: dict | None = None, rows_per_task: int = 5000) -> DataFrame:
     """Walk from book to target, moving at most the one-way turnover limit per rebalance.
 
     ``targets`` holds every snapshot code of a date, zero weights included; a book lives on its
@@ -171,10 +189,11 @@ def turnover_path(targets: DataFrame, limits: Limits = Limits(), by: Sequence[st
     ``w = old + min(1, limit/move)·(target - old)`` with ``move = ½Σ|target - old|``. With
     nothing left of the old book the target is taken as it is.
 
-    The step factor of a date depends on all earlier ones, so dates are taken in order. Targets
-    are laid out once as one short array per (scenario, code), with at most one entry per
-    rebalance; each step is a map and a sum over them that sends four numbers per scenario to
-    the driver. ``max_turnover`` gives limits per scenario: by its value, or by the tuple of the values of ``by``.
+    The step of a date depends on all earlier ones, so dates are taken in order, but in one Spark
+    job: targets are laid out as one short array per (scenario, code) and dealt over the tasks of
+    a barrier stage, where each task carries the books of its codes forward and the tasks add up
+    four sums per scenario at every date. A lost executor makes the stage start again from the
+    stored arrays. ``max_turnover`` gives limits per scenario: by its value, or by the tuple of the values of ``by``.
     """
     by = list(by) or ["_all"]
     plain = by == ["_all"]
@@ -182,75 +201,65 @@ def turnover_path(targets: DataFrame, limits: Limits = Limits(), by: Sequence[st
         targets = targets.withColumn("_all", F.lit(0))
     # one text per scenario that no two scenarios share, NULLs and separators in names included
     targets = targets.withColumn("_s", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
-    live = targets.select(*by, "_s", "rebalance_date").distinct().collect()
-    caps = {x["_s"]: (max_turnover or {}).get(x[by[0]] if len(by) == 1 else tuple(x[c] for c in by)) for x in live}
+    live = targets.select(*by, "_s", "rebalance_date").distinct().collect()  # a row per scenario and date
+    if not live:
+        return targets.select(*([] if plain else by), "rebalance_date", "ts_code", "weight").where("false")
+    names = sorted({x["_s"] for x in live})
+    number = {s: i for i, s in enumerate(names)}
     dates = sorted({x["rebalance_date"] for x in live})
-    present = {(x["_s"], x["rebalance_date"]) for x in live}
-    number = F.array_position(F.array(*[F.lit(d) for d in dates]), F.col("rebalance_date"))
-    laid = targets.groupBy(*by, "_s", "ts_code").agg(F.map_from_entries(F.collect_list(F.struct(number.alias("i"), "weight"))).alias("_m"))
+    caps = [limits.max_turnover] * len(names)
+    trades = [[False] * len(dates) for _ in names]
+    for x in live:
+        cap = (max_turnover or {}).get(x[by[0]] if len(by) == 1 else tuple(x[c] for c in by))
+        caps[number[x["_s"]]] = limits.max_turnover if cap is None else cap
+        trades[number[x["_s"]]][dates.index(x["rebalance_date"])] = True
+    at = F.array_position(F.array(*[F.lit(d) for d in dates]), F.col("rebalance_date"))
+    laid = targets.groupBy(*by, "_s", "ts_code").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("i"), "weight"))).alias("_m"))
     slots = F.sequence(F.lit(1), F.lit(len(dates)))
-    laid = stage(laid.select(*by, "_s", "ts_code", F.transform(slots, lambda i: F.try_element_at("_m", i.cast("long"))).alias("_w")))
-    cached = laid.persist()
-    steps: dict[str, list[tuple[float, float]]] = {s: [] for s, _ in present}
-    held = dict.fromkeys(steps, 0.0)
-    for i, day in enumerate(dates):
-        state = cached.join(F.broadcast(_progress(laid.sparkSession, steps, held)), "_s")
-        slot = F.col("_st.i")
-        sums = state.select("_s", "_st.held", _book().alias("b"), F.try_element_at("_w", slot + 1).alias("w"), F.try_element_at("_w", slot + 2).alias("next"))
-        old = F.col("b") / F.col("held")
-        stays = F.col("next").isNotNull()
-        rows = sums.groupBy("_s").agg(
-            (F.sum(F.when(F.col("w").isNotNull(), F.abs(F.col("w") - old))) / 2.0).alias("move"),
-            F.sum(F.when(stays & F.col("w").isNotNull(), F.col("b"))).alias("old_stays"),
-            F.sum(F.when(stays, F.col("w"))).alias("target_stays"),
-            F.sum(F.when(stays, F.col("b"))).alias("all_stays"),
-        )
-        for row in rows.collect():
-            s, kept = row["_s"], held[row["_s"]]
-            cap = limits.max_turnover if caps[s] is None else caps[s]
-            if (s, day) not in present:
-                steps[s].append((-1.0, 0.0))
-                held[s] = row["all_stays"] or 0.0
-                continue
-            step = 1.0 if kept <= 0 or row["move"] <= cap else cap / row["move"]
-            steps[s].append((kept, step))
-            held[s] = ((1.0 - step) * (row["old_stays"] or 0.0) / kept if kept > 0 else 0.0) + step * (row["target_stays"] or 0.0)
-    cached.unpersist()
-    done = laid.join(F.broadcast(_progress(laid.sparkSession, steps, held)), "_s")
-    out = done.select(*by, "ts_code", F.posexplode(_path()).alias("_i", "weight")).where("weight > 0")
-    out = out.withColumn("rebalance_date", F.element_at(F.array(*[F.lit(d) for d in dates]), F.col("_i") + 1))
-    real = laid.sparkSession.createDataFrame([tuple(x[c] for c in (*by, "rebalance_date")) for x in live], targets.select(*by, "rebalance_date").schema)
-    same = [out[c].eqNullSafe(real[c]) for c in (*by, "rebalance_date")]
-    out = out.join(F.broadcast(real), reduce(and_, same), "left_semi")
-    return out.select(*([] if plain else by), "rebalance_date", "ts_code", "weight")
-
-
-def _progress(spark, steps: dict[str, list[tuple[float, float]]], held: dict[str, float]) -> DataFrame:
-    """One row per scenario with the steps so far, as a column: the plan of every step is then the
-    same text, compiled once."""
-    state = {s: {"i": len(f), "held": held[s] if held[s] > 0 else 1.0, "f": [{"kept": k, "step": x} for k, x in f]} for s, f in steps.items()}
-    schema = "map<string, struct<i: int, held: double, f: array<struct<kept: double, step: double>>>>"
-    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(state)), schema)).alias("_s", "_st"))
-
-
-def _next_book(book, x):
-    """One code's weight after a step; ``kept`` is -1 on dates the scenario does not trade."""
-    kept, step, target = x["f"]["kept"], x["f"]["step"], x["w"]
-    moved = F.when(kept > 0, book / kept * (1.0 - step)).otherwise(0.0) + step * target
-    return F.when(kept < 0, book).otherwise(F.coalesce(moved, F.lit(0.0)))
-
-
-def _zipped():
-    return F.arrays_zip(F.slice("_w", F.lit(1), F.size("_st.f")).alias("w"), F.col("_st.f").alias("f"))
-
-
-def _book():
-    """A code's weight after the steps so far."""
-    return F.aggregate(_zipped(), F.lit(0.0), _next_book)
-
-
-def _path():
-    """All weights of a code, in date order."""
-    seed = F.array().cast("array<double>")
-    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0))
-    return F.aggregate(_zipped(), seed, lambda acc, x: F.concat(acc, F.array(_next_book(last(acc), x))))
+    code = F.array_position(F.array(*[F.lit(s) for s in names]), F.col("_s")) - 1
+    laid = stage(laid.select(*by, "ts_code", code.cast("int").alias("_s"), F.transform(slots, lambda i: F.try_element_at("_m", i.cast("long"))).alias("_w")))
+    slots_there = laid.sparkSession.sparkContext.defaultParallelism  # a barrier stage needs all its tasks at the same time
+    tasks = max(1, min(slots_there, -(-laid.count() // rows_per_task)))
+    kept = [*by, "ts_code"]
+    schema = ", ".join(f"`{c}` {laid.schema[c].dataType.simpleString()}" for c in kept) + ", _i INT, weight DOUBLE"
+    walked = laid.repartition(tasks, "_s", "ts_code").mapInArrow(_walk(kept, caps, trades), schema, barrier=True)
+    day = F.element_at(F.array(*[F.lit(d) for d in dates]), F.col("_i") + 1)
+    return stage(walked.select(*([] if plain else by), day.alias("rebalance_date"), "ts_code", "weight"))
+
+
+def _walk(kept: list[str], caps: list[float], trades: list[list[bool]]):
+    """Books of a task's codes, date after date; the tasks of the stage add up their sums at each date."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import BarrierTaskContext
+
+        context, scenarios, days = BarrierTaskContext.get(), len(caps), len(trades[0])
+        parts = [b for b in batches if b.num_rows]
+        table = pa.Table.from_batches(parts).combine_chunks() if parts else None
+        scenario = table["_s"].to_numpy() if parts else np.zeros(0, np.int32)
+        target = np.concatenate([b.column("_w").flatten().to_numpy(zero_copy_only=False).reshape(-1, days) for b in parts]) if parts else np.zeros((0, days))
+        add = lambda x: np.bincount(scenario, x, minlength=scenarios)
+        book, held = np.zeros(len(scenario)), np.zeros(scenarios)
+        found: list[tuple[np.ndarray, int, np.ndarray]] = []
+        for i in range(days):
+            goal, here = np.nan_to_num(target[:, i]), ~np.isnan(target[:, i])
+            stays = ~np.isnan(target[:, i + 1]) if i + 1 < days else np.zeros(len(scenario), bool)
+            old = book / np.where(held > 0, held, 1.0)[scenario]
+            own = [add(np.abs(goal - old) * here) / 2, add(book * (stays & here)), add(goal * stays), add(book * stays)]
+            every = context.allGather(json.dumps([x.tolist() for x in own]))
+            move, old_stays, goal_stays, all_stays = np.sum([json.loads(x) for x in every], axis=0)
+            trading = np.array([t[i] for t in trades])
+            free = (held <= 0) | (move <= caps)
+            step = np.where(free, 1.0, caps / np.where(free, 1.0, move))
+            after = np.where(held > 0, (1 - step) * old_stays / np.where(held > 0, held, 1.0), 0.0) + step * goal_stays
+            stay = np.where(held > 0, 1 - step, 0.0)[scenario]
+            book = np.where(trading[scenario], (old * stay + step[scenario] * goal) * here, book)
+            held = np.where(trading, after, all_stays)
+            rows = np.flatnonzero(trading[scenario] & (book > 0))
+            found.append((rows, i, book[rows]))
+        if table is not None:
+            for rows, i, weight in found:
+                out = table.select(kept).take(pa.array(rows)).append_column("_i", pa.array(np.full(len(rows), i, np.int32))).append_column("weight", pa.array(weight))
+                yield from out.combine_chunks().to_batches()
+
+    return walk
