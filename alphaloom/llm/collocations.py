@@ -41,7 +41,7 @@ LONGEST = 3
 LEAST = 10
 TOP = 2000
 BLOCK = 4_000_000  # bytes of text whose suffixes are counted before the shuffle
-ROUTE_WORDS, MOST_ROUTES = 2_000_000, 2**17
+ROUTE_WORDS, MOST_ROUTES = 400_000, 2**17
 WHOLE, PAIR, TRIPLE = 0, 1, 2  # what a routed block counts: phrases of two and three words, of two, of three
 _BREAKS, _SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 _PLAIN = bytes(32 if i in _BREAKS + _SPACES else i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -151,19 +151,21 @@ def frequent(keys: np.ndarray, weight: np.ndarray, least: int) -> tuple[np.ndarr
     return a, d, n.astype(np.int64)
 
 
-def _count_group(g: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Frequent phrases of the blocks of one ``route``, ``lang`` and ``kind``."""
-    lists = [w.split() for w in g["words"]]
-    codes, found = pd.factorize(np.array([w for x in lists for w in x], object))
-    base = np.cumsum([0, *map(len, lists)])
-    local = [np.frombuffer(x, "<u4").astype(np.int64) for x in g["codes"]]
-    keys = np.concatenate([np.where(x > 0, np.append(-1, codes[o : o + len(w)])[x] + 1, 0) for x, o, w in zip(local, base.tolist(), lists)]).reshape(-1, LONGEST)
-    weight = np.concatenate([np.frombuffer(x, "<u4") for x in g["counts"]]).astype(np.int64)
-    row, size, n = frequent(keys, weight, least)
-    kind = g["kind"].iloc[0]
-    on = (size > 1) & ((kind == WHOLE) | (size == kind + 1))
-    phrase = [b" ".join(found[k[:d] - 1]).decode() for k, d in zip(keys[row[on]], size[on].tolist())]
-    return pd.DataFrame({"lang": g["lang"].iloc[0], "phrase": pd.Series(phrase, dtype=object), "size": size[on], "n": n[on]})
+def _count_route(route: pd.DataFrame, least: int) -> pd.DataFrame:
+    """Frequent phrases of the blocks of one route."""
+    out = []
+    for (lang, kind), g in route.groupby(["lang", "kind"], sort=False):
+        lists = [w.split() for w in g["words"]]
+        codes, found = pd.factorize(np.array([w for x in lists for w in x], object))
+        base = np.cumsum([0, *map(len, lists)])
+        local = [np.frombuffer(x, "<u4").astype(np.int64) for x in g["codes"]]
+        keys = np.concatenate([np.where(x > 0, np.append(-1, codes[o : o + len(w)])[x] + 1, 0) for x, o, w in zip(local, base.tolist(), lists)]).reshape(-1, LONGEST)
+        weight = np.concatenate([np.frombuffer(x, "<u4") for x in g["counts"]]).astype(np.int64)
+        row, size, n = frequent(keys, weight, least)
+        on = (size > 1) & ((kind == WHOLE) | (size == kind + 1))
+        phrase = [b" ".join(found[k[:d] - 1]).decode() for k, d in zip(keys[row[on]], size[on].tolist())]
+        out.append(pd.DataFrame({"lang": lang, "phrase": pd.Series(phrase, dtype=object), "size": size[on], "n": n[on]}))
+    return pd.concat(out)
 
 
 def phrase_counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +177,7 @@ def phrase_counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, Data
     found = texts.mapInPandas(_count_words, "lang STRING, phrase STRING, n BIGINT")
     words = settle(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n")).first()[0] or 0
-    routes = min(MOST_ROUTES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // ROUTE_WORDS))
+    routes = max(1, min(MOST_ROUTES, total // ROUTE_WORDS))
     hot: dict[str, set[bytes]] = {}
     for r in words.filter(F.col("n") > total // routes).collect():  # fewer than ``routes`` words
         hot.setdefault(r["lang"], set()).add(r["phrase"].encode())
@@ -188,7 +190,7 @@ def phrase_counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, Data
             yield pd.DataFrame(list(_route(rows, n, found, lang, sent.value.get(lang, set()), routes)), columns=["route", "lang", "kind", "words", "codes", "counts"])
 
     cut = texts.mapInPandas(route, "route BIGINT, lang STRING, kind INT, words BINARY, codes BINARY, counts BINARY")
-    phrases = cut.groupBy("route", "lang", "kind").applyInPandas(lambda g: _count_group(g, least), "lang STRING, phrase STRING, size INT, n BIGINT")
+    phrases = cut.groupBy("route").applyInPandas(lambda g: _count_route(g, least), "lang STRING, phrase STRING, size INT, n BIGINT")
     return words, settle(phrases)
 
 
