@@ -7,16 +7,17 @@ which dates each window scores. The estimator contract is a function
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.operators.calendar import expand_index_ranges, period_ends, trading_calendar
-from alphaloom.operators.learners import Boosted, LinearModel, assembled, features_or_zero, several
-from alphaloom.operators.moments import least_squares, moments, solved, window_moments
+from alphaloom.operators.learners import Boosted, LinearModel, assembled, features_or_zero, linear, several
+from alphaloom.operators.moments import least_squares, moments, pairs, solved, window_moments
 from alphaloom.operators.staging import stage, written
 from alphaloom.session import scratch_path
 
@@ -110,6 +111,31 @@ def ols_alpha(panel: DataFrame, plan: TrainingPlan, features: Sequence[str], lab
     return Scores(predictions, importance)
 
 
+def ols_variants(panel: DataFrame, plan: TrainingPlan, variants: Mapping[str, Sequence[str]], label: str = LABEL, min_train_rows: int = 2000) -> Scores:
+    """OLS of several feature sets, labelled by ``variant``: all are solved from one table of window moments over every feature."""
+    features = list(dict.fromkeys(f for chosen in variants.values() for f in chosen))
+    x, p = features_or_zero(features), len(features)
+    daily = stage(moments(panel.where(F.col(label).isNotNull()), ["trade_date"], x, F.col(label)))
+    sums = window_moments(daily, plan.windows, p)
+    found = []
+    for name, chosen in variants.items():
+        at = [*[features.index(f) for f in chosen], p]
+        own = {f"m{i}": F.col(f"m{a}") for i, a in enumerate(at)}
+        own |= {f"c{i}_{j}": F.col(f"c{min(at[i], at[j])}_{max(at[i], at[j])}") for i, j in pairs(len(chosen))}
+        coef = solved(sums.select("window_id", "n", *[c.alias(k) for k, c in own.items()]), len(chosen), ["window_id"])
+        found.append(coef.where(F.col("n_train") >= min_train_rows).withColumn("variant", F.lit(name)))
+    coef = stage(reduce(DataFrame.unionByName, found))
+    rows = target_rows(panel, plan).join(coef, "window_id")
+    value = F.coalesce(*[F.when(F.col("variant") == n, linear(features_or_zero(chosen))) for n, chosen in variants.items()])
+    predictions = rows.select("variant", "trade_date", "ts_code", label, value.alias("ml_score"))
+    each = [
+        F.when(F.col("variant") == n, F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.col("coef")[i + 1]).alias("importance")) for i, f in enumerate(chosen)]))
+        for n, chosen in variants.items()
+    ]
+    importance = plan.targets.join(coef, "window_id").select("variant", "trade_date", F.inline(F.coalesce(*each)))
+    return Scores(predictions, importance)
+
+
 BoostParams = Boosted
 
 

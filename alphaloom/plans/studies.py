@@ -30,7 +30,7 @@ from alphaloom.operators.positions import (
 )
 from alphaloom.operators.reports import pivot_metric, union_labelled
 from alphaloom.operators.staging import stage
-from alphaloom.operators.training import rolling_plan
+from alphaloom.operators.training import TrainingPlan, ols_variants, rolling_plan
 from alphaloom.operators.uncertainty import alpha_scale, candidate_filter, prepare_confidence
 from alphaloom.plans.backtest import Backtest, from_positions, tilted_positions
 
@@ -84,6 +84,17 @@ def feature_ablation(panel: DataFrame, variants: Mapping[str, Sequence[str]], n:
     return Backtest(run.nav, run.positions, metrics, run.by)
 
 
+def model_ablation(panel: DataFrame, plan: TrainingPlan, variants: Mapping[str, Sequence[str]], n: int = 20, min_train_rows: int = 2000) -> Backtest:
+    """Equal-weight books of the model score of every feature set, labelled by ``variant``; all models come from one pass over the panel."""
+    scores = ols_variants(panel, plan, variants, min_train_rows=min_train_rows).predictions
+    scores = scores.select("variant", F.col("trade_date").alias("rebalance_date"), "ts_code", F.round("ml_score", 8).alias("score"))
+    book = with_turnover(top_n(scores, n, by=["variant"]), ["variant"])
+    run = from_positions(panel, no_risk(book), ["variant"])
+    about = {name: (len(cols), ",".join(cols)) for name, cols in variants.items()}
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in about.items() for x in (k, v[i])]), F.col("variant"))
+    return Backtest(run.nav, run.positions, run.metrics.withColumns({"feature_count": pick(0), "feature_columns": pick(1)}), run.by)
+
+
 def no_risk(book: DataFrame) -> DataFrame:
     none = F.lit(None).cast("double")
     return book.withColumns({"ex_ante_tracking_error": none, "max_industry_deviation": none})
@@ -171,6 +182,31 @@ def summary_table(runs: Sequence[tuple[str, Backtest]], label: str = "strategy",
     return union_labelled([(n, b.metrics.select(*SUMMARY)) for n, b in cut], label)
 
 
+def configurations(
+    panel: DataFrame, features: Sequence[str], external: Sequence[str], baseline: str, train_months: int = 12, min_train_rows: int = 2000, embargo: int = 20
+) -> DataFrame:
+    """Scores of four configurations on rebalance dates, labelled by ``config``: the ``baseline`` column, the model on
+    windows that run up to the day before, the embargoed model, and that one with the external series."""
+    leaking, clean = rolling_plan(panel, train_months), rolling_plan(panel, train_months, embargo)
+    plain = ols_variants(panel, leaking, {"model": features}, min_train_rows=min_train_rows).predictions
+    strict = ols_variants(panel, clean, {"model_embargoed": features, "model_external": [*features, *external]}, min_train_rows=min_train_rows).predictions
+    scores = plain.unionByName(strict).select(F.col("variant").alias("config"), F.col("trade_date").alias("rebalance_date"), "ts_code", F.round("ml_score", 8).alias("score"))
+    base = snapshots(panel, baseline).select(F.lit("baseline").alias("config"), "rebalance_date", "ts_code", F.col(baseline).alias("score"))
+    return base.unionByName(scores)
+
+
+def configuration_table(panel: DataFrame, scores: DataFrame, returns: DataFrame, limits: risk.Limits = risk.Limits()) -> DataFrame:
+    """Headline metrics and final NAV of every configuration of ``scores``, all sent through the constrained tilt in one plan.
+
+    ``panel`` needs benchmark_weight and industry_name.
+    """
+    about = panel.select(F.col("trade_date").alias("rebalance_date"), "ts_code", "industry_name", "benchmark_weight")
+    prepared = stage(prepare_snapshot(scores.join(about, ["rebalance_date", "ts_code"]), by=["config"]))
+    run = from_positions(returns, tilted_positions(prepared, returns, limits, ["config"]), ["config"])
+    last = run.nav.groupBy("config").agg(F.max_by("portfolio_nav", "trade_date").alias("final_nav"))
+    return run.metrics.join(last, "config").select("config", "information_ratio", "annual_excess_return", "max_drawdown", "tracking_error", "annual_turnover", "final_nav")
+
+
 def construction_comparison(optimised: DataFrame, equal: DataFrame) -> DataFrame:
     """Variant summaries of both portfolio constructions, stacked."""
     return union_labelled([("constrained_optimizer", optimised), ("rank_equal_weight", equal)], "portfolio_construction")
@@ -206,7 +242,3 @@ def horizon_table(groups: Sequence[tuple[str, DataFrame]], metric: str, label: s
     """One metric of every strategy, one column per sample (long horizon, out of sample, ...)."""
     return pivot_metric(union_labelled(groups, "sample"), label, "sample", metric, [n for n, _ in groups])
 
-
-def embargoed_config(panel: DataFrame, features: Sequence[str], estimator, train_months: int, min_rows: int, embargo: int = 20) -> DataFrame:
-    """Leak-free predictions of one configuration."""
-    return estimator(panel, rolling_plan(panel, train_months, embargo), features, min_train_rows=min_rows).predictions

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -26,10 +27,15 @@ def local_session(app: str = "alphaloom", cpus: int | None = None) -> SparkSessi
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for staged tables: ``spark.checkpoint.dir``, or a folder beside the warehouse's tables where that is unset."""
+    """Shared folder for staged tables: ``spark.checkpoint.dir``, or a folder beside the warehouse's tables where that is unset.
+
+    On several machines that folder has to be in a store they share: a warehouse on a local disk is refused there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+        if not spark.sparkContext.master.startswith("local") and re.match(r"file:|(?!\w+:)", folder):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share; {folder} is local to each")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_panel", "q_portfolio", "q_model", "q_five", "q_sources", "q_relational", "q_studies")
+MODULES = ("q_panel", "q_portfolio", "q_model", "q_five", "q_sources", "q_relational", "q_studies", "q_configs")
 
 
 def load() -> None:

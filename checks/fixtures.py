@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from alphaloom.operators.conformal import conformal_predictions
 from alphaloom.operators.cross_section import composite_score, model_panel
 from alphaloom.operators.factors import compute_factors, excess_return_label
-from alphaloom.operators.joins import asof_join, asof_series
+from alphaloom.operators.joins import asof_join, asof_series, join_date_series, two_channel_total
 from alphaloom.operators.nav import daily_nav
 from alphaloom.operators.order_stats import keep_top
 from alphaloom.operators.staging import stage
@@ -52,7 +52,7 @@ def view(build):
     return once
 
 
-STAGED = {"daily", "labeled", "model", "book", "nav", "conformal", "conformal_five", "prepared", "membership"}
+STAGED = {"daily", "labeled", "model", "external", "book", "nav", "conformal", "conformal_five", "prepared", "membership"}
 
 
 class Data:
@@ -151,6 +151,20 @@ class Data:
     def model(self):
         return model_panel(self.labeled(), list(FEATURES))
 
+    @view
+    def external(self):
+        """The model panel with the three external series: two-channel flow by day, two monthly series as of the day."""
+        side = lambda k, n: self.daily().where(F.col("ts_code") % 7 == k).groupBy("trade_date").agg((F.sum("cents") / F.lit(100.0)).alias(n))
+        flow = two_channel_total(side(0, "sh"), side(1, "sz"), "trade_date", "sh", "sz", "northbound_net_inflow")
+        m = self.table("orders").groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
+        cents = F.round(F.col("o_totalprice") * 100).cast("long")
+        urgent = F.col("o_orderpriority") < "3"
+        m = m.agg(F.sum(F.when(urgent, cents)).alias("high"), F.sum(cents).alias("every"))
+        day = F.expr("CASE WHEN m <= 11 THEN make_date(y, m+1, 5) ELSE make_date(y+1, m-11, 5) END")
+        spread = m.select(day.alias("trade_date"), (F.col("high") / F.col("every")).alias("cn_spread_10y_2y"))
+        panel = join_date_series(self.model().withColumnRenamed("macro_yoy", "m2_yoy"), flow.select("trade_date", "northbound_net_inflow"))
+        return asof_series(panel, spread)
+
     @view
     def scored(self):
         """Composite score, rounded so that equal z-scores tie in every engine."""

@@ -169,9 +169,9 @@ def mod11b(d):
 
 @query("mod11_forest_intervals")
 def mod11c(d):
-    """Random forests as base and, shallower, as spread of monthly intervals: not SQL; held against Spark ML window by window in the tests."""
-    forest = Forest()
-    return run(d, base=forest, sigma=forest.shallower()).predictions
+    """Random forests as base and, shallower, as spread, on one frozen window: no SQL; the tests hold it against numpy and Spark ML."""
+    forest, plan = Forest(), frozen_plan(d.model(), "1998-12-31", "1999-01-01")
+    return run(d, base=forest, sigma=forest.shallower(), plan=plan).predictions
 
 
 v.V["v_fcov"] = f"SELECT *, CAST({v.LABEL} BETWEEN ci_lower AND ci_upper AS INT) AS hit FROM v_fconf WHERE {v.LABEL} IS NOT NULL"

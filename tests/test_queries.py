@@ -6,16 +6,13 @@ import __spark_entry__ as entry
 from checks import registry
 from checks.compare import compare, duck
 
-# minutes of work on their own; the comparison run covers them
-SLOW = {"exp05_scheme_comparison", "exp06_strategy_summary", "mod05_rolling_boosted_yearly", "exp07_construction_comparison"}
-
 
 @pytest.fixture(scope="module")
 def con(small):
     return duck(small)
 
 
-@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, small, con, name):
     got = entry.queries()[name](spark, small).toPandas()
     sql = entry.oracle_sql().get(name)
