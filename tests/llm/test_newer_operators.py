@@ -180,6 +180,7 @@ def rows(got):
 @pytest.mark.parametrize("block", [collocations.BLOCK, 2000])
 def test_collocations(spark, edge_dir, block, monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK", block)
+    monkeypatch.setattr(collocations, "ROUTE_WORDS", 5000)
     df = spark.read.parquet(f"{edge_dir}/documents.parquet")
     docs = df.select("lang", "text").toPandas()
     want = sorted(phrases(docs))
@@ -187,7 +188,9 @@ def test_collocations(spark, edge_dir, block, monkeypatch):
     assert rows(collocations.collocations(df)) == want
 
 
-def test_collocations_with_ties_and_hot_words(spark):
+@pytest.mark.parametrize("route_words", [collocations.ROUTE_WORDS, 60])
+def test_collocations_with_ties_and_hot_words(spark, route_words, monkeypatch):
+    monkeypatch.setattr(collocations, "ROUTE_WORDS", route_words)
     rng = np.random.default_rng(6)
     common = ["the"] * 60 + [f"w{i}" for i in range(40)]
     texts = [" ".join(rng.choice(common, 40)) + (". New York city, x" if i % 2 else "; é ß\x1c y") for i in range(80)]
