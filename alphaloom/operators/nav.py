@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions.columns import safe_ratio
 from alphaloom.operators.calendar import expand_index_ranges, trading_calendar
+from alphaloom.operators.staging import per_date
 from alphaloom.schemas import require_columns
 
 
@@ -32,7 +33,7 @@ def gross_returns(panel: DataFrame, positions: DataFrame, by: Sequence[str] = ()
     on (code, day); a missing return counts as 0."""
     by = list(by)
     days = holding_days(positions, trading_calendar(panel), by)
-    held = positions.select(*by, "rebalance_date", "ts_code", "weight").join(F.broadcast(days), [*by, "rebalance_date"])
+    held = positions.select(*by, "rebalance_date", "ts_code", "weight").join(per_date(days, by), [*by, "rebalance_date"])
     moves = panel.select("ts_code", "trade_date", "daily_return").where("daily_return IS NOT NULL")
     return (
         held.join(moves, ["ts_code", "trade_date"])

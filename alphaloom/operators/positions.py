@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.operators.calendar import period_ends
 from alphaloom.operators.joins import first_row
+from alphaloom.operators.staging import per_date
 
 MIN_WEIGHT = 1e-6
 
@@ -59,7 +60,7 @@ def turnover(positions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     seq = positions.select(*by, "rebalance_date").distinct()
     seq = seq.withColumn("_seq", F.row_number().over(W.partitionBy(*by).orderBy("rebalance_date")))
-    held = positions.select(*by, "rebalance_date", "ts_code", "weight").join(F.broadcast(seq), [*by, "rebalance_date"])
+    held = positions.select(*by, "rebalance_date", "ts_code", "weight").join(per_date(seq, by), [*by, "rebalance_date"])
     w = W.partitionBy(*by, "ts_code").orderBy("_seq")
     prev = F.when(F.lag("_seq").over(w) == F.col("_seq") - 1, F.lag("weight").over(w)).otherwise(0.0)
     leaves = F.coalesce(F.lead("_seq").over(w) != F.col("_seq") + 1, F.lit(True))
@@ -75,8 +76,8 @@ def turnover(positions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def with_turnover(positions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Attach each rebalance's turnover (one row per date and scenario, hence broadcast)."""
-    return positions.join(F.broadcast(turnover(positions, by)), [*by, "rebalance_date"])
+    """Attach each rebalance's turnover."""
+    return positions.join(per_date(turnover(positions, by), by), [*by, "rebalance_date"])
 
 
 def equal_weight_book(panel: DataFrame, n: int = 20, score: str = "score", period: str = "month", by: Sequence[str] = ()) -> DataFrame:
@@ -116,7 +117,7 @@ def prepare_snapshot(snapshot: DataFrame, score: str = "score", by: Sequence[str
         F.avg(score).alias("_m"),
         F.stddev_pop(score).alias("_s"),
     )
-    rows = rows.join(F.broadcast(stats), keys)
+    rows = rows.join(per_date(stats, by), keys)
     return rows.withColumns(
         {
             "benchmark_weight": F.when(F.col("_wb") > 0, F.col("benchmark_weight") / F.col("_wb")).otherwise(F.lit(1.0) / F.col("_n")),

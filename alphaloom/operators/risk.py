@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alphaloom.operators.staging import stage
+from alphaloom.operators.staging import per_date, stage
 
 YEAR = 252.0
 UNLIMITED = 10.0
@@ -192,7 +192,7 @@ def snapshot_turnover(weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     universe does not count. ``weights`` must hold every snapshot code, zeros included."""
     keys = [*by, "rebalance_date"]
     seq = weights.select(*keys).distinct().withColumn("_seq", F.row_number().over(W.partitionBy(*by).orderBy("rebalance_date")))
-    rows = weights.select(*keys, "ts_code", "weight").join(F.broadcast(seq), keys)
+    rows = weights.select(*keys, "ts_code", "weight").join(per_date(seq, by), keys)
     w = W.partitionBy(*by, "ts_code").orderBy("_seq")
     prev = F.when(F.lag("_seq").over(w) == F.col("_seq") - 1, F.lag("weight").over(w)).otherwise(0.0)
     rows = rows.withColumns({"_move": F.abs(F.col("weight") - prev), "_prev": prev})
@@ -253,6 +253,6 @@ def half_width_variance(snapshot: DataFrame, shrink: DataFrame, tau: float = 1.0
     med = F.when(F.col("_med") > 0, F.col("_med")).otherwise(1.0)
     rows = rows.withColumn("_v", F.pow(F.coalesce("ci_half_width", med), F.lit(2.0)))
     mean = rows.groupBy(*keys).agg(F.avg("_v").alias("_mean"))
-    rows = rows.join(F.broadcast(mean), keys).join(F.broadcast(shrink.select("rebalance_date", "mu")), "rebalance_date", "left")
+    rows = rows.join(per_date(mean, by), keys).join(F.broadcast(shrink.select("rebalance_date", "mu")), "rebalance_date", "left")
     scaled = F.when(F.col("_mean") > 0, tau * F.col("_v") / F.col("_mean") * (F.coalesce("mu", F.lit(0.0)) + ridge)).otherwise(0.0)
     return rows.withColumn("extra_variance", scaled).drop("_med", "_v", "_mean", "mu")

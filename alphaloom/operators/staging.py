@@ -7,7 +7,10 @@ optimizer its true size, so that small ones are broadcast and large ones are not
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from alphaloom.session import scratch_path
 
@@ -22,6 +25,12 @@ def stage(df: DataFrame) -> DataFrame:
     return table
 
 
+def per_date(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``table`` with a broadcast hint where it has at most one row per calendar date; scenario columns may multiply
+    that, so with them its size decides at run time."""
+    return table if list(by) else F.broadcast(table)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes the files of a table that ``stage`` wrote and that nothing reads any more."""
     context = table.sparkSession.sparkContext

@@ -12,8 +12,6 @@ from alphaloom.operators.cross_section import fill_median
 from alphaloom.operators.order_stats import keep_top, tie_key
 
 MISSING = 0.5
-# Fixed scheme names.
-SCHEMES = ("alpha_scale", "candidate_filter", "objective_penalty", "uncertainty_risk")
 
 
 def prepare_confidence(snapshot: DataFrame, by: Sequence[str] = ()) -> DataFrame:

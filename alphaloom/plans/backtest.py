@@ -12,7 +12,7 @@ from alphaloom.operators import risk, tilt
 from alphaloom.operators.metrics import performance_metrics
 from alphaloom.operators.nav import daily_nav, slice_nav
 from alphaloom.operators.positions import MIN_WEIGHT, equal_weight_book
-from alphaloom.operators.staging import stage
+from alphaloom.operators.staging import per_date, stage
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ def tilted_positions(
     rows = stage(rows.withColumn("weight", F.coalesce("weight", F.lit(0.0))))
     diag = risk.diagnostics(rows, windows, shrink, by, limits.covariance_ridge, extra)
     diag = diag.select(*keys, F.col("snapshot_turnover").alias("turnover"), "ex_ante_tracking_error", "max_industry_deviation")
-    out = rows.where(F.col("weight") > MIN_WEIGHT).join(F.broadcast(diag), keys).join(F.broadcast(status), keys)
+    out = rows.where(F.col("weight") > MIN_WEIGHT).join(per_date(diag, by), keys).join(per_date(status, by), keys)
     return out.select(
         *keys, "ts_code", "weight", "score", "benchmark_weight", "industry_name", "turnover", "ex_ante_tracking_error", "max_industry_deviation", "optimization_status"
     )

@@ -170,6 +170,48 @@ def compare_schemes(panel: DataFrame, pred: DataFrame, robust_score: Column | st
     return from_positions(panel, positions.unionByName(gated, allowMissingColumns=True), ["scheme"])
 
 
+def seed_schemes(
+    panel: DataFrame, features: Sequence[str], split_key, robust_score: str, seeds: Sequence[int] = SEEDS, limits: risk.Limits = risk.Limits(), **conformal
+) -> Backtest:
+    """Three schemes under several calibration seeds, labelled by ``seed`` and ``scheme``.
+
+    ``baseline`` tilts by the model score, ``uncertainty_risk`` adds the half widths to the
+    risk, ``trust_gated`` blends the baseline with the robust leg by each seed's realised
+    coverage. Seeds and schemes are scenario columns of one tilt and one path; the robust leg,
+    which no seed changes, is computed once. ``panel`` needs benchmark_weight and industry_name.
+    """
+    parts = [(s, conformal_predictions(panel, features, split_key=split_key(s), **conformal).predictions) for s in seeds]
+    preds = stage(union_labelled(parts, "seed"))
+    about = panel.select("trade_date", "ts_code", "industry_name", "benchmark_weight")
+    rows = preds.select("seed", "trade_date", "ts_code", "ml_score", "ci_half_width", "confidence").join(about, ["trade_date", "ts_code"])
+    rows = rows.withColumnRenamed("trade_date", "rebalance_date").withColumn("score", F.col("ml_score"))
+    base = stage(prepare_confidence(prepare_snapshot(rows, by=["seed"]), by=["seed"]))
+    codes = stage(base.select("rebalance_date", "ts_code").distinct())
+    shrink = risk.shrinkage(risk.return_windows(codes, panel, limits.covariance_window), codes, limits.covariance_window)
+    schemes = [("baseline", base.withColumn("extra_variance", F.lit(0.0))), ("uncertainty_risk", risk.half_width_variance(base, shrink, by=["seed"]))]
+    positions = stage(tilted_positions(stage(union_labelled(schemes, "scheme")), panel, limits, ["seed", "scheme"]))
+    robust = panel.withColumn("score", F.col(robust_score)).join(preds.select("trade_date").distinct(), "trade_date", "left_semi")
+    robust = robust.select(F.col("trade_date").alias("rebalance_date"), "ts_code", "industry_name", "benchmark_weight", "score")
+    leg = stage(tilted_positions(stage(prepare_snapshot(robust)), panel, limits))
+    gated = []
+    for s in seeds:
+        own = preds.where(F.col("seed") == s)
+        trust = stage(trust_gate(own, trading_calendar(panel), own.select("trade_date").distinct()))
+        gated.append((s, blend(positions.where((F.col("seed") == s) & (F.col("scheme") == "baseline")), leg, trust)))
+    gated = no_risk(union_labelled(gated, "seed")).withColumn("scheme", F.lit("trust_gated"))
+    return from_positions(panel, positions.unionByName(gated, allowMissingColumns=True), ["seed", "scheme"])
+
+
+def seed_scheme_table(metrics: DataFrame, metric: str = "information_ratio", baseline: str = "baseline") -> DataFrame:
+    """Mean, deviation, range of a metric over the seeds of each scheme, and in how many seeds it beats the baseline."""
+    base = metrics.where(F.col("scheme") == baseline).select("seed", F.col(metric).alias("_base"))
+    rows = metrics.select("seed", "scheme", metric).join(base, "seed")
+    return rows.groupBy("scheme").agg(
+        F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"), F.min(metric).alias("min"), F.max(metric).alias("max"),
+        F.count(F.lit(1)).alias("seeds"), F.sum((F.col(metric) > F.col("_base")).cast("long")).alias("wins"),
+    )
+
+
 def with_delta(table: DataFrame, label: str, baseline: str, metric: str = "information_ratio") -> DataFrame:
     """Add the difference of a metric to the baseline row's."""
     base = table.where(F.col(label) == baseline).agg(F.max(metric)).scalar()

@@ -103,6 +103,27 @@ def src04(d):
     return rounded(conform.constituents(raw_members(d)).select("ts_code", "stock_name", "weight"), ["weight"])
 
 
+WEIGHT_SQL = """SELECT {day} AS trade_date, '000300.SH' AS index_code, CASE WHEN ts_code % 2 = 0 THEN CAST(ts_code + 600000 AS VARCHAR) || '.SH' ELSE LPAD(CAST(ts_code AS VARCHAR), 6, '0') || '.SZ' END AS con_code,
+  ROUND(ts_code / 1e3, 6) AS weight FROM v_member WHERE month {cut}"""
+
+
+def raw_weights(d, months):
+    """Monthly members as an index-weight feed with bare codes, days and numbers as text."""
+    code = F.when(F.col("ts_code") % 2 == 0, (F.col("ts_code") + 600000).cast("string")).otherwise(F.lpad(F.col("ts_code").cast("string"), 6, "0"))
+    rows = d.membership().where(months)
+    return rows.select(F.date_format("month", "yyyyMMdd").alias("trade_date"), F.lit("000300").alias("index_code"), code.alias("con_code"), (F.col("ts_code") / F.lit(1e3)).cast("string").alias("weight"))
+
+
+@query("src04_index_weights", WEIGHT_SQL.format(day="month", cut="BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'"))
+def src04b(d):
+    return rounded(conform.index_weights(raw_weights(d, "month >= DATE '1995-01-01'"), "1996-01-01", "1997-12-31"), ["weight"])
+
+
+@query("src04_index_weights_of_one_day", WEIGHT_SQL.format(day="DATE '1998-06-30'", cut="= DATE '1996-03-01'"))
+def src04c(d):
+    return rounded(conform.index_weights(raw_weights(d, "month = DATE '1996-03-01'"), "1998-01-01", "1998-06-30"), ["weight"])
+
+
 @query("src05_conform_bars", BARS_SQL)
 def src05(d):
     return show_bars(conform.daily_bars(raw_bars(d)))

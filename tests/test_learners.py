@@ -12,9 +12,12 @@ from alphaloom.operators.conformal import calibrate, calibration_split, conforma
 from alphaloom.operators.learners import EPS, Boosted, Forest, LeastSquares, LinearModel, Target, assembled
 from alphaloom.operators.moments import least_squares, merged, moments, pairs, solved
 from alphaloom.operators.risk import Limits, active_variance
+from alphaloom.operators.positions import prepare_snapshot
 from alphaloom.operators.split import split_windows
+from alphaloom.operators.staging import stage
 from alphaloom.operators.training import LABEL, TrainingPlan, boosted_alpha, ols_variants, rolling_plan, training_rows
-from checks import fixtures
+from alphaloom.plans import backtest, studies
+from checks import fixtures, q_studies
 
 FEATURES = ["a", "b", "c"]
 
@@ -220,6 +223,21 @@ def test_path_is_the_walk_from_book_to_book(spark, rows_per_task):
     assert seen == len(got) and tilt.turnover_path(df.limit(0), by=["s"]).count() == 0
 
 
+def test_seeds_and_schemes_are_those_of_single_runs(spark, small):
+    """A seed's baseline book in the plan over seeds and schemes is the one that seed gives alone."""
+    d = fixtures.data(spark, small)
+    panel, run = q_studies.weighted(d), dict(train_months=12, min_train_rows=30, embargo=20)
+    got = studies.seed_schemes(panel, fixtures.FEATURES, fixtures.split_key, "score", (7, 42), q_studies.LIMITS, **run)
+    table = studies.seed_scheme_table(got.metrics).toPandas().set_index("scheme")
+    assert set(table.index) == {"baseline", "uncertainty_risk", "trust_gated"} and (table.seeds == 2).all() and table.wins["baseline"] == 0
+    pred = conformal_predictions(d.model(), fixtures.FEATURES, split_key=fixtures.split_key(42), **run).predictions
+    rows = pred.select("trade_date", "ts_code", "ml_score").join(panel.select("trade_date", "ts_code", "industry_name", "benchmark_weight"), ["trade_date", "ts_code"])
+    rows = rows.withColumnsRenamed({"trade_date": "rebalance_date", "ml_score": "score"})
+    alone = backtest.tilted_positions(stage(prepare_snapshot(rows)), panel, q_studies.LIMITS).toPandas().set_index(["rebalance_date", "ts_code"]).weight
+    mine = got.positions.where("seed = 42 AND scheme = 'baseline'").toPandas().set_index(["rebalance_date", "ts_code"]).weight
+    assert set(mine.index) == set(alone.index) and np.allclose(mine.sort_index(), alone.sort_index(), atol=1e-9)
+
+
 def test_external_series_are_joined_by_the_calendar(spark, small):
     d = fixtures.data(spark, small)
     rows = d.external().groupBy("trade_date").agg(*[F.countDistinct(c).alias(c) for c in ("m2_yoy", "northbound_net_inflow", "cn_spread_10y_2y")]).toPandas()
