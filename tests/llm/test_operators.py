@@ -188,12 +188,18 @@ def test_op6_follows_the_labels(spark, small):
 
 
 def test_op6_rules_for_different_faults_do_not_vote_each_other_down():
-    good, a, b = (0, 0, 1), (-1, 0, 0), (0, -1, 0)  # rules that look for one fault abstain on the others
-    post = quality_rules.fit([(good, 8000), (a, 700), (b, 300), ((0, 0, 0), 5)]).posterior
+    good, a, b = (0, 0, 0, 0, 1), (-1, -1, 0, 0, 0), (0, 0, -1, -1, 0)  # two rules for each of two faults; they abstain on the other
+    post = quality_rules.fit([(good, 8000), (a, 700), (b, 300), ((0, 0, 0, 0, 0), 5)]).posterior
     assert post[good] > 0.8 and post[a] < 0.5 and post[b] < 0.5
     assert quality_rules.fit([]).posterior == {}
 
 
+def test_op6_one_rule_alone_does_not_reject_where_good_texts_are_common():
+    """Nothing bears the first rule out, so its votes weigh no more than the share of good texts."""
+    post = quality_rules.fit([((0, 1), 8000), ((-1, 0), 300)]).posterior
+    assert post[(0, 1)] > 0.8 and post[(-1, 0)] > 0.5
+
+
 def test_op6_accuracies_decide_not_the_presence_of_a_bad_vote():
     """A rule that the others contradict is overruled, and its good votes do not save a text either."""
     rng = np.random.default_rng(7)
