@@ -140,14 +140,6 @@ def exp04c(d):
     return wins_over(runs, "information_ratio", "factor", "scheme")
 
 
-@query("exp04_schemes_over_seeds")
-def exp04e(d):
-    """Three schemes over five seeds on all features: no SQL; the tests hold seeds and schemes to the single runs."""
-    panel = weighted(d)
-    run = studies.seed_schemes(panel, FEATURES, split_key, "score", limits=LIMITS, train_months=TRAIN_MONTHS, min_train_rows=MIN_ROWS, embargo=EMBARGO)
-    return studies.seed_scheme_table(run.metrics)
-
-
 def weighted(d):
     return d.scored().withColumns({"benchmark_weight": F.col("amount"), "industry_name": F.coalesce("industry_name", F.lit("UNKNOWN"))})
 
