@@ -52,7 +52,7 @@ def asof_join(
     order = F.col(tie) if tie else F.lit(1)
     # a struct's order puts NULL first, so a row without ``tie`` loses to others but is never left out
     ranked = F.max(F.struct(order.alias("o"), F.struct(*values).alias("row")))
-    latest = right.groupBy(key, F.col(right_date).alias("_d")).agg(ranked.getField("row").alias("_r"))
+    latest = right.groupBy(key, F.col(right_date).alias("_d")).agg(ranked.getField("row").alias("_r")).repartition(key)
     if not left_unique:
         days = left.select(key, left_date).where(F.col(left_date).isNotNull()).distinct()
         return left.join(asof_join(days, right, key, left_date, right_date, tie), [key, left_date], "left")

@@ -52,7 +52,14 @@ def view(build):
     return once
 
 
-STAGED = {"daily", "labeled", "model", "external", "book", "nav", "conformal", "conformal_five", "prepared", "membership"}
+STAGED = {"trades", "labeled", "model", "external", "book", "nav", "conformal", "conformal_five", "prepared", "membership"}
+
+
+TRADED = (
+    (F.col("cents") / F.lit(100.0)).alias("amount"),
+    F.col("qty").cast("double").alias("vol"),
+    F.when(F.col("mx") % 17 != 0, F.col("qty") / (100 + F.col("ts_code") % 7)).alias("turnover_rate"),
+)
 
 
 class Data:
@@ -64,31 +71,25 @@ class Data:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @view
-    def daily(self):
+    def trades(self):
+        """Sums of a code and day, from which the columns of ``daily`` follow."""
         li = self.table("lineitem")
-        return (
-            li.groupBy(F.col("l_suppkey").alias("ts_code"), F.col("l_shipdate").cast("date").alias("trade_date"))
-            .agg(
-                F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"),
-                F.sum(F.col("l_quantity").cast("long")).alias("qty"),
-                F.max("l_orderkey").alias("mx"),
-            )
-            .select(
-                "ts_code",
-                "trade_date",
-                "cents",
-                "qty",
-                (F.col("cents") / F.lit(100.0)).alias("amount"),
-                F.col("qty").cast("double").alias("vol"),
-                F.when(F.col("mx") % 17 != 0, F.col("qty") / (100 + F.col("ts_code") % 7)).alias("turnover_rate"),
-            )
+        return li.groupBy(F.col("l_suppkey").alias("ts_code"), F.col("l_shipdate").cast("date").alias("trade_date")).agg(
+            F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"),
+            F.sum(F.col("l_quantity").cast("long")).alias("qty"),
+            F.max("l_orderkey").alias("mx"),
         )
 
+    @view
+    def daily(self):
+        return self.trades().select("ts_code", "trade_date", "cents", "qty", "mx", *TRADED)
+
     @view
     def bars(self):
         w = W.partitionBy("ts_code").orderBy("trade_date").rowsBetween(W.unboundedPreceding, 0)
         close = F.sum("cents").over(w) / F.lit(100.0) / F.sum("qty").over(w)
-        return self.daily().select("ts_code", "trade_date", "amount", "vol", "turnover_rate", close.alias("close"))
+        # what follows from a row is derived after the window, so that its shuffle moves the sums alone
+        return self.trades().withColumn("close", close).select("ts_code", "trade_date", *TRADED, "close")
 
     @view
     def industry(self):
