@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from alphaloom.operators.cross_section import composite_score
 from alphaloom.operators.training import ols_variants
 from alphaloom.plans import studies
 from checks import views as v
-from checks.fixtures import EMBARGO, FEATURES, MIN_ROWS, TRAIN_MONTHS, rounded
+from checks.fixtures import EMBARGO, FEATURES, MIN_ROWS, TRAIN_MONTHS, r, rounded
 from checks.q_five import embargoed, fitted, residuals, rows_sql, scored
 from checks.q_portfolio import LIMITS, tilt_sql
 from checks.q_studies import CORE, path_sql
@@ -101,7 +102,8 @@ SHOWN = ("information_ratio", "annual_excess_return", "max_drawdown", "tracking_
 
 @query("exp06_configuration_table", f"SELECT config, {v.rnd(*SHOWN, digits=4)} FROM v_cfgmet JOIN (SELECT config, ARG_MAX(portfolio_nav, trade_date) AS final_nav FROM v_cfgnav GROUP BY 1) USING (config)")
 def exp06(d):
-    panel = d.external().join(d.scored().select("ts_code", "trade_date", "score"), ["ts_code", "trade_date"])
+    # the external panel has the factors of the scored one, so its score needs no join of the two
+    panel = d.external().where("ts_code IS NOT NULL AND trade_date IS NOT NULL").withColumn("score", r(composite_score(FEATURES), 8))
     panel = panel.withColumns({"benchmark_weight": F.col("amount"), "industry_name": F.coalesce("industry_name", F.lit("UNKNOWN"))})
     scores = studies.configurations(panel, FEATURES, EXTERNAL, "score", TRAIN_MONTHS, MIN_ROWS, EMBARGO)
     return rounded(studies.configuration_table(panel, scores, d.labeled(), LIMITS), SHOWN, 4)

@@ -53,3 +53,27 @@ def test_as_of_join_moves_windowed_rows_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("Union")[0]
     assert sum(r.roe is not None for r in out.collect()) == 31
+
+
+def test_configuration_panel_needs_no_join_of_two_panels(spark, monkeypatch):
+    from alphaloom.plans import studies
+    from checks import q_configs
+    from checks.fixtures import FEATURES
+
+    rows = [(c, d, 1.0, f"i{c % 2}", *[float(c + i) for i in range(len(FEATURES))]) for c in (1, 2) for d in pd.date_range("2020-01-01", periods=2).date]
+    rows.append((None, rows[0][1], 1.0, None, *[9.0] * len(FEATURES)))
+    panel = spark.createDataFrame(rows, "ts_code long, trade_date date, amount double, industry_name string, " + ", ".join(f"{c} double" for c in FEATURES))
+
+    class Views:
+        def external(self):
+            return panel
+
+        def labeled(self):
+            return panel
+
+    seen = []
+    monkeypatch.setattr(studies, "configurations", lambda p, *a: seen.append(p))
+    monkeypatch.setattr(studies, "configuration_table", lambda p, *a: spark.createDataFrame([(0.0,) * 6], ", ".join(f"{c} double" for c in q_configs.SHOWN)))
+    q_configs.exp06(Views())
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.ts_code, r.score) for r in seen[0].collect()} == {(c, round(c + (0 - 1 + 2 + 3 + 4 - 2 * c) / 5, 8)) for c in (1, 2)}
