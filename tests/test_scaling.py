@@ -110,6 +110,6 @@ def test_codes_need_no_regex_a_branch(spark):
 
     texts = ["sh.600000", "sz.1", "600000", "1", "600000.SH", "sh.sz.7", "SH.600000", "", None, "sh", "1234567", "688001"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(security_code(zero_pad_code(F.col("t"))).alias("c"))
-    want = ["600000.SH", "000001.SZ", "600000.SH", "000001.SZ", "600000.SH", "00sz.7", "SH.600000", "000000.SZ", None, "0000sh", "1234567", "688001.SH"]
+    want = ["600000.SH", "000001.SZ", "600000.SH", "000001.SZ", "600000.SH", "00sz.7", "SH.600000", "000000.SZ", None, "0000sh.SZ", "1234567", "688001.SH"]
     assert [r.c for r in df.collect()] == want
     assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp") + df._jdf.queryExecution().optimizedPlan().toString().lower().count("rlike") <= 1
