@@ -16,8 +16,8 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 
-BLOCK_CHARS = 1_500_000  # characters handled at once; a longer text is a block of its own
-CACHE_ENTRIES = 1_000_000
+BLOCK_CHARS = 300_000  # characters handled at once; a longer text is a block of its own
+CACHE_ENTRIES = 50_000  # pre-tokens whose result a worker keeps, some 250 bytes each
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
 _U = np.uint64
 _POWER = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -69,7 +69,7 @@ class Vocabulary:
             self.classes[p] = joins.index(True) if any(joins) else SPACE
 
     def _weights(self, n: int) -> None:
-        if len(self.powers) < n:
+        if len(self.powers) < n or len(self.powers) > BLOCK_CHARS + 1 >= n:  # those of a long text go with the next block
             n = max(n, BLOCK_CHARS + 1)
             for name, factor in (("powers", _POWER), ("inverse", pow(_POWER, -1, 2**64))):
                 steps = np.full(n, factor, _U)

@@ -42,6 +42,7 @@ from alphaloom.llm.wordhash import Words, blocks, mix
 SHINGLE = 5
 THRESHOLD = 0.8
 BLOCK = 1024
+BYTES = 250_000  # of texts handled at once: signing and comparing take many times as much memory
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
@@ -117,7 +118,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         raw = [t.encode() for t in b["_t"]]
         ids = b["_id"].to_numpy()
-        for x, y in blocks([len(r) for r in raw], 1_000_000):
+        for x, y in blocks([len(r) for r in raw], BYTES):
             w = Words(raw[x:y])
             some = np.flatnonzero(np.diff(w.first) > 0)
             s = signatures(*shingles(w), y - x)[some]
@@ -133,7 +134,7 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         left, right = [t.encode() for t in b["ta"]], [t.encode() for t in b["tb"]]
         keep = np.zeros(len(b), bool)
-        for x, y in blocks([len(p) + len(q) for p, q in zip(left, right, strict=True)]):
+        for x, y in blocks([len(p) + len(q) for p, q in zip(left, right, strict=True)], BYTES):
             h, o = shingles(Words([*left[x:y], *right[x:y]]))
             u = _units(h, o)
             n = y - x

@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alphaloom.llm import bpe
-from alphaloom.operators.staging import stage
+from alphaloom.llm.storage import settle, small_table
 
 CAPACITY = 2048
 BUCKET_ROWS = 100_000
@@ -164,7 +165,7 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # at most ``capacity`` rows
     runs = sorted(plan(counts, capacity))
-    parts = spark.createDataFrame([(x, -(-n // BUCKET_ROWS)) for x, n in counts.items()], f"`{length}` BIGINT, _parts BIGINT")
+    parts = small_table(spark, {length: (pa.int64(), list(counts)), "_parts": (pa.int64(), [-(-n // BUCKET_ROWS) for n in counts.values()])})
     dealt = pieces.join(F.broadcast(parts), length).withColumn("_part", F.expr(f"pmod(xxhash64({', '.join(f'`{k}`' for k in keys)}), _parts)")).drop("_parts")
     before = dealt.groupBy(length, "_part").count().withColumn(
         "_before", F.coalesce(F.sum("count").over(Window.partitionBy(length).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -195,5 +196,5 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
-    pieces = stage(token_pieces(docs, doc_id, text, vocabulary, capacity))
+    pieces = settle(token_pieces(docs, doc_id, text, vocabulary, capacity))
     return pack(pieces, [doc_id, "piece", "start", "ids_crc32"], capacity=capacity)

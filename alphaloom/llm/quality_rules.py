@@ -17,9 +17,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alphaloom.llm.storage import small_table
 from alphaloom.operators.staging import stage
 
 SPACE = r"[\\x20\\x09-\\x0D]"
@@ -157,9 +159,9 @@ def quality_verdicts(docs: DataFrame, text: str = "text", threshold: float = 0.5
     rated = stage(votes(text_features(docs, text)))
     counted = rated.groupBy(*names).count().collect()
     fitted = fit([(tuple(r[c] for c in names), r["count"]) for r in counted])
-    rows = [(*v, p) for v, p in sorted(fitted.posterior.items())]
-    spark = docs.sparkSession
-    table = spark.createDataFrame(rows, ", ".join(f"{c} INT" for c in names) + ", quality_prob DOUBLE")
+    rows = sorted(fitted.posterior.items())
+    columns = {c: (pa.int32(), [v[j] for v, _ in rows]) for j, c in enumerate(names)}
+    table = small_table(docs.sparkSession, columns | {"quality_prob": (pa.float64(), [p for _, p in rows])})
     out = rated.join(F.broadcast(table), names, "left")
     out = out.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
     return out.withColumn("kept", F.expr(f"NOT base_failed AND quality_prob >= {threshold}"))
