@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
-
 from pyspark.sql import functions as F
 
 from alphaloom.llm import collocations, ns_clusters, simhash
