@@ -17,7 +17,8 @@ import numpy as np
 import pandas as pd
 
 BLOCK_CHARS = 300_000  # characters handled at once; a longer text is a block of its own
-CACHE_ENTRIES = 50_000  # pre-tokens whose result a worker keeps, some 250 bytes each
+CACHE_ENTRIES = 50_000  # pre-tokens whose ids a worker keeps, some 250 bytes each
+CACHE_COUNTS = 1_000_000  # pre-tokens whose number of tokens it keeps, some 100 bytes each, as merging takes long
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
 _U = np.uint64
 _POWER = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -174,7 +175,7 @@ class Vocabulary:
         """Tokens of each text without special strings in it."""
         number, codes, _, found, pieces = self._distinct(texts)
         cache = self.counts
-        if len(cache) > CACHE_ENTRIES:
+        if len(cache) > CACHE_COUNTS:
             cache.clear()
         sizes = np.empty(len(found), np.int64)
         for k, h in enumerate(found):
