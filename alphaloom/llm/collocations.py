@@ -6,7 +6,9 @@ Suffixes are routed by their leading word to as many routes as the corpus needs;
 of a word with more than an even route's share of all positions (so there are never more such
 words than routes) are routed by their first two words for the counts of pairs and by all
 three for the counts of triples. All suffixes that begin with a phrase thus meet in one route,
-as blocks of distinct suffixes with their counts, made before the shuffle.
+as blocks of distinct suffixes with their counts, made before the shuffle. A block is cut into at most
+``FAN`` routes at once; where there are more, blocks of one coarse route are joined into large ones and cut again, so that
+the number of cut blocks follows the corpus and not the corpus times the routes.
 
 In a route, suffix pointers are partitioned three ways around the pivot word of their partition at its
 depth. Pointers equal to the pivot go one word deeper, and the weight of that partition is
@@ -40,8 +42,11 @@ from alphaloom.operators.staging import discard
 LONGEST = 3
 LEAST = 10
 TOP = 2000
-BLOCK = 4_000_000  # bytes of text whose suffixes are counted before the shuffle
+BLOCK = 4_000_000  # bytes of text whose suffixes are counted before the shuffle; of all languages a task holds four times that
+JOINED = 500_000  # suffixes of blocks of one coarse route that are joined and cut again
+FAN = 512  # routes that a block is cut into at once
 ROUTE_WORDS, MOST_ROUTES = 400_000, 2**17
+_BLOCKS = ["route", "lang", "kind", "words", "codes", "counts"]
 WHOLE, PAIR, TRIPLE = 0, 1, 2  # what a routed block counts: phrases of two and three words, of two, of three
 _BREAKS, _SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 _PLAIN = bytes(32 if i in _BREAKS + _SPACES else i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -60,11 +65,24 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _by_language(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[bytes]]]:
+    """Blocks of texts of one language; texts of several batches share a block."""
+    held: dict[str, list[bytes]] = {}
+    size: dict[str, int] = {}
     for b in batches:
         for lang, g in b.groupby("lang", sort=False):
             raw = g["_t"].tolist()
             for x, y in blocks([len(t) for t in raw], BLOCK):
-                yield lang, raw[x:y]
+                more = sum(map(len, raw[x:y]))
+                if size.get(lang, 0) + more > BLOCK and lang in held:
+                    yield lang, held.pop(lang)
+                    size.pop(lang)
+                held.setdefault(lang, []).extend(raw[x:y])
+                size[lang] = size.get(lang, 0) + more
+                while sum(size.values()) > 4 * BLOCK:
+                    most = max(size, key=size.get)
+                    size.pop(most)
+                    yield most, held.pop(most)
+    yield from held.items()
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,30 +106,82 @@ def suffixes(codes: np.ndarray, piece: np.ndarray, words: int) -> tuple[np.ndarr
     return rows[at], n
 
 
-def _route(rows: np.ndarray, n: np.ndarray, found: np.ndarray, lang: str, hot: set[bytes], routes: int) -> Iterator[tuple]:
-    """Blocks (route, kind, distinct words, codes, counts) of sorted distinct suffixes."""
+def _hashes(found: np.ndarray, lang: str) -> np.ndarray:
+    """Hash of each code's word; code 0 is none."""
     seed = zlib.crc32(lang.encode())
-    hashes = np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in found)], _U)
+    return np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in found)], _U)
+
+
+def _routes(rows: np.ndarray, kind: int, hashes: np.ndarray, routes: int) -> np.ndarray:
+    """Route of each suffix, by its first word, its first two words or all three."""
+    h = hashes[rows[:, 0]]
+    for d in range(1, kind + 1):
+        h = mix(h * _U(31) + hashes[rows[:, d]])
+    return (h % _U(routes)).astype(np.int64)
+
+
+def _cut(rows: np.ndarray, n: np.ndarray, found: np.ndarray, route: np.ndarray) -> Iterator[tuple]:
+    """A block (route, distinct words, codes, counts) for each route."""
+    order = np.argsort(route, kind="stable")
+    rows, n, route = rows[order], n[order], route[order]
+    edges = np.append(np.flatnonzero(np.append(True, route[1:] != route[:-1])[: len(route)]), len(route))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        used, at = np.unique(np.append(0, rows[a:b]), return_inverse=True)
+        yield int(route[a]), b" ".join(found[used[1:] - 1]), at[1:].astype("<u4").tobytes(), n[a:b].astype("<u4").tobytes()
+
+
+def _route(rows: np.ndarray, n: np.ndarray, found: np.ndarray, lang: str, hot: set[bytes], routes: int, fan: int) -> Iterator[tuple]:
+    """Blocks (route modulo ``fan``, language, kind, distinct words, codes, counts) of sorted distinct suffixes."""
+    hashes = _hashes(found, lang)
     is_hot = np.array([False, *(w in hot for w in found)])
     busy = is_hot[rows[:, 0]]
     whole, whole_n, rows, n = rows[~busy], n[~busy], rows[busy], n[busy]
     first = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))[: len(rows)])  # of each pair
-    pairs = rows[first] * [1, 1, 0]
-    mixed = mix(hashes[rows[:, 0]] * _U(31) + hashes[rows[:, 1]])
     three = rows[:, 2] > 0
     parts = (
-        (WHOLE, whole, whole_n, hashes[whole[:, 0]]),
-        (PAIR, pairs, np.add.reduceat(n, first) if len(first) else n, mixed[first]),
-        (TRIPLE, rows[three], n[three], mix(mixed[three] * _U(31) + hashes[rows[three, 2]])),
+        (WHOLE, whole, whole_n),
+        (PAIR, rows[first] * [1, 1, 0], np.add.reduceat(n, first) if len(first) else n),
+        (TRIPLE, rows[three], n[three]),
     )
-    for kind, r, count, h in parts:
-        route = (h % _U(routes)).astype(np.int64)
-        order = np.argsort(route, kind="stable")
-        r, count, route = r[order], count[order], route[order]
-        edges = np.append(np.flatnonzero(np.append(True, route[1:] != route[:-1])[: len(route)]), len(route))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            used, at = np.unique(np.append(0, r[a:b]), return_inverse=True)
-            yield int(route[a]), lang, kind, b" ".join(found[used[1:] - 1]), at[1:].astype("<u4").tobytes(), count[a:b].astype("<u4").tobytes()
+    for kind, r, count in parts:
+        for route, *block in _cut(r, count, found, _routes(r, kind, hashes, routes) % fan):
+            yield route, lang, kind, *block
+
+
+def _joined(g: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of codes from 1 on, counts and distinct words of blocks (words, codes, counts) of one language and kind."""
+    lists = [w.split() for w, _, _ in g]
+    codes, found = pd.factorize(np.array([w for x in lists for w in x], object))
+    base = np.cumsum([0, *map(len, lists)])
+    local = [np.frombuffer(x, "<u4").astype(np.int64) for _, x, _ in g]
+    keys = np.concatenate([np.where(x > 0, np.append(-1, codes[o : o + len(w)])[x] + 1, 0) for x, o, w in zip(local, base.tolist(), lists)]).reshape(-1, LONGEST)
+    return keys, np.concatenate([np.frombuffer(x, "<u4") for _, _, x in g]).astype(np.int64), found
+
+
+def _recut(batches: Iterator[pd.DataFrame], routes: int, fan: int) -> Iterator[pd.DataFrame]:
+    """Blocks of routes from blocks of routes modulo ``fan``, which come sorted by route, language and kind and are joined before they are cut."""
+
+    def cut(key: tuple[int, str, int], held: list[tuple[bytes, bytes, bytes]]) -> pd.DataFrame:
+        _, lang, kind = key
+        rows, n, found = _joined(held)
+        order = np.lexsort(rows.T[::-1])
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
+        rows, n = rows[first], np.add.reduceat(n[order], first)
+        route = _routes(rows, kind, _hashes(found, lang), routes)
+        return pd.DataFrame([(r, lang, kind, *block) for r, *block in _cut(rows, n, found, route)], columns=_BLOCKS)
+
+    last, held, size, total = None, [], 0, 0
+    for b in batches:
+        for route, lang, kind, *block in b[_BLOCKS].itertuples(index=False, name=None):
+            more, weight = len(block[2]) // 4, int(np.frombuffer(block[2], "<u4").sum(dtype=np.int64))
+            if held and ((route, lang, kind) != last or size + more > JOINED or total + weight >= 2**32):
+                yield cut(last, held)
+                held, size, total = [], 0, 0
+            last, size, total = (route, lang, kind), size + more, total + weight
+            held.append(tuple(block))
+    if held:
+        yield cut(last, held)
 
 
 def frequent(keys: np.ndarray, weight: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,12 +225,7 @@ def _count_route(route: pd.DataFrame, least: int) -> pd.DataFrame:
     """Frequent phrases of the blocks of one route."""
     out = []
     for (lang, kind), g in route.groupby(["lang", "kind"], sort=False):
-        lists = [w.split() for w in g["words"]]
-        codes, found = pd.factorize(np.array([w for x in lists for w in x], object))
-        base = np.cumsum([0, *map(len, lists)])
-        local = [np.frombuffer(x, "<u4").astype(np.int64) for x in g["codes"]]
-        keys = np.concatenate([np.where(x > 0, np.append(-1, codes[o : o + len(w)])[x] + 1, 0) for x, o, w in zip(local, base.tolist(), lists)]).reshape(-1, LONGEST)
-        weight = np.concatenate([np.frombuffer(x, "<u4") for x in g["counts"]]).astype(np.int64)
+        keys, weight, found = _joined(list(g[["words", "codes", "counts"]].itertuples(index=False, name=None)))
         row, size, n = frequent(keys, weight, least)
         on = (size > 1) & ((kind == WHOLE) | (size == kind + 1))
         phrase = [b" ".join(found[k[:d] - 1]).decode() for k, d in zip(keys[row[on]], size[on].tolist())]
@@ -183,13 +248,19 @@ def phrase_counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, Data
         hot.setdefault(r["lang"], set()).add(r["phrase"].encode())
     sent = spark.sparkContext.broadcast(hot)
 
+    fan = min(FAN, routes)
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, raw in _by_language(batches):
             codes, piece, found = _words(raw)
             rows, n = suffixes(codes, piece, len(found))
-            yield pd.DataFrame(list(_route(rows, n, found, lang, sent.value.get(lang, set()), routes)), columns=["route", "lang", "kind", "words", "codes", "counts"])
+            yield pd.DataFrame(list(_route(rows, n, found, lang, sent.value.get(lang, set()), routes, fan)), columns=_BLOCKS)
 
-    cut = texts.mapInPandas(route, "route BIGINT, lang STRING, kind INT, words BINARY, codes BINARY, counts BINARY")
+    schema = "route BIGINT, lang STRING, kind INT, words BINARY, codes BINARY, counts BINARY"
+    cut = texts.mapInPandas(route, schema)
+    if routes > fan:
+        coarse = cut.hint("rebalance", "route").sortWithinPartitions("route", "lang", "kind")
+        cut = coarse.mapInPandas(lambda batches: _recut(batches, routes, fan), schema)
     phrases = cut.groupBy("route").applyInPandas(lambda g: _count_route(g, least), "lang STRING, phrase STRING, size INT, n BIGINT")
     return words, settle(phrases)
 

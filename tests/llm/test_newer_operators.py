@@ -202,6 +202,48 @@ def test_collocations_with_ties_and_hot_words(spark, route_words, monkeypatch):
     assert rows(collocations.collocations(df, top=25)) == sorted(phrases(docs, top=25))
 
 
+def test_collocations_are_cut_twice_where_there_are_many_routes(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "ROUTE_WORDS", 60)
+    monkeypatch.setattr(collocations, "FAN", 4)
+    rng = np.random.default_rng(16)
+    common = ["the"] * 60 + [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(common, 40)) + (". New York city, x" if i % 2 else "; é ß\x1c y") for i in range(120)] + ["", None]
+    docs = pd.DataFrame({"lang": [None if i % 9 == 0 else "en" for i in range(len(texts))], "text": texts})
+    df = spark.createDataFrame(list(docs.astype(object).itertuples(index=False, name=None)), "lang string, text string").repartition(7)
+    assert rows(collocations.collocations(df, top=40)) == sorted(phrases(docs, top=40))
+
+
+def test_blocks_of_collocations_do_not_grow_in_number_with_batches_or_routes(monkeypatch):
+    rng = np.random.default_rng(17)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 60)) for _ in range(300)]
+    langs = [("en", "de", "fr")[i % 3] for i in range(300)]
+    batches = [pd.DataFrame({"lang": langs[i : i + 10], "_t": [t.encode() for t in texts[i : i + 10]]}) for i in range(0, 300, 10)]
+    together = list(collocations._by_language(iter(batches)))
+    assert sorted(lang for lang, _ in together) == ["de", "en", "fr"]
+    assert sorted(t.decode() for _, x in together for t in x) == sorted(texts)
+
+    def cut(routes, fan):
+        out = []
+        for lang, raw in together:
+            codes, piece, found = collocations._words(raw)
+            out += collocations._route(*collocations.suffixes(codes, piece, len(found)), found, lang, {b"w1", b"w2"}, routes, fan)
+        return pd.DataFrame(out, columns=["route", "lang", "kind", "words", "codes", "counts"])
+
+    fine, coarse = cut(3000, 3000), cut(3000, 8)
+    assert len(coarse) <= 3 * 3 * 8 < len(fine)
+    assert (coarse["route"] < 8).all()
+    for joined in (collocations.JOINED, 500):
+        monkeypatch.setattr(collocations, "JOINED", joined)
+        sorted_ = coarse.sort_values(["route", "lang", "kind"])
+        again = pd.concat(collocations._recut(iter([sorted_[:20], sorted_[20:]]), 3000, 8))
+        count = lambda b: sorted(collocations._count_route(b, 3).itertuples(index=False, name=None))
+        assert set(again["route"]) == set(fine["route"])
+        assert all(count(again[again["route"] == r]) == count(fine[fine["route"] == r]) for r in list(set(fine["route"]))[:200])
+    monkeypatch.setattr(collocations, "BLOCK", 2000)
+    small = list(collocations._by_language(iter(batches)))
+    assert len(small) > 20 and all(sum(map(len, x)) <= 2000 for _, x in small) and sum(len(x) for _, x in small) == 300
+
+
 def test_frequent_prefixes_are_those_counted_one_by_one():
     rng = np.random.default_rng(8)
     keys = rng.zipf(1.6, (4000, 3)).clip(0, 50)
