@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alphaloom.llm.storage import settle
@@ -149,10 +149,19 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[keep, ["a", "b"]]
 
 
+def texts_of(own: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``own`` whose ``_id`` is in ``ids``, by a hash table of the ids: the texts stream past it and none is sorted or kept."""
+    return own.join(ids.distinct().hint("shuffle_hash"), "_id", "left_semi")
+
+
 def similar_pairs(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose texts are similar enough; ``own`` has ``_id`` and ``_t``."""
-    out = pairs.join(own.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b").join(own.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a")
-    return out.select("a", "b", "ta", "tb").mapInPandas(_similar, "a BIGINT, b BIGINT")
+
+    def side(c: str) -> DataFrame:
+        return texts_of(own, pairs.select(F.col(c).alias("_id"))).select(F.col("_id").alias(c), F.col("_t").alias(f"t{c}"))
+
+    out = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInPandas(_similar, "a BIGINT, b BIGINT")
+    return out.repartition("b")  # a task finds few links; by themselves they would be as many files as tasks
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,22 +255,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).filter("_id IS NOT NULL")
     signed = settle(own.mapInPandas(_sign, "_id BIGINT, copy BINARY, buckets ARRAY<BIGINT>"))
     texts = settle(signed.groupBy("copy").agg(F.min("_id").alias("_id"), F.first("buckets").alias("buckets")))
-    placed = texts.select("_id", F.explode("buckets").alias("bucket"))
-    least = placed.groupBy("bucket").agg(F.min("_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = settle(placed.join(least, "bucket"))  # buckets of two texts or more
-    first = shared.groupBy(F.col("_id").alias("b")).agg(F.min("a").alias("a")).filter("a != b").select("a", "b")
+    bucket = Window.partitionBy("bucket")
+    placed = texts.select(F.explode("buckets").alias("bucket"), "_id").withColumns({"a": F.min("_id").over(bucket), "n": F.count(F.lit(1)).over(bucket)})
+    shared = settle(placed.filter("n > 1"))  # buckets of two texts or more
+    first = settle(shared.groupBy(F.col("_id").alias("b")).agg(F.min("a").alias("a")).filter("a != b").select("a", "b"))
     roots = settle(_roots(settle(similar_pairs(first, own))))
 
     classed = shared.join(roots, F.col("_id") == F.col("node"), "left").select("bucket", "_id", "n", F.coalesce("root", "_id").alias("root"))
     parts = classed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    rest = classed.join(mixed.select("bucket", F.col("top.root").alias("main")), "bucket")
-    rest = rest.withColumn("blocks", F.expr(f"CAST(ceil(n / {BLOCK}) AS INT)")).withColumn("block", F.expr("CAST(pmod(xxhash64(_id), blocks) AS INT)"))
+    mixed = settle(classed.join(mixed.select("bucket", F.col("top.root").alias("main")), "bucket"))
+    rest = mixed.withColumn("blocks", F.expr(f"CAST(ceil(n / {BLOCK}) AS INT)")).withColumn("block", F.expr("CAST(pmod(xxhash64(_id), blocks) AS INT)"))
     rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "_id", "root", "main"
     )
-    rest = rest.join(own, "_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = settle(rest.mapInPandas(_search, "a BIGINT, b BIGINT"))
+    rest = rest.join(texts_of(own, mixed.select("_id")), "_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = settle(rest.mapInPandas(_search, "a BIGINT, b BIGINT").repartition("b"))
     # classes joined by these links: components over class roots
     over = more
     for side in ("a", "b"):

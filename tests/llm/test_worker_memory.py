@@ -5,10 +5,11 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 
-from alphaloom.llm import bpe, near_dedup, packing, quality_rules, wordhash
-from alphaloom.llm.storage import BATCH_ROWS, settle, small_table
+from alphaloom.llm import bpe, near_dedup, packing, quality_rules, storage, wordhash
+from alphaloom.llm.storage import BATCH_ROWS, VECTOR_ROWS, settle, small_table
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_VECTOR = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def texts(n, words=400, seed=5):
@@ -87,3 +88,32 @@ def test_tables_from_the_driver_start_no_python_workers(spark):
     for out in (quality_rules.quality_verdicts(docs), packing.pack_documents(docs)):
         assert out.count() == 20
         assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_settled_tables_are_read_in_small_vectors(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(storage, "stage", lambda df: seen.append(int(spark.conf.get(_VECTOR))))
+    before = spark.conf.get(_VECTOR)
+    settle(spark.range(1))
+    assert spark.conf.get(_VECTOR) == before
+    spark.conf.set(_VECTOR, "7")
+    try:
+        settle(spark.range(1))
+        assert spark.conf.get(_VECTOR) == "7"
+    finally:
+        spark.conf.set(_VECTOR, before)
+    assert seen == [VECTOR_ROWS, 7] and VECTOR_ROWS < int(before)
+
+
+def test_texts_that_no_pair_needs_are_not_sorted(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(i // 2, i // 2 + 40))) for i in range(400)]  # ids 2k and 2k + 1 are copies
+    rows += [(10, "another text of that id"), (11, rows[10][1])]
+    own = spark.createDataFrame(rows, "_id long, _t string")
+    pairs = spark.createDataFrame([(10, 11), (20, 21), (20, 300), (30, 31), (30, 999)], "a long, b long")
+    links = near_dedup.similar_pairs(pairs, own)
+    assert sorted(tuple(r) for r in links.collect()) == [(10, 11), (10, 11), (20, 21), (30, 31)]
+    plan = links._jdf.queryExecution().sparkPlan().toString()  # before exchanges and sorts are put in
+    assert plan.count("ShuffledHashJoin [_id") == 2 and plan.count("LeftSemi, BuildRight") == 2
+    alone = near_dedup.texts_of(own, pairs.selectExpr("a AS _id"))
+    assert sorted(r[0] for r in alone.collect()) == [10, 10, 20, 30]
+    assert "Sort [" not in alone._jdf.queryExecution().executedPlan().toString()
