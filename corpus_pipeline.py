@@ -40,7 +40,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of every near-duplicate class; of equal rows of one id and text, one stays; rows without id all stay."""
     classes = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    first = classes.filter("doc_id = class_id").select("doc_id").distinct()
+    first = classes.filter("doc_id = class_id").select("doc_id").distinct().hint("shuffle_hash")  # else whole rows are sorted for the join
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 

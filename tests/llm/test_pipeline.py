@@ -93,3 +93,11 @@ def test_stages_and_run(spark, folder):
                 assert s.offset.tolist() == [0, *s.length.cumsum()[:-1]] and s.length.sum() <= 2048
     whole = corpus_pipeline.run(spark, folder).toPandas()
     assert table(whole, "doc_id", "piece", "start", "length", "ids_crc32") == table(after, "doc_id", "piece", "start", "length", "ids_crc32")
+
+
+def test_near_dedup_stage_joins_rows_by_a_hash_table_of_ids(spark):
+    rows = [(i, f"text number {i // 2} of the table", "s") for i in range(20)] + [(4, "text number 2 of the table", "s"), (None, "a", "s"), (None, "a", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in out.collect()) == [(False, 0)] * 2 + [(True, i) for i in range(0, 20, 2)]
+    assert "ShuffledHashJoin [doc_id" in out._jdf.queryExecution().sparkPlan().toString()
