@@ -82,8 +82,22 @@ def _bin(value: Column, ends: tuple[float, float] | None) -> Column:
     """Number of the value's range: -1 below the ranges, ``BINS`` above them; NULL for NULL."""
     if ends is None:
         return F.when(value.isNotNull(), F.lit(0))
-    at = F.greatest(F.least(F.floor((value - F.lit(ends[0])) / F.lit(ends[1] - ends[0]) * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
-    return F.when(value < ends[0], -1).when(value >= ends[1], BINS).when(value.isNotNull(), at)
+    return _bin_between(value, F.lit(ends[0]), F.lit(ends[1]), F.lit(ends[1] - ends[0]))
+
+
+def _bin_between(value: Column, low: Column, high: Column, width: Column) -> Column:
+    at = F.greatest(F.least(F.floor((value - low) / width * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
+    return F.when(value < low, -1).when(value >= high, BINS).when(value.isNotNull(), at)
+
+
+def _bin_of(value: Column, number: Column, ends: list[tuple[float, float] | None]) -> Column:
+    """:func:`_bin` of the statistic ``number``. One expression for all statistics: with one each, the code that Spark
+    generates for many of them is too long for the JVM to compile."""
+    if not any(ends):
+        return _bin(value, None)
+    low, high, width = (F.array(*[F.lit(x).cast("double") for x in xs])[number] for xs in zip(*[(e[0], e[1], e[1] - e[0]) if e else (None, None, None) for e in ends]))
+    found = _bin_between(value, low, high, width)
+    return found if all(ends) else F.when(low.isNull(), _bin(value, None)).otherwise(found)
 
 
 def _edge(number: Column, ends: tuple[float, float] | None, outside: float) -> Column:
@@ -97,9 +111,10 @@ def _brackets(rows: DataFrame, keys: list[str], stats: list[OrderStat], ends: li
     """One row per group: count, the two ranks, the first and last range of the bracket and its ends, of every statistic ``i``."""
     span = range(len(stats))
     ranked = any(s.rank_column for s in stats)
-    given = [(F.col(f"__k{i}") if stats[i].rank_column else F.lit(None)).cast("long").alias("__k") for i in span]
-    entry = [F.struct(F.lit(i).alias("__s"), _bin(F.col(f"__v{i}"), ends[i]).alias("__bin"), *([given[i]] if ranked else [])) for i in span]
-    counts = rows.select(*keys, F.inline(F.array(*entry))).groupBy(*keys, "__s", "__bin")
+    given = [(F.col(f"__k{i}") if stats[i].rank_column else F.lit(None)).cast("long") for i in span]
+    entries = rows.select(*keys, *([F.array(*given).alias("__ks")] if ranked else []), F.posexplode(F.array(*[f"__v{i}" for i in span])).alias("__s", "__v"))
+    entries = entries.select(*keys, "__s", _bin_of(F.col("__v"), F.col("__s"), ends).alias("__bin"), *([F.col("__ks")[F.col("__s")].alias("__k")] if ranked else []))
+    counts = entries.groupBy(*keys, "__s", "__bin")
     counts = counts.agg(F.count(F.lit(1)).alias("__c"), (F.max("__k") if ranked else F.lit(None).cast("long")).alias("__k"))
     counts = counts.withColumn("__c", F.when(F.col("__bin").isNull(), 0).otherwise(F.col("__c")))
     group = W.partitionBy(*keys, "__s")
@@ -142,27 +157,21 @@ def grouped_order_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str,
     ends = _ends(rows, len(names))
     bracket = stage(_brackets(rows, keys, [stats[n] for n in names], ends))
 
-    at = [_bin(F.col(f"__v{i}"), ends[i]) for i in span]
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("s"),
-                F.col(f"__r{i}").alias("r1"),
-                F.col(f"__s{i}").alias("r2"),
-                F.when(at[i] >= F.col(f"__first{i}"), F.col(f"__v{i}")).alias("v"),
-                F.when(at[i] < F.col(f"__first{i}"), -1).otherwise(_part(F.col(f"__v{i}"), F.col(f"__lo{i}"), F.col(f"__hi{i}"))).alias("bin"),
-                (at[i] <= F.col(f"__last{i}")).alias("inside"),
-            )
-            for i in span
-        ]
-    )
+    places = ("r1", "r2", "first", "last", "lo", "hi")
+    sources = [dict(zip(places, (f"__r{i}", f"__s{i}", f"__first{i}", f"__last{i}", f"__lo{i}", f"__hi{i}"))) for i in span]
+    packed = bracket.select(*keys, F.array(*[F.struct(*[F.col(c).alias(k) for k, c in source.items()]) for source in sources]).alias("__b"))
+    entries = rows.select(*keys, F.array(*[f"__v{i}" for i in span]).alias("__vs")).join(packed, keys)
+    entries = entries.select(*keys, "__b", F.posexplode("__vs").alias("s", "v"))
+    entries = entries.select(*keys, "s", "v", _bin_of(F.col("v"), F.col("s"), ends).alias("at"), F.col("__b")[F.col("s")].alias("b"))
     counted = (
-        rows.join(bracket, keys)
-        .select(*keys, F.inline(entries))
-        .filter("inside")
+        entries.filter(F.col("at") <= F.col("b.last"))
+        .select(
+            *keys, "s", F.when(F.col("at") >= F.col("b.first"), F.col("v")).alias("v"), F.col("b.r1").alias("r1"), F.col("b.r2").alias("r2"),
+            F.when(F.col("at") < F.col("b.first"), -1).otherwise(_part(F.col("v"), F.col("b.lo"), F.col("b.hi"))).alias("bin"),
+        )
         .groupBy(*keys, "s", "bin", "v")
         .agg(F.count(F.lit(1)).alias("c"), F.max("r1").alias("r1"), F.max("r2").alias("r2"))
-    )
+    )
     ranges = counted.groupBy(*keys, "s", "bin").agg(F.sum("c").alias("c"), F.max("r1").alias("r1"), F.max("r2").alias("r2"))
     order = W.partitionBy(*keys, "s").orderBy("bin")
     ranges = ranges.withColumn("before", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c"))

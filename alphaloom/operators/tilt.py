@@ -12,7 +12,8 @@ Only dates whose base itself breaks a limit fall back to the last book or the be
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alphaloom.operators.staging import stage
+from alphaloom.operators.staging import remove, stage
 from alphaloom.operators.risk import YEAR, Limits, day_moments, shrunk_variance
+from alphaloom.session import scratch_path
 
 STRENGTHS = (0.25, 0.5, 1.0, 2.0)
 
@@ -192,8 +194,8 @@ def turnover_path(targets: DataFrame, limits: Limits = Limits(), by: Sequence[st
     The step of a date depends on all earlier ones, so dates are taken in order, but in one Spark
     job: targets are laid out as one short array per (scenario, code) and dealt over the tasks of
     a barrier stage, where each task carries the books of its codes forward and the tasks add up
-    four sums per scenario at every date. A lost executor makes the stage start again from the
-    stored arrays. ``max_turnover`` gives limits per scenario: by its value, or by the tuple of the values of ``by``.
+    four sums per scenario at every date, through small files beside the staged tables. A lost
+    executor makes the stage start again from the stored arrays. ``max_turnover`` gives limits per scenario: by its value, or by the tuple of the values of ``by``.
     """
     by = list(by) or ["_all"]
     plain = by == ["_all"]
@@ -222,12 +224,70 @@ def turnover_path(targets: DataFrame, limits: Limits = Limits(), by: Sequence[st
     tasks = max(1, min(slots_there, -(-laid.count() // rows_per_task)))
     kept = [*by, "ts_code"]
     schema = ", ".join(f"`{c}` {laid.schema[c].dataType.simpleString()}" for c in kept) + ", _i INT, weight DOUBLE"
-    walked = laid.repartition(tasks, "_s", "ts_code").mapInArrow(_walk(kept, caps, trades), schema, barrier=True)
+    folder = scratch_path(laid.sparkSession, "sums")
+    walked = laid.repartition(tasks, "_s", "ts_code").mapInArrow(_walk(kept, caps, trades, folder), schema, barrier=True)
     day = F.element_at(F.array(*[F.lit(d) for d in dates]), F.col("_i") + 1)
-    return stage(walked.select(*([] if plain else by), day.alias("rebalance_date"), "ts_code", "weight"))
+    path = stage(walked.select(*([] if plain else by), day.alias("rebalance_date"), "ts_code", "weight"))
+    remove(laid.sparkSession, folder)
+    return path
 
 
-def _walk(kept: list[str], caps: list[float], trades: list[list[bool]]):
+def _exchange(context, folder: str) -> Callable[[int, str], list[str]]:
+    """A function of (round, text) that gives the texts of all tasks of a barrier stage, in the order of its tasks.
+
+    Spark's ``allGather`` looks for its answer once a second, whatever it carries, so the tasks leave files for
+    each other in ``folder``. Files are named by the attempt that wrote them, so that those of a stage that has to
+    start again are not read. Where some task cannot see the files of all others, ``allGather`` carries the texts.
+    """
+    from pyarrow import fs
+
+    if len(context.getTaskInfos()) == 1:
+        return lambda i, text: [text]
+    own = context.taskAttemptId()
+    try:
+        system, inner = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    except Exception:
+        system, inner = None, folder
+
+    def leave(name: str, text: str) -> None:
+        with system.open_output_stream(f"{inner}/_{name}") as f:
+            f.write(text.encode())
+        system.move(f"{inner}/_{name}", f"{inner}/{name}")  # a file has its name only when it is whole
+
+    def there(name: str) -> bool:
+        return system.get_file_info(f"{inner}/{name}").type == fs.FileType.File
+
+    def read(name: str) -> str:
+        began = time.monotonic()
+        while not there(name):
+            time.sleep(min(0.1, 0.001 + (time.monotonic() - began) / 10))
+        with system.open_input_stream(f"{inner}/{name}") as f:
+            return f.read().decode()
+
+    def seen(names: list[str]) -> bool:
+        try:
+            return all(there(n) for n in names)
+        except Exception:
+            return False
+
+    try:
+        system.create_dir(inner, recursive=True)
+        leave(f"task-{own}", "")
+    except Exception:
+        pass  # the others miss the file
+    tasks = context.allGather(str(own))
+    shared = system is not None and seen([f"task-{x}" for x in tasks])
+    if not all(json.loads(x) for x in context.allGather(json.dumps(shared))):
+        return lambda i, text: context.allGather(text)
+
+    def swap(i: int, text: str) -> list[str]:
+        leave(f"{i}-{own}", text)
+        return [read(f"{i}-{x}") for x in tasks]
+
+    return swap
+
+
+def _walk(kept: list[str], caps: list[float], trades: list[list[bool]], folder: str):
     """Books of a task's codes, date after date; the tasks of the stage add up their sums at each date."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,12 +301,13 @@ def _walk(kept: list[str], caps: list[float], trades: list[list[bool]]):
         add = lambda x: np.bincount(scenario, x, minlength=scenarios)
         book, held = np.zeros(len(scenario)), np.zeros(scenarios)
         found: list[tuple[np.ndarray, int, np.ndarray]] = []
+        swap = _exchange(context, folder)
         for i in range(days):
             goal, here = np.nan_to_num(target[:, i]), ~np.isnan(target[:, i])
             stays = ~np.isnan(target[:, i + 1]) if i + 1 < days else np.zeros(len(scenario), bool)
             old = book / np.where(held > 0, held, 1.0)[scenario]
             own = [add(np.abs(goal - old) * here) / 2, add(book * (stays & here)), add(goal * stays), add(book * stays)]
-            every = context.allGather(json.dumps([x.tolist() for x in own]))
+            every = swap(i, json.dumps([x.tolist() for x in own]))
             move, old_stays, goal_stays, all_stays = np.sum([json.loads(x) for x in every], axis=0)
             trading = np.array([t[i] for t in trades])
             free = (held <= 0) | (move <= caps)

@@ -113,3 +113,49 @@ def test_codes_need_no_regex_a_branch(spark):
     want = ["600000.SH", "000001.SZ", "600000.SH", "000001.SZ", "600000.SH", "00sz.7", "SH.600000", "000000.SZ", None, "0000sh.SZ", "1234567", "688001.SH"]
     assert [r.c for r in df.collect()] == want
     assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp") + df._jdf.queryExecution().optimizedPlan().toString().lower().count("rlike") <= 1
+
+
+def test_order_statistics_of_many_columns_are_code_that_the_jvm_compiles(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(order_stats, "stage", lambda df: seen.append(df) or df)
+    rows = spark.range(100).select((F.col("id") % 4).alias("k"), *[(F.col("id") * i % 17).cast("double").alias(f"v{i}") for i in range(1, 9)])
+    monkeypatch.setattr(order_stats, "BRACKET_FROM", 10)
+    out = order_stats.grouped_order_stats(rows, ["k"], {f"m{i}": order_stats.median(F.col(f"v{i}")) for i in range(1, 9)})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # the range of a value was written out once a statistic in each place that needs it
+    assert plan.count("FLOOR(") + plan.count("floor(") < 40
+    want = rows.toPandas().groupby("k").median()
+    got = out.toPandas().set_index("k").sort_index()
+    assert all(np.allclose(got[f"m{i}"], want[f"v{i}"]) for i in range(1, 9))
+
+
+def test_a_path_of_several_tasks_takes_no_second_a_date(spark):
+    import time
+
+    from alphaloom.operators.tilt import turnover_path
+
+    days = pd.date_range("2021-01-01", periods=60).date
+    rows = [(d, c, 1.0 / 12) for k, d in enumerate(days) for c in range(k % 3, 12 + k % 3)]
+    targets = spark.createDataFrame(rows, "rebalance_date date, ts_code long, weight double")
+    turnover_path(targets.where(F.col("rebalance_date") <= days[1]), rows_per_task=5).count()
+    began = time.monotonic()
+    path = turnover_path(targets, rows_per_task=5).toPandas()
+    assert time.monotonic() - began < 30  # 60 rounds of allGather take 60 s
+    sums = path.groupby("rebalance_date").weight.sum()
+    assert len(sums) == 60 and np.allclose(sums, 1.0)
+
+
+def test_tasks_that_share_no_folder_still_meet(spark):
+    from pyspark import BarrierTaskContext
+
+    from alphaloom.operators.tilt import _exchange
+
+    def run(batches):
+        context = BarrierTaskContext.get()
+        swap = _exchange(context, f"/proc/none/{context.partitionId()}")
+        texts = [",".join(swap(i, f"{context.partitionId()}.{i}")) for i in range(2)]
+        for b in batches:
+            yield pd.DataFrame({"t": [";".join(texts)] * min(1, len(b))})
+
+    got = spark.range(0, 30, 1, 3).mapInPandas(run, "t string", barrier=True).collect()
+    assert {r.t for r in got} == {"0.0,1.0,2.0;0.1,1.1,2.1"}
