@@ -7,7 +7,7 @@ each statistic is found the same way, in passes with map-side combining:
 1. per statistic, ``BINS`` ranges of equal width between two outer quantiles of all rows, and
    one range on either side; per group and range, a row count. The running counts show which
    ranges hold the wanted ranks: the group's *bracket*;
-2. rows below the bracket collapse to one counter, rows above it are dropped, and rows
+2. rows outside the bracket are dropped (those below it have been counted), and rows
    inside it collapse to (value, count) pairs in ``PARTS`` parts of the bracket;
 3. the parts' counts show which part holds the rank, and the running count inside that
    part alone gives the value.
@@ -108,7 +108,7 @@ def _edge(number: Column, ends: tuple[float, float] | None, outside: float) -> C
 
 
 def _brackets(rows: DataFrame, keys: list[str], stats: list[OrderStat], ends: list[tuple[float, float] | None]) -> DataFrame:
-    """One row per group: count, the two ranks, the first and last range of the bracket and its ends, of every statistic ``i``."""
+    """One row per group: count, the two ranks, the first and last range of the bracket, its ends and the rows below it, of every statistic ``i``."""
     span = range(len(stats))
     ranked = any(s.rank_column for s in stats)
     given = [(F.col(f"__k{i}") if stats[i].rank_column else F.lit(None)).cast("long") for i in span]
@@ -128,6 +128,7 @@ def _brackets(rows: DataFrame, keys: list[str], stats: list[OrderStat], ends: li
         own = F.col("__s") == i
         out += [F.max(F.when(own, F.col(c))).alias(f"__{a}{i}") for c, a in (("__n", "n"), ("__r1", "r"), ("__r2", "s"))]
         out += [F.max(F.when(own & h, F.col("__bin"))).alias(f"__{a}{i}") for h, a in zip(holds, ("first", "last"))]
+        out.append(F.coalesce(F.max(F.when(own & holds[0], F.col("__upto") - F.col("__c"))), F.lit(0)).alias(f"__below{i}"))
     found = counts.groupBy(*keys).agg(*out)
     # a rank beyond the group leaves the bracket open above
     found = found.withColumns({f"__last{i}": F.coalesce(f"__last{i}", F.lit(BINS)) for i in span})
@@ -157,24 +158,21 @@ def grouped_order_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str,
     ends = _ends(rows, len(names))
     bracket = stage(_brackets(rows, keys, [stats[n] for n in names], ends))
 
-    places = ("r1", "r2", "first", "last", "lo", "hi")
-    sources = [dict(zip(places, (f"__r{i}", f"__s{i}", f"__first{i}", f"__last{i}", f"__lo{i}", f"__hi{i}"))) for i in span]
+    places = {"r1": "r", "r2": "s", "first": "first", "last": "last", "lo": "lo", "hi": "hi", "below": "below"}
+    sources = [{k: f"__{c}{i}" for k, c in places.items()} for i in span]
     packed = bracket.select(*keys, F.array(*[F.struct(*[F.col(c).alias(k) for k, c in source.items()]) for source in sources]).alias("__b"))
     entries = rows.select(*keys, F.array(*[f"__v{i}" for i in span]).alias("__vs")).join(packed, keys)
     entries = entries.select(*keys, "__b", F.posexplode("__vs").alias("s", "v"))
     entries = entries.select(*keys, "s", "v", _bin_of(F.col("v"), F.col("s"), ends).alias("at"), F.col("__b")[F.col("s")].alias("b"))
     counted = (
-        entries.filter(F.col("at") <= F.col("b.last"))
-        .select(
-            *keys, "s", F.when(F.col("at") >= F.col("b.first"), F.col("v")).alias("v"), F.col("b.r1").alias("r1"), F.col("b.r2").alias("r2"),
-            F.when(F.col("at") < F.col("b.first"), -1).otherwise(_part(F.col("v"), F.col("b.lo"), F.col("b.hi"))).alias("bin"),
-        )
+        entries.filter(F.col("at").between(F.col("b.first"), F.col("b.last")))
+        .select(*keys, "s", "v", *[F.col(f"b.{x}").alias(x) for x in ("r1", "r2", "below")], _part(F.col("v"), F.col("b.lo"), F.col("b.hi")).alias("bin"))
         .groupBy(*keys, "s", "bin", "v")
-        .agg(F.count(F.lit(1)).alias("c"), F.max("r1").alias("r1"), F.max("r2").alias("r2"))
-    )
-    ranges = counted.groupBy(*keys, "s", "bin").agg(F.sum("c").alias("c"), F.max("r1").alias("r1"), F.max("r2").alias("r2"))
+        .agg(F.count(F.lit(1)).alias("c"), *[F.max(x).alias(x) for x in ("r1", "r2", "below")])
+    )
+    ranges = counted.groupBy(*keys, "s", "bin").agg(F.sum("c").alias("c"), *[F.max(x).alias(x) for x in ("r1", "r2", "below")])
     order = W.partitionBy(*keys, "s").orderBy("bin")
-    ranges = ranges.withColumn("before", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c"))
+    ranges = ranges.withColumn("before", F.col("below") + F.sum("c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c"))
     holds = [(F.col("before") < F.col(x)) & (F.col("before") + F.col("c") >= F.col(x)) for x in ("r1", "r2")]
     ranges = ranges.filter(holds[0] | holds[1]).select(*keys, "s", "bin", "before")
     order = W.partitionBy(*keys, "s", "bin").orderBy("v")

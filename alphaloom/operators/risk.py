@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,11 +79,22 @@ def aligned_windows(windows: DataFrame, snapshot: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.coalesce("x", F.lit(0.0)))
 
 
-def _gram(group: pd.DataFrame) -> pd.DataFrame:
-    """Upper triangle of the Gram matrix (day by day) of one salt's centred series."""
-    x = np.stack(group["x"].to_numpy())
-    gram = x.T @ x
-    return pd.DataFrame({"rebalance_date": [group["rebalance_date"].iloc[0]], "g": [gram[np.triu_indices(len(gram))]]})
+def _gram(window: int):
+    def gram(group: pa.Table) -> pa.Table:
+        """Upper triangle of the Gram matrix (day by day) of one salt's centred series; days without a return are zeros."""
+        t, r = group["t"].combine_chunks(), group["r"].combine_chunks()
+        at = np.repeat(np.arange(len(t)), np.diff(t.offsets.to_numpy())), t.flatten().to_numpy() - 1
+        x, taken = np.zeros((len(t), window)), np.zeros((len(t), window), bool)
+        x[at], taken[at] = r.flatten().fill_null(0.0).to_numpy(), True
+        if taken.sum() < len(at[0]):
+            raise ValueError("a code has several returns on one day")
+        days = group["n_days"][0].as_py()
+        # a window shorter than ``window`` days is filled up with zeros, which add nothing
+        x[:, :days] -= x.sum(axis=1, keepdims=True) / days
+        upper = (x.T @ x)[np.triu_indices(window)]
+        return pa.table({"rebalance_date": group["rebalance_date"][:1], "g": pa.array([upper], pa.list_(pa.float64()))})
+
+    return gram
 
 
 def _gram_sums(width: int):
@@ -105,15 +117,9 @@ def shrinkage(windows: DataFrame, snapshot: DataFrame, window: int = 60) -> Data
     rebalance are left to be added, whatever the number of codes and tasks. Codes without any return count in ``p`` with zeros.
     """
     salted = windows.withColumn("_salt", F.pmod(F.xxhash64("ts_code"), F.lit(SALTS))).repartition("rebalance_date", "_salt")
-    series = salted.groupBy("rebalance_date", "_salt", "ts_code", "n_days").agg(F.map_from_entries(F.collect_list(F.struct("t", "x"))).alias("_m"))
-    day = F.sequence(F.lit(1), F.lit(window))
-    days = F.col("n_days").cast("int")
-    series = series.withColumn("_x", F.transform(day, lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(0.0))))
-    mean = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v) / days
-    series = series.withColumn("_mean", mean)
-    # a window shorter than ``window`` days is filled up with zeros, which add nothing
-    series = series.select("rebalance_date", "_salt", F.transform("_x", lambda v, i: F.when(i < days, v - F.col("_mean")).otherwise(0.0)).alias("x"))
-    parts = series.groupBy("rebalance_date", "_salt").applyInPandas(_gram, "rebalance_date date, g array<double>")
+    series = salted.groupBy("rebalance_date", "_salt", "ts_code", "n_days").agg(F.collect_list(F.struct("t", F.coalesce("x", F.lit(0.0)).alias("x"))).alias("_m"))
+    series = series.select("rebalance_date", "_salt", "n_days", F.col("_m.t").alias("t"), F.col("_m.x").alias("r"))
+    parts = series.groupBy("rebalance_date", "_salt").applyInArrow(_gram(window), "rebalance_date date, g array<double>")
     sums = parts.groupBy("rebalance_date").applyInPandas(_gram_sums(window), "rebalance_date date, _sq double, _tr double, _d4 double")
     size = snapshot.select("rebalance_date", "ts_code").distinct().groupBy("rebalance_date").agg(F.count(F.lit(1)).alias("p"))
     t = windows.groupBy("rebalance_date").agg(F.max("n_days").alias("n_days"))

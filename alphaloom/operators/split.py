@@ -70,6 +70,7 @@ def split_windows(panel: DataFrame, windows: DataFrame, label: str, key: Column,
     holds = counts.where((F.col("all") >= min_rows) & (F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
     holds = stage(holds.select("window_id", "_range", (F.col("k") - F.col("upto") + F.col("n")).alias("_want")))
     edge = rows.select("trade_date", "_key", number.alias("_range")).join(windows.join(holds, "window_id"), ["trade_date", "_range"])
+    edge = stage(edge.select("window_id", "_key", "_want"))
     cut = grouped_order_stats(edge, ["window_id"], {"cut": OrderStat(F.col("_key"), rank_column="_want")}).select("window_id", "cut")
     days = stage(windows.join(cut, "window_id").select("window_id", "trade_date", "cut"))
     cuts = stage(days.groupBy("trade_date").agg(F.sort_array(F.collect_set("cut")).alias("cuts")))

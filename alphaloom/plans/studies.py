@@ -17,6 +17,7 @@ from alphaloom.operators.conformal import (
 )
 from alphaloom.operators.cross_section import composite_score
 from alphaloom.operators.factors import DEFAULT_GROUPS, FEATURE_GROUPS, resolve_features
+from alphaloom.operators.learners import several
 from alphaloom.operators.metrics import performance_metrics
 from alphaloom.operators.nav import slice_nav
 from alphaloom.operators.positions import (
@@ -115,12 +116,17 @@ def constraint_ablation(prepared: DataFrame, panel: DataFrame, limits: risk.Limi
 
 
 def seed_runs(panel: DataFrame, features: Sequence[str], split_key, seeds: Sequence[int] = SEEDS, n: int = 20, **conformal) -> Backtest:
-    """Equal-weight books of the model score under several calibration seeds, labelled by ``seed``."""
-    parts = []
-    for s in seeds:
-        pred = conformal_predictions(panel, features, split_key=split_key(s), **conformal).predictions
-        parts.append((s, pred.select(F.col("trade_date").alias("rebalance_date"), "ts_code", F.round("ml_score", 8).alias("score"))))
-    scores = stage(union_labelled(parts, "seed"))
+    """Equal-weight books of the model score under several calibration seeds, labelled by ``seed``.
+
+    The seeds have the same windows and run at the same time, as most of their jobs are short.
+    """
+    plan = conformal.pop("plan", None) or rolling_plan(panel, conformal.get("train_months", 12), conformal.get("embargo", 20))
+
+    def one(s: int) -> DataFrame:
+        pred = conformal_predictions(panel, features, split_key=split_key(s), plan=plan, **conformal).predictions
+        return pred.select(F.col("trade_date").alias("rebalance_date"), "ts_code", F.round("ml_score", 8).alias("score"))
+
+    scores = stage(union_labelled(list(zip(seeds, several(seeds, one, len(seeds)))), "seed"))
     book = with_turnover(top_n(scores, n, by=["seed"]), ["seed"])
     return from_positions(panel, no_risk(book), ["seed"])
 

@@ -159,3 +159,53 @@ def test_tasks_that_share_no_folder_still_meet(spark):
 
     got = spark.range(0, 30, 1, 3).mapInPandas(run, "t string", barrier=True).collect()
     assert {r.t for r in got} == {"0.0,1.0,2.0;0.1,1.1,2.1"}
+
+
+def test_seeds_share_their_windows_and_run_at_the_same_time(spark, monkeypatch):
+    import threading
+
+    from alphaloom.plans import studies
+
+    plans, meeting = [], threading.Barrier(2, timeout=60)
+
+    def recorded(panel, features, split_key=None, plan=None, **more):
+        plans.append((split_key, plan))
+        meeting.wait()
+        rows = panel.select("trade_date", "ts_code", (F.col("ts_code") * split_key).alias("ml_score"))
+        return type("R", (), {"predictions": rows})
+
+    monkeypatch.setattr(studies, "conformal_predictions", recorded)
+    monkeypatch.setattr(studies, "rolling_plan", lambda *a, **k: "windows")
+    days = pd.date_range("2021-01-01", periods=70).date
+    panel = spark.createDataFrame([(d, c, c / 1e3, 0.001) for d in days for c in (1, 2, 3)], "trade_date date, ts_code long, daily_return double, benchmark_daily_return double")
+    run = studies.seed_runs(panel, ["x"], lambda s: s, seeds=(1, -1), n=2)
+    assert sorted(plans) == [(-1, "windows"), (1, "windows")]
+    held = {(r.seed, r.ts_code) for r in run.positions.select("seed", "ts_code").distinct().collect()}
+    assert held == {(1, 3), (1, 2), (-1, 1), (-1, 2)}
+
+
+def test_rows_below_a_bracket_are_not_counted_again(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "BRACKET_FROM", 10)
+    rows = spark.range(2000).select((F.col("id") % 2).alias("k"), F.pow(F.col("id").cast("double"), 2.0).alias("v"))
+    staged = []
+    monkeypatch.setattr(order_stats, "stage", lambda df: staged.append(df) or df)
+    out = order_stats.grouped_order_stats(rows, ["k"], {"q": order_stats.quantile(F.col("v"), 0.9)})
+    got = {r.k: (r.q, r.q_n, r.q_less, r.q_ties) for r in out.collect()}
+    v = rows.toPandas().groupby("k").v
+    for k, q in v.quantile(0.9).items():
+        x = np.sort(v.get_group(k))
+        assert np.isclose(got[k][0], q) and got[k][1:] == (1000, int((x < x[899]).sum()), 1)
+    below = {r.k: r["__below0"] for r in staged[0].collect()}
+    assert all(800 < below[k] <= 899 for k in below)  # so many rows a group were shuffled as one more part
+
+
+def test_gram_of_returns_by_code_refuses_a_code_twice_a_day():
+    import pyarrow as pa
+
+    rows = {"rebalance_date": [1, 1], "_salt": [0, 0], "n_days": [3, 3], "t": [[2, 1], [3]], "r": [[1.0, None], [6.0]]}
+    table = pa.table({k: pa.array(x) for k, x in rows.items()})
+    x = np.array([[0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 6.0, 0.0]])
+    x[:, :3] -= x[:, :3].mean(axis=1, keepdims=True)
+    assert np.allclose(risk._gram(4)(table)["g"][0].as_py(), (x.T @ x)[np.triu_indices(4)])
+    with pytest.raises(ValueError, match="several returns"):
+        risk._gram(4)(table.set_column(3, "t", pa.array([[2, 2], [3]])))
