@@ -60,7 +60,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = stage(
         benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("_t"))
         .selectExpr("item", f"coalesce({words('_t')}, array()) AS iw")
-        .filter("item IS NOT NULL AND size(iw) > 0")
+        .filter("item IS NOT NULL AND size(iw) > 0"),
+        "snappy",
     )
     key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("\n"), F.sha2(F.col(text), 256)))
     bare = docs.select(key.alias("_id"), F.col(text).alias("_t")).filter("_t IS NOT NULL")

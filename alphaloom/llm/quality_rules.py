@@ -156,7 +156,7 @@ def quality_verdicts(docs: DataFrame, text: str = "text", threshold: float = 0.5
     written once; only pattern counts (at most ``2 ** rules`` rows) reach the driver.
     """
     names = [f"vote_{r}" for r in RULES]
-    rated = stage(votes(text_features(docs, text)))
+    rated = stage(votes(text_features(docs, text)), "snappy")
     counted = rated.groupBy(*names).count().collect()
     fitted = fit([(tuple(r[c] for c in names), r["count"]) for r in counted])
     rows = sorted(fitted.posterior.items())

@@ -158,21 +158,22 @@ def grouped_order_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str,
     ends = _ends(rows, len(names))
     bracket = stage(_brackets(rows, keys, [stats[n] for n in names], ends))
 
-    places = {"r1": "r", "r2": "s", "first": "first", "last": "last", "lo": "lo", "hi": "hi", "below": "below"}
-    sources = [{k: f"__{c}{i}" for k, c in places.items()} for i in span]
-    packed = bracket.select(*keys, F.array(*[F.struct(*[F.col(c).alias(k) for k, c in source.items()]) for source in sources]).alias("__b"))
+    # ranks are counted from the bracket's first row
+    ranks = [[(F.col(f"__{x}{i}") - F.col(f"__below{i}")).alias(name) for x, name in (("r", "r1"), ("s", "r2"))] for i in span]
+    places = [[F.col(f"__{x}{i}").alias(x) for x in ("first", "last", "lo", "hi")] for i in span]
+    packed = bracket.select(*keys, F.array(*[F.struct(*ranks[i], *places[i]) for i in span]).alias("__b"))
     entries = rows.select(*keys, F.array(*[f"__v{i}" for i in span]).alias("__vs")).join(packed, keys)
     entries = entries.select(*keys, "__b", F.posexplode("__vs").alias("s", "v"))
     entries = entries.select(*keys, "s", "v", _bin_of(F.col("v"), F.col("s"), ends).alias("at"), F.col("__b")[F.col("s")].alias("b"))
     counted = (
         entries.filter(F.col("at").between(F.col("b.first"), F.col("b.last")))
-        .select(*keys, "s", "v", *[F.col(f"b.{x}").alias(x) for x in ("r1", "r2", "below")], _part(F.col("v"), F.col("b.lo"), F.col("b.hi")).alias("bin"))
+        .select(*keys, "s", "v", F.col("b.r1").alias("r1"), F.col("b.r2").alias("r2"), _part(F.col("v"), F.col("b.lo"), F.col("b.hi")).alias("bin"))
         .groupBy(*keys, "s", "bin", "v")
-        .agg(F.count(F.lit(1)).alias("c"), *[F.max(x).alias(x) for x in ("r1", "r2", "below")])
+        .agg(F.count(F.lit(1)).alias("c"), F.max("r1").alias("r1"), F.max("r2").alias("r2"))
     )
-    ranges = counted.groupBy(*keys, "s", "bin").agg(F.sum("c").alias("c"), *[F.max(x).alias(x) for x in ("r1", "r2", "below")])
+    ranges = counted.groupBy(*keys, "s", "bin").agg(F.sum("c").alias("c"), F.max("r1").alias("r1"), F.max("r2").alias("r2"))
     order = W.partitionBy(*keys, "s").orderBy("bin")
-    ranges = ranges.withColumn("before", F.col("below") + F.sum("c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c"))
+    ranges = ranges.withColumn("before", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c"))
     holds = [(F.col("before") < F.col(x)) & (F.col("before") + F.col("c") >= F.col(x)) for x in ("r1", "r2")]
     ranges = ranges.filter(holds[0] | holds[1]).select(*keys, "s", "bin", "before")
     order = W.partitionBy(*keys, "s", "bin").orderBy("v")
@@ -194,7 +195,7 @@ def grouped_order_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str,
             ]
         )
     )
-    picked = bracket.select(*keys, *[f"__{x}{i}" for i in span for x in "nr"]).join(picked, keys, "left")
+    picked = bracket.select(*keys, *[f"__{x}{i}" for i in span for x in ("n", "r", "below")]).join(picked, keys, "left")
     out = []
     for i, name in enumerate(names):
         found, n = F.col(f"__p{i}.v"), F.col(f"__n{i}")
@@ -203,7 +204,7 @@ def grouped_order_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str,
         if _interpolates(stats[name]):
             pos = (n - 1) * F.lit(stats[name].at)
             value = value + (F.col(f"__q{i}") - value) * (pos - F.floor(pos))
-        out += [value.alias(name), n.alias(f"{name}_n"), F.col(f"__p{i}.less").alias(f"{name}_less"), F.col(f"__p{i}.c").alias(f"{name}_ties")]
+        out += [value.alias(name), n.alias(f"{name}_n"), (F.col(f"__below{i}") + F.col(f"__p{i}.less")).alias(f"{name}_less"), F.col(f"__p{i}.c").alias(f"{name}_ties")]
     return picked.select(*([] if whole else keys), *out)
 
 

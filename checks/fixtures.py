@@ -19,7 +19,7 @@ from alphaloom.operators.factors import compute_factors, excess_return_label
 from alphaloom.operators.joins import asof_join, asof_series, join_date_series, two_channel_total
 from alphaloom.operators.nav import daily_nav
 from alphaloom.operators.order_stats import keep_top
-from alphaloom.operators.staging import stage
+from alphaloom.operators.staging import per_date, stage
 from alphaloom.operators.positions import equal_weight_book, prepare_snapshot, snapshots
 
 FEATURES = ("ret_20", "volatility_20", "turnover_20", "roe", "ep_ttm")
@@ -52,7 +52,7 @@ def view(build):
     return once
 
 
-STAGED = {"trades", "labeled", "model", "external", "book", "nav", "conformal", "conformal_five", "prepared", "membership"}
+STAGED = {"trades", "labeled", "model", "series", "book", "nav", "conformal", "conformal_five", "prepared", "membership"}
 
 
 def traded() -> list:
@@ -155,8 +155,8 @@ class Data:
         return model_panel(self.labeled(), list(FEATURES))
 
     @view
-    def external(self):
-        """The model panel with the three external series: two-channel flow by day, two monthly series as of the day."""
+    def series(self):
+        """The external series on the model panel's dates: two-channel flow by day, a monthly series as of the day."""
         side = lambda k, n: self.daily().where(F.col("ts_code") % 7 == k).groupBy("trade_date").agg((F.sum("cents") / F.lit(100.0)).alias(n))
         flow = two_channel_total(side(0, "sh"), side(1, "sz"), "trade_date", "sh", "sz", "northbound_net_inflow")
         m = self.table("orders").groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
@@ -165,8 +165,13 @@ class Data:
         m = m.agg(F.sum(F.when(urgent, cents)).alias("high"), F.sum(cents).alias("every"))
         day = F.expr("CASE WHEN m <= 11 THEN make_date(y, m+1, 5) ELSE make_date(y+1, m-11, 5) END")
         spread = m.select(day.alias("trade_date"), (F.col("high") / F.col("every")).alias("cn_spread_10y_2y"))
-        panel = join_date_series(self.model().withColumnRenamed("macro_yoy", "m2_yoy"), flow.select("trade_date", "northbound_net_inflow"))
-        return asof_series(panel, spread)
+        days = join_date_series(self.model().select("trade_date").distinct(), flow.select("trade_date", "northbound_net_inflow"))
+        return asof_series(days, spread)
+
+    @view
+    def external(self):
+        """The model panel with the three external series; only the series are staged, a row a date."""
+        return self.model().withColumnRenamed("macro_yoy", "m2_yoy").join(per_date(self.series()), "trade_date", "left")
 
     @view
     def scored(self):

@@ -209,3 +209,31 @@ def test_gram_of_returns_by_code_refuses_a_code_twice_a_day():
     assert np.allclose(risk._gram(4)(table)["g"][0].as_py(), (x.T @ x)[np.triu_indices(4)])
     with pytest.raises(ValueError, match="several returns"):
         risk._gram(4)(table.set_column(3, "t", pa.array([[2, 2], [3]])))
+
+
+def test_external_panel_stages_its_series_alone(spark, small):
+    from checks import fixtures
+
+    d = fixtures.Data(spark, small)
+    rows = d.external()
+    assert not hasattr(rows, "staged_path") and d.series().count() == d.model().select("trade_date").distinct().count()
+    assert rows.columns[-2:] == ["northbound_net_inflow", "cn_spread_10y_2y"] and rows.count() == d.model().count()
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    from alphaloom.operators import staging
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(key, "false"), []
+
+    def rows(batches):
+        yield from batches
+
+    with staging.shuffles_dropped(spark):
+        with staging.shuffles_dropped(spark):
+            pass
+        seen.append(spark.conf.get(key))
+    table = staging.stage(spark.range(1000).repartition(4).mapInPandas(rows, "id long"))
+    assert seen == ["true"] and spark.conf.get(key, "false") == before
+    assert table.count() == 1000 and any(".zstd." in f for f in table.inputFiles())
